@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, secret_scan, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, secret_scan, url_filter
 from ._shared import table
 
 
@@ -12,8 +12,10 @@ def op1_byte_bpe(spark, sf_dir):
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_html_text": html_text.query,
     "op3_url_filter": url_filter.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_secret_scan": secret_scan.query,
     "op10_exact_dedup": exact_dedup.query,
 }
-SQL = {"op3_url_filter": url_filter.SQL, "op10_exact_dedup": exact_dedup.SQL}
+SQL = {"op3_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op10_exact_dedup": exact_dedup.SQL}
