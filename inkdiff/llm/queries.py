@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, secret_scan, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, quality, secret_scan, toxicity, url_filter
 from ._shared import table
 
 
@@ -16,6 +16,8 @@ QUERIES = {
     "op3_url_filter": url_filter.query,
     "op4_decontaminate": decontaminate.query,
     "op5_secret_scan": secret_scan.query,
+    "op6_quality": quality.query,
+    "op8_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 SQL = {"op3_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op10_exact_dedup": exact_dedup.SQL}
