@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, quality, secret_scan, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, ngram_join, quality, secret_scan, toxicity, url_filter
 from ._shared import table
 
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.query,
     "op5_secret_scan": secret_scan.query,
     "op6_quality": quality.query,
+    "op7_ngram_join": ngram_join.query,
     "op8_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
 }
