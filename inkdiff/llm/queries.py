@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, ngram_join, quality, secret_scan, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, ngram_join, quality, secret_scan, substring_dedup, toxicity, url_filter
 from ._shared import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op6_quality": quality.query,
     "op7_ngram_join": ngram_join.query,
     "op8_toxicity": toxicity.query,
+    "op9_substring_dedup": substring_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
 }
-SQL = {"op3_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op10_exact_dedup": exact_dedup.SQL}
+SQL = {"op3_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op9_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
