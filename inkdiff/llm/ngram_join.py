@@ -37,7 +37,9 @@ from ._words import U, distinct_runs, word_hashes
 
 WORDS, THRESHOLD = 5, 0.75
 LONGEST_MATCH = 24  # l at most
-STAR_ROUNDS = 4
+LENGTHEN = 32  # and 1 for each so many shingles: more would make places tell too little
+STAR_ROUNDS = 2
+TOKEN_BITS = 48  # of a shingle's hash in the join; similarities are taken of the whole hashes
 VERIFY_COST = 50.0  # of a candidate, in postings read
 CROSS_SHARE = 4  # pairs across components for each posting, up to which all of them are candidates at once
 FILTER_BITS = 1 << 26
@@ -70,7 +72,7 @@ def sets_of(docs: DataFrame, text: str, words: int) -> DataFrame:
 
 def shared_shingles(docs: DataFrame, text: str, words: int, buckets: int) -> DataFrame:
     """(token, class, n, df): the shingles that df >= 2 classes share."""
-    shift = U(64 - buckets.bit_length() + 1)
+    shift = U(TOKEN_BITS - buckets.bit_length() + 1)
 
     def pack(batches):
         seen: set[int] = set()
@@ -91,28 +93,34 @@ def shared_shingles(docs: DataFrame, text: str, words: int, buckets: int) -> Dat
                 keep.append((a, b))
         if not names:
             return None
-        tokens = np.concatenate([h[a:b] for a, b in keep])
-        owner = np.repeat(np.arange(len(names), dtype=np.uint32), sizes)
-        bucket = (tokens >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(tokens), np.int64)
+        tokens = np.concatenate([h[a:b] for a, b in keep]) >> U(64 - TOKEN_BITS)
+        owner = np.repeat(np.arange(len(names)), sizes)
+        # shingles of one text that agree in these bits stay two tokens: an overlap never shrinks
+        tokens[1:] += ((tokens[1:] == tokens[:-1]) & (owner[1:] == owner[:-1])).astype(U)
+        bucket = (tokens >> shift).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        names, sizes = np.array(names, np.int64), np.array(sizes, np.int32)
         rows = []
         for k in range(buckets):
             part = order[cuts[k] : cuts[k + 1]]
             if len(part):
-                local, first = np.unique(owner[part], return_inverse=True)
-                rows.append((k, tokens[part].tobytes(), first.astype(np.uint32).tobytes(), np.array(names, np.int64)[local].tobytes(), np.array(sizes, np.int32)[local].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 5))], names=["bucket", "tokens", "owner", "names", "sizes"])
+                held = np.bincount(owner[part], minlength=len(names))
+                local = np.flatnonzero(held)
+                rows.append((k, tokens[part].view(np.uint16).reshape(-1, 4)[:, :3].tobytes(), held[local].astype(np.int32).tobytes(), names[local].tobytes(), sizes[local].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 5))], names=["bucket", "tokens", "held", "names", "sizes"])
 
-    packed = docs.select(docs[text]).mapInArrow(pack, "bucket int, tokens binary, owner binary, names binary, sizes binary")
+    packed = docs.select(docs[text]).mapInArrow(pack, "bucket int, tokens binary, held binary, names binary, sizes binary")
 
     def count(group: pa.Table) -> pa.Table:
         tokens, names, sizes = [], [], []
-        for t, o, c, s in zip(*(group.column(x).to_pylist() for x in ("tokens", "owner", "names", "sizes")), strict=True):
-            own = np.frombuffer(o, np.uint32)
-            tokens.append(np.frombuffer(t, U))
-            names.append(np.frombuffer(c, np.int64)[own])
-            sizes.append(np.frombuffer(s, np.int32)[own])
+        for t, o, c, s in zip(*(group.column(x).to_pylist() for x in ("tokens", "held", "names", "sizes")), strict=True):
+            held = np.frombuffer(o, np.int32)
+            wide = np.zeros((len(t) // 6, 4), np.uint16)
+            wide[:, :3] = np.frombuffer(t, np.uint16).reshape(-1, 3)
+            tokens.append(wide.view(U)[:, 0])
+            names.append(np.repeat(np.frombuffer(c, np.int64), held))
+            sizes.append(np.repeat(np.frombuffer(s, np.int32), held))
         t, c, s = np.concatenate(tokens), np.concatenate(names), np.concatenate(sizes)
         order = np.argsort(t, kind="stable")
         ts = t[order]
@@ -137,7 +145,8 @@ def shared_shingles(docs: DataFrame, text: str, words: int, buckets: int) -> Dat
 
 
 def adaptive_prefixes(shared: DataFrame, threshold: float, longest: int = LONGEST_MATCH) -> DataFrame:
-    """(token, class, n, l): each class's prefix tokens that other classes have too, and the matches that it asks for."""
+    """(token, class, n, place, l, central): each class's prefix tokens that other classes have too, the matches that it asks for,
+    each token's place in the class's order, and how many others have one of its shingles, on average."""
     own = Window.partitionBy("class")
     by_rarity = own.orderBy("df", "token")
     ranked = (
@@ -145,12 +154,14 @@ def adaptive_prefixes(shared: DataFrame, threshold: float, longest: int = LONGES
         .withColumn("fetched", F.sum(F.col("df") - 1).over(by_rarity.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("rank", F.row_number().over(by_rarity))
         .withColumn("alone", F.col("n") - F.count("*").over(own))
+        .withColumn("central", F.sum(F.col("df") - 1).over(own) / F.col("n"))
         .where("alone <= spare")  # else the 1-prefix has no shared token, so the class has no partner
+        .withColumn("place", (F.col("alone") + F.col("rank")).cast("int"))
         .withColumn("matches", (F.col("alone") + F.col("rank") - F.col("spare")).cast("int"))  # the l whose prefix ends here
     )
     cost = F.col("fetched") * (F.lit(1.0) + F.lit(VERIFY_COST) / F.col("matches"))
-    best = F.min(F.when(F.col("matches").between(1, longest), F.struct(cost.alias("cost"), F.col("matches").alias("l")))).over(own)
-    return ranked.withColumn("best", best).where("matches <= best.l").select("token", "class", "n", F.col("best.l").alias("l"))
+    best = F.min(F.when(F.col("matches").between(1, F.least(F.lit(longest), 1 + F.floor(F.col("n") / LENGTHEN))), F.struct(cost.alias("cost"), F.col("matches").alias("l")))).over(own)
+    return ranked.withColumn("best", best).where("matches <= best.l").select("token", "class", "n", "place", F.col("best.l").alias("l"), "central")
 
 
 def _pieces(column: pa.Array, size: int = 8 << 20):
@@ -213,37 +224,64 @@ def verified(pairs: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame
     return both.where(F.arrow_udf(similar, "boolean")("body_a", "body_b")).select("a", "b")
 
 
+def _may_reach(rest_a, rest_b, n_a, n_b, l, threshold: float):
+    """Can two sets have the needed overlap if this is one of their first l common tokens?
+
+    rest: how many shingles follow the token in a set's order. The j-th common token leaves at most j + the lesser rest.
+    """
+    return F.least(rest_a, rest_b) + l >= (n_a + n_b) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
+
+
 def _star_pairs(postings: DataFrame, threshold: float, turn: int) -> DataFrame:
-    """(a, b): each class and the one class, least in this turn's order among a token's, that most of its tokens offer."""
-    order = F.xxhash64("class", F.lit(turn))
-    least = postings.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("class").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))).alias("least"))
+    """(a, b): each class and the one class, least in this turn's order among a token's, that most of its tokens offer.
+
+    The first turn's order is by how much a class shares with all others: the text that near copies were made from, of
+    which each copy lacks something, comes before its copies. Later turns' orders are by hash.
+    """
+    order = F.xxhash64("class", F.lit(turn)) if turn else -F.col("central")
+    pivot = F.struct(order.alias("o"), F.col("class").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), (F.col("n") - F.col("place")).alias("rest"), F.col("l").alias("l"))
+    least = postings.groupBy("token").agg(F.min(pivot).alias("least"))
     offers = postings.join(least, "token").where("label <> least.pl").where(_sizes_allow("n", "least.pn", threshold))
+    offers = offers.where(_may_reach(F.col("n") - F.col("place"), F.col("least.rest"), F.col("n"), F.col("least.pn"), F.least("l", "least.l"), threshold))
     counted = offers.groupBy("class", F.col("least.p").alias("p")).agg(F.count("*").alias("k"))
     return counted.groupBy("class").agg(F.max(F.struct("k", "p")).alias("m")).select(F.col("class").alias("a"), F.col("m.p").alias("b"))
 
 
-def _sizes_allow(x: str, y: str, threshold: float):
+def _sizes_allow(x, y, threshold: float):
     return F.least(x, y) >= F.greatest(x, y) * F.lit(threshold) - F.lit(1e-9)
 
 
 def _cross_pairs(postings: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all classes of different components that share as many prefix tokens as the lesser l of both."""
-    sides = postings.select("token", "label").distinct()
-    met = sides.toDF("token", "la").join(sides.toDF("token", "lb"), "token").where("la < lb")
-    left = postings.select("token", F.col("label").alias("la"), F.col("class").alias("a"), F.col("n").alias("na"), F.col("l").alias("l_a"))
-    right = postings.select("token", F.col("label").alias("lb"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("l").alias("l_b"))
-    rows = met.join(left, ["token", "la"]).join(right, ["token", "lb"]).where(_sizes_allow("na", "nb", threshold))
-    counted = rows.groupBy("a", "b").agg(F.count("*").alias("k"), F.first(F.least("l_a", "l_b")).alias("l"))
+    """(a, b): all classes of different components that share as many prefix tokens as the lesser l of both.
+
+    Components meet first, by their most favourable members, then their classes: rows are made only where the places of
+    a token in both orders still allow the overlap.
+    """
+    own = postings.withColumn("rest", F.col("n") - F.col("place"))
+    sides = own.groupBy("token", "label").agg(F.max("rest").alias("rest"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("l").alias("l"))
+    name = lambda df, side, columns: df.select("token", *[F.col(c).alias(f"{side}_{c}") for c in columns])
+    met = name(sides, "x", ["label", "rest", "low", "high", "l"]).join(name(sides, "y", ["label", "rest", "low", "high", "l"]), "token")
+    met = met.where("x_label < y_label").where((F.col("x_high") >= F.col("y_low") * threshold - 1e-9) & (F.col("y_high") >= F.col("x_low") * threshold - 1e-9))
+    met = met.where(_may_reach(F.col("x_rest"), F.col("y_rest"), F.col("x_low"), F.col("y_low"), F.least("x_l", "y_l"), threshold))
+    members = ["label", "class", "n", "rest", "l"]
+    left = met.select("token", "x_label", "y_label", F.col("y_rest").alias("most_rest"), "y_low", F.col("y_l").alias("most_l"))
+    left = left.join(name(own, "a", members).withColumnRenamed("a_label", "x_label"), ["token", "x_label"])
+    left = left.where(_may_reach(F.col("a_rest"), F.col("most_rest"), F.col("a_n"), F.col("y_low"), F.least("a_l", "most_l"), threshold))
+    rows = left.join(name(own, "b", members).withColumnRenamed("b_label", "y_label"), ["token", "y_label"])
+    rows = rows.where(_sizes_allow("a_n", "b_n", threshold))
+    rows = rows.where(_may_reach(F.col("a_rest"), F.col("b_rest"), F.col("a_n"), F.col("b_n"), F.least("a_l", "b_l"), threshold))
+    counted = rows.groupBy(F.col("a_class").alias("a"), F.col("b_class").alias("b")).agg(F.count("*").alias("k"), F.first(F.least("a_l", "b_l")).alias("l"))
     return counted.where("k >= l").select("a", "b")
 
 
 def links(docs: DataFrame, text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(node, label): the classes that have links, with the least class that they reach."""
     splits = docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    parts = input_splits(docs) * max(1, splits // (8 << 20))
+    parts = input_splits(docs) * max(1, splits // (16 << 20))
     buckets = 1 << max(0, (parts - 1).bit_length())
     prefixes = adaptive_prefixes(shared_shingles(docs, text, words, buckets), threshold)
     postings = materialize(prefixes, "prefixes")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of the finished step
     several = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     postings = materialize(postings.join(several, "token", "left_semi"), "prefixes")
     bodies = materialize(_bodies(docs, text, words, postings.select("class").distinct()), "sets")
