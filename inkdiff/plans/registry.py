@@ -1,4 +1,8 @@
 """All queries over the reference tables and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import changes
+
+QUERIES: dict = {**changes.QUERIES}
+SQL: dict[str, str] = {**changes.SQL}
