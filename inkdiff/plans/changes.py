@@ -438,3 +438,14 @@ def dataset_overlap(spark, sf_dir):
     """Ids that two label sets share."""
     ids = _labels(spark, sf_dir).select("doc_id")
     return ids.where("doc_id % 2 = 0").join(ids.where("doc_id % 2 = 1"), "doc_id", "left_semi").agg(F.count("*").alias("shared"))
+
+
+@query()
+def compare_documents(spark, sf_dir):
+    """The whole comparison of the printed pages: counts for each pair."""
+    from ..compare import compare
+
+    p = pages(spark, sf_dir)
+    ids = clauses(spark, sf_dir).select("pair_id").distinct()
+    pairs = ids.select("pair_id", F.concat("pair_id", F.lit("_a")).alias("document_id_a"), F.concat("pair_id", F.lit("_b")).alias("document_id_b"))
+    return compare(p, pairs)["stats"]

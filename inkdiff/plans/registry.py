@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes
+from . import changes, documents, logs
 
-QUERIES: dict = {**changes.QUERIES}
-SQL: dict[str, str] = {**changes.SQL}
+QUERIES: dict = {**changes.QUERIES, **documents.QUERIES, **logs.QUERIES}
+SQL: dict[str, str] = {**changes.SQL, **documents.SQL, **logs.SQL}
