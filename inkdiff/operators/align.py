@@ -106,35 +106,43 @@ def restructure_counts(scores: DataFrame, config: Config = Config()) -> DataFram
     return scores.groupBy("pair_id", "a_ordinal").agg(F.count_if(F.col("match_score") >= config.review_threshold).alias("candidates"))
 
 
-def best_assignment(scores: DataFrame, score: str = "match_score") -> DataFrame:
-    """(pair_id, a_ordinal, b_ordinal): the one-to-one alignment of greatest total score, of min(n, m) pairs."""
+def best_assignment(scores: DataFrame, score: str = "match_score", review: float = 0.0) -> DataFrame:
+    """The rows of scores in the one-to-one alignment of greatest total score (min(n, m) of them), with `candidates`.
+
+    candidates counts the B clauses of all scored ones that reach `review` for the same A clause. The scores are read
+    once: what is needed of the other rows is taken while their pair's matrix is at hand.
+    """
 
     def solve(table: pa.Table) -> pa.Table:
-        a, b = table.column("a_ordinal").to_numpy(), table.column("b_ordinal").to_numpy()
+        a, b, s = (table.column(c).to_numpy() for c in ("a_ordinal", "b_ordinal", score))
         rows, columns = np.unique(a), np.unique(b)
-        matrix = np.zeros((len(rows), len(columns)))
-        matrix[np.searchsorted(rows, a), np.searchsorted(columns, b)] = table.column("s").to_numpy()
+        i, j = np.searchsorted(rows, a), np.searchsorted(columns, b)
+        matrix, place = np.zeros((len(rows), len(columns))), np.zeros((len(rows), len(columns)), np.int64)
+        matrix[i, j], place[i, j] = s, np.arange(len(s))
         found = assign(matrix)
-        key = table.column("pair_id").slice(0, 1).combine_chunks().take(pa.array([0] * len(found), pa.int64()))
-        return pa.table({"pair_id": key, "a_ordinal": pa.array([int(rows[i]) for i, _ in found], pa.int32()), "b_ordinal": pa.array([int(columns[j]) for _, j in found], pa.int32())})
+        reach = np.bincount(i, s >= review, len(rows)).astype(np.int32)
+        chosen = table.take(pa.array([int(place[x, y]) for x, y in found], pa.int64()))
+        return chosen.append_column("candidates", pa.array([int(reach[x]) for x, _ in found], pa.int32()))
 
-    slim = scores.select("pair_id", F.col("a_ordinal").cast("int").alias("a_ordinal"), F.col("b_ordinal").cast("int").alias("b_ordinal"), F.col(score).alias("s"))
-    return slim.groupBy("pair_id").applyInArrow(solve, f"pair_id {scores.schema['pair_id'].dataType.simpleString()}, a_ordinal int, b_ordinal int")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scores.schema)
+    return scores.groupBy("pair_id").applyInArrow(solve, f"{fields}, candidates int")
 
 
 def complete(matched: DataFrame, clauses: DataFrame) -> DataFrame:
     """matched pairs, then the clauses of A without one as removed and those of B as added; empty sides need no case."""
     a = clauses.where("side = 'a'").select("pair_id", F.col("ordinal").alias("a_ordinal"))
     b = clauses.where("side = 'b'").select("pair_id", F.col("ordinal").alias("b_ordinal"))
-    removed = a.join(matched, ["pair_id", "a_ordinal"], "left_anti").withColumn("match_type", F.lit("removed_candidate")).withColumn("phase", F.lit(1))
-    added = b.join(matched, ["pair_id", "b_ordinal"], "left_anti").withColumn("match_type", F.lit("added_candidate")).withColumn("phase", F.lit(2))
-    return matched.withColumn("phase", F.lit(0)).unionByName(removed, allowMissingColumns=True).unionByName(added, allowMissingColumns=True)
+    all_a = a.join(matched, ["pair_id", "a_ordinal"], "left")
+    both = all_a.join(b.withColumn("_b", F.lit(True)), ["pair_id", "b_ordinal"], "full_outer")
+    phase = F.when(F.col("a_ordinal").isNull(), 2).when(F.col("match_type").isNull(), 1).otherwise(0)
+    kind = F.when(F.col("a_ordinal").isNull(), "added_candidate").when(F.col("match_type").isNull(), "removed_candidate").otherwise(F.col("match_type"))
+    return both.withColumn("phase", phase).withColumn("match_type", kind).drop("_b")
 
 
 def baseline_match(clauses: DataFrame, scores: DataFrame | None = None, config: Config = Config()) -> DataFrame:
     """Alignment by TF-IDF alone, without a threshold."""
     scores = score_pairs(clauses, config) if scores is None else scores
-    best = best_assignment(scores, "tfidf_score").join(scores.select("pair_id", "a_ordinal", "b_ordinal", "tfidf_score"), ["pair_id", "a_ordinal", "b_ordinal"])
+    best = best_assignment(scores.select("pair_id", "a_ordinal", "b_ordinal", "tfidf_score"), "tfidf_score")
     matched = best.select("pair_id", "a_ordinal", "b_ordinal", F.col("tfidf_score").alias("match_score"), "tfidf_score", F.lit("baseline").alias("match_type"), F.lit(False).alias("needs_review"), F.lit("").alias("review_reason"))
     return complete(matched, clauses)
 
@@ -142,10 +150,9 @@ def baseline_match(clauses: DataFrame, scores: DataFrame | None = None, config:
 def hybrid_match(clauses: DataFrame, scores: DataFrame | None = None, config: Config = Config()) -> DataFrame:
     """Alignment by the combined score; pairs under the review threshold fall apart into removed and added."""
     scores = score_pairs(clauses, config) if scores is None else scores
-    best = best_assignment(scores).join(scores, ["pair_id", "a_ordinal", "b_ordinal"]).join(restructure_counts(scores, config), ["pair_id", "a_ordinal"])
-    kind = match_type(F.col("match_score"), config)
+    best = best_assignment(scores, review=config.review_threshold)
     review = (F.col("match_score") < config.accept_threshold) | (F.col("candidates") > 1)
-    banded = best.withColumn("match_type", kind).where("match_type is not null")
+    banded = best.withColumn("match_type", match_type(F.col("match_score"), config)).where("match_type is not null")
     matched = banded.withColumn("needs_review", review).withColumn("review_reason", review_reason(F.col("match_score"), F.col("candidates"), config)).drop("candidates")
     return complete(matched, clauses)
 
