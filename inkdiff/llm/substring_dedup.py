@@ -114,7 +114,7 @@ def estimated_repeated(leader: np.ndarray, bits: np.ndarray, width: int) -> np.n
     return out
 
 
-def _candidate_windows(rows: DataFrame, key: str, window: int, width: int, bits: bytes) -> DataFrame:
+def _candidate_windows(rows: DataFrame, window: int, width: int, bits: bytes) -> DataFrame:
     """(h1, h2, _key, _text_id, start) of rows(_key, _text, _text_id)' windows that are estimated repeated."""
     sent = rows.sparkSession.sparkContext.broadcast(bits)
 
@@ -153,9 +153,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """docs' columns in a struct `input`, with n_words, n_removed and kept_text (the words left, joined by one space)."""
     rows = docs.select(F.struct("*").alias("input"), docs[key].alias("_key"), docs[text].alias("_text"), F.xxhash64(docs[text]).alias("_text_id"))
     bits = repeated_slots(docs, text, window, width)
-    windows = materialize(_candidate_windows(rows, key, window, width, bits), "windows")
+    windows = _candidate_windows(rows, window, width, bits)  # read twice; written, they would be larger than the texts
     groups = windows.groupBy("h1", "h2").agg(F.min("_key").alias("least"), F.max("_key").alias("most")).where("least < most")
     groups = materialize(groups.select("h1", "h2", "least"), "repeats")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of the finished step
     hits = windows.join(groups, ["h1", "h2"]).where("_key > least")
     # rows that repeat both id and text give each start more than once
     own = hits.groupBy("_key", "_text_id").agg(F.collect_set("start").alias("_starts"))

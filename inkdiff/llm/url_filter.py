@@ -43,7 +43,7 @@ PATTERN_RULES = (
     ("||adserver^", "block"),
     ("^wp-login.php^", "block"),
     ("^viagra^", "block"),
-    ("^casino^responsible-gaming^", "allow"),
+    ("^casino*^responsible-gaming^", "allow"),
 )
 
 
