@@ -73,7 +73,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         "width": min(1.0, letters / n / 20),
     }
     slots = [_slot(1, w) for w in lowered] + [_slot(2, s) for s in shapes] + [_slot(3, f"{k}:{int(v * 20)}") for k, v in shares.items()]
-    values = [GROUPS[0] / len(lowered) ** 0.5] * len(lowered) + [GROUPS[1] * (c / n) ** 0.5 for c in shapes.values()] + [GROUPS[2] / len(shares) ** 0.5] * len(shares)
+    values = [GROUPS[0] / max(1, len(lowered)) ** 0.5] * len(lowered) + [GROUPS[1] * (c / n) ** 0.5 for c in shapes.values()] + [GROUPS[2] / len(shares) ** 0.5] * len(shares)
     return np.array(slots, np.int64), np.array(values)
 
 
