@@ -102,9 +102,9 @@ def session_users(spark, sf_dir):
     return logs.users_by_token(users(spark, sf_dir), sessions(spark, sf_dir), _as_of()).select("token", "id", "email")
 
 
-@query(f"SELECT id, email FROM {_SESSIONS} s JOIN {_USERS} u ON u.id = s.user_id WHERE expires_at > TIMESTAMP '{AS_OF}' AND token = 't900'")
+@query(f"SELECT id, email FROM {_SESSIONS} s JOIN {_USERS} u ON u.id = s.user_id WHERE expires_at > TIMESTAMP '{AS_OF}' AND token = 't6000'")
 def user_by_token(spark, sf_dir):
-    return logs.users_by_token(users(spark, sf_dir), sessions(spark, sf_dir), _as_of(), "t900").select("id", "email")
+    return logs.users_by_token(users(spark, sf_dir), sessions(spark, sf_dir), _as_of(), "t6000").select("id", "email")
 
 
 @query(f"SELECT u.id, strftime(m, '%Y-%m-%d %H:%M:%S') AS last_login FROM {_USERS} u LEFT JOIN (SELECT user_id, max(created_at) AS m FROM {_SESSIONS} GROUP BY user_id) s ON s.user_id = u.id")
