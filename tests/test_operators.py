@@ -133,22 +133,21 @@ def test_citations(spark):
     assert got == {("c1", 1, "text"): (True, ""), ("c9", 1, "text"): (False, "clause_id"), ("c1", 2, "text"): (False, "Page"), ("c1", 1, "other"): (False, "Text")}
 
 
-class Echo(report.Provider):
-    name = "echo"
-
-    def __init__(self, fails):
-        self.fails = fails
+def test_providers_fall_back(spark):
+    class Echo(report.Provider):
+        name = "echo"
 
-    def is_available(self):
-        return True
+        def __init__(self, fails):
+            self.fails = fails
 
-    def generate(self, prompts, timeout):
-        if self.fails:
-            raise TimeoutError("late")
-        return ['```json\n{"summary": "s", "confidence": "HIGH"}\n```'] * len(prompts)
+        def is_available(self):
+            return True
 
+        def generate(self, prompts, timeout):
+            if self.fails:
+                raise TimeoutError("late")
+            return ['```json\n{"summary": "s", "confidence": "HIGH"}\n```'] * len(prompts)
 
-def test_providers_fall_back(spark):
     a = clauses(spark, [("1. X", "You shall go now.")], [("1. X", "You may go now.")])
     rich = a.withColumns({"clause_id": F.lit("c"), "document_id": F.lit("d"), "document_name": F.lit("D"), "original_text": F.col("text"), "page_number": F.lit(1)})
     changes = detect.detect_changes(align.with_clauses(align.hybrid_match(rich), rich))
