@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -55,3 +56,10 @@ def _remove(spark: SparkSession, path: str) -> None:
 def input_splits(df: DataFrame) -> int:
     """Partitions of the scan: a measure of the input's size known without running a job."""
     return max(1, df._jdf.rdd().getNumPartitions())
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps that nothing refers to any more."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()

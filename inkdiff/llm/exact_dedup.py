@@ -36,7 +36,8 @@ def repeated_bits(hashes: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return often.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
 
 
-def _is_set(bit: Column) -> Column:
+def is_set(bit: Column) -> Column:
+    """Is this bit of _bitmap set? Null without a bitmap."""
     byte = F.substring(F.col("_bitmap"), (bit / 8).cast("int") + 1, F.lit(1))
     return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (bit % 8).cast("int")) == 1
 
@@ -45,7 +46,7 @@ def _split(rows: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
     """The rows that may have a copy, and the rest."""
     filled = F.broadcast(repeated_bits(rows.select("_hash"), blocks))
     tested = rows.withColumn("_block", _block(blocks)).join(filled, "_block", "left")
-    maybe = F.coalesce(_is_set(_bits()[0]) & _is_set(_bits()[1]), F.lit(False))
+    maybe = F.coalesce(is_set(_bits()[0]) & is_set(_bits()[1]), F.lit(False))
     tested = tested.withColumn("_maybe", maybe).drop("_block", "_bitmap")
     return tested.where("_maybe").drop("_maybe"), tested.where("not _maybe").drop("_maybe")
 

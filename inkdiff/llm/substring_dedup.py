@@ -11,7 +11,8 @@ windows. The passes:
 2. Windows whose leader is estimated repeated, and only they, are grouped exactly by two independent 64-bit hashes of
    all their words: the least id of each group comes from partial aggregates, and a join (both of whose sides Spark may
    split where a window is very frequent) tells each document which of its windows stand in a smaller one.
-3. The documents are joined with their own windows by id and text hash, and the covered words are left out.
+3. The documents that have such windows are joined with them by id and text hash, and the covered words are left out.
+   A bitmap of the text hashes, of fixed size, lets all other documents pass without a shuffle.
 
 Texts of fewer words have no window. A null text has no words. A row with a null id is never larger than another, so it
 loses nothing; rows of one id never remove each other's words. Windows are judged on the input.
@@ -24,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, release
 from ._words import U, run_hashes, word_hashes
+from .exact_dedup import BLOCK_BITS, BLOCKS, is_set
 
 WINDOW, ANCHOR = 50, 10
 WIDTH = 1 << 26
@@ -156,10 +158,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     windows = _candidate_windows(rows, window, width, bits)  # read twice; written, they would be larger than the texts
     groups = windows.groupBy("h1", "h2").agg(F.min("_key").alias("least"), F.max("_key").alias("most")).where("least < most")
     groups = materialize(groups.select("h1", "h2", "least"), "repeats")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of the finished step
+    release(docs.sparkSession)
     hits = windows.join(groups, ["h1", "h2"]).where("_key > least")
     # rows that repeat both id and text give each start more than once
-    own = hits.groupBy("_key", "_text_id").agg(F.collect_set("start").alias("_starts"))
+    own = materialize(hits.groupBy("_key", "_text_id").agg(F.collect_set("start").alias("_starts")), "starts")
+    del hits, groups
+    release(docs.sparkSession)
 
     def remove(texts: pa.Array, starts: pa.Array) -> pa.Array:
         out = []
@@ -173,7 +177,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             out.append({"n_words": n, "n_removed": gone, "kept_text": b" ".join(words).decode()})
         return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())]))
 
-    joined = rows.join(own, ["_key", "_text_id"], "left")
+    # only texts that may have such windows are shuffled: a bitmap of fixed size tells the others
+    block, bit = F.pmod("_text_id", F.lit(BLOCKS)).cast("int"), F.shiftrightunsigned("_text_id", 24).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("long")
+    filled = own.groupBy(block.alias("_block")).agg(F.bitmap_construct_agg(bit).alias("_bitmap"))
+    tested = rows.withColumn("_block", block).join(F.broadcast(filled), "_block", "left").withColumn("_maybe", F.coalesce(is_set(bit), F.lit(False))).drop("_block", "_bitmap")
+    some = tested.where("_maybe").join(own, ["_key", "_text_id"], "left").select("input", "_text", "_starts")
+    joined = some.union(tested.where("not _maybe").select("input", "_text", F.lit(None).cast("array<int>").alias("_starts")))
     kernel = F.arrow_udf(remove, "struct<n_words: long, n_removed: long, kept_text: string>").asNondeterministic()
     return joined.select("input", kernel("_text", "_starts").alias("_out")).select("input", "_out.*")
 
