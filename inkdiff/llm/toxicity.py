@@ -118,13 +118,15 @@ def train(rows: list[tuple[int, int, str]]) -> Model:
     learn = [r for r in rows if r[0] != 4]
     if len({y for _, y, _ in rows}) < 2 or len({y for _, y, _ in learn}) < 2:
         return Model(b"", b"", 0, (), share)
-    cut = {y: [list(dict.fromkeys(windows_of(t, 1))) for _, label, t in learn if label == y] for y in (0, 1)}
+    known: dict[bytes, bytes] = {}  # one object for each distinct window
+    cut = {y: [[known.setdefault(w, w) for w in dict.fromkeys(windows_of(t, 1))] for _, label, t in learn if label == y] for y in (0, 1)}
     seen = {y: Counter(w for own in texts for w in own) for y, texts in cut.items()}
     least = max(LEAST, LEAST_SHARE * len(cut[1]))
     apart = {w for w, n in seen[1].items() if n >= least and n / len(cut[1]) >= RATIO * (seen[0][w] + 0.5) / len(cut[0])}
     ordinary = _dictionary([t.lower().encode() for _, y, t in learn if y == 0], ORDINARY_BYTES, 64)
     toxic = _dictionary([b"".join(w for w in own if w in apart) for own in cut[1]], TOXIC_BYTES, 24)
     toxic = ordinary[: max(0, len(ordinary) - len(toxic))] + toxic
+    del known, cut, seen
     saved = Savings(ordinary, toxic)
     check = [r for r in rows if r[0] == 4]
     check = check if len({y for _, y, _ in check}) == 2 else rows
