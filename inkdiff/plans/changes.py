@@ -419,8 +419,8 @@ def diagnostics(spark, sf_dir):
 
 
 def labelled_pairs(spark, sf_dir):
-    """Clause pairs of the corpus with their expected types, as labelled data."""
-    p = keyed_pairs(spark, sf_dir).where("ordinal < 8 and pair_id in ('pair_0', 'pair_1')")
+    """All clause pairs of the corpus with their expected types, as labelled data; pair and ordinal make the id."""
+    p = keyed_pairs(spark, sf_dir)
     kind = F.expr(_KIND)
     return p.select(F.concat_ws("_", "pair_id", F.col("ordinal").cast("string")).alias("id"), kind.alias("category"), F.coalesce("text_a", F.lit("")).alias("clause_a_text"), F.coalesce("text_b", F.lit("")).alias("clause_b_text"), (~F.col("k").isin(11, 12)).alias("expected_match"), kind.alias("expected_change_type"), F.lit("").alias("notes"))
 
