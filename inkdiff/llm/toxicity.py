@@ -6,9 +6,11 @@ fixed marker that both dictionaries hold, since zstandard looks for no match in
 block headers would otherwise hide what a short window gains.
 
 Training (on a bounded sample of labelled rows outside fold 0, see LIMITS and _labels.py): the ordinary dictionary is
-trained on ordinary texts. The toxic one has the same content, but for its end, which is trained on those windows that
-toxic texts have `RATIO` times as often as ordinary ones, and in LEAST texts or LEAST_SHARE of them at least. So what
-both kinds of text share compresses alike and cancels. Folds 1-3 give the dictionaries; fold 4, which they have not
+trained on ordinary texts. The toxic one has the same content, but for its end, which holds the words that toxic texts
+have `RATIO` times as often as ordinary ones, so surely that chance is ruled out (a log-likelihood ratio of SURE, which
+chance reaches once in a thousand words). A word needs a number of texts for that, not a share of them: more labels let
+rarer words in, whatever language or source they come from. The surest words stand last, and only beyond TOXIC_BYTES
+the least sure ones are left out. What both kinds of text share compresses alike and cancels. Folds 1-3 give the dictionaries; fold 4, which they have not
 seen, calibrates: the window threshold with the best fit, and a logistic curve over the largest saving, the mean of the
 three largest and the number of windows beyond the threshold.
 
@@ -31,8 +33,8 @@ from ._labels import fold, sample
 
 #: Rows of each label that are learned from, at most.
 LIMITS = {1: 5000, 0: 9000}
-WORDS, ORDINARY_BYTES, TOXIC_BYTES = 1, 65536, 4096
-LEAST, LEAST_SHARE, RATIO = 3, 0.012, 8.0
+WORDS, ORDINARY_BYTES, TOXIC_BYTES = 1, 65536, 32768
+RATIO, SURE = 8.0, 10.83
 MARK = bytes(range(1, 17))
 CACHED = 200_000
 _kernels: dict = {}
@@ -96,6 +98,18 @@ def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
         return (b"".join(samples))[-size:]
 
 
+def toxic_words(seen: dict[int, Counter], texts: dict[int, int]) -> list[bytes]:
+    """The windows that tell toxic texts, least sure first: seen counts each label's texts with a window, of texts in all."""
+    share, found = texts[1] / (texts[0] + texts[1]), []
+    for w, n in seen[1].items():
+        other = seen[0][w]
+        if n / texts[1] >= RATIO * (other + 0.5) / texts[0]:
+            sure = 2 * (n * math.log(n / ((n + other) * share)) + (other * math.log(other / ((n + other) * (1 - share))) if other else 0.0))
+            if sure >= SURE:
+                found.append((sure, w))
+    return [w for _, w in sorted(found)]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:
     """Weights, intercept first, and the loss, by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -121,10 +135,8 @@ def train(rows: list[tuple[int, int, str]]) -> Model:
     known: dict[bytes, bytes] = {}  # one object for each distinct window
     cut = {y: [[known.setdefault(w, w) for w in dict.fromkeys(windows_of(t, 1))] for _, label, t in learn if label == y] for y in (0, 1)}
     seen = {y: Counter(w for own in texts for w in own) for y, texts in cut.items()}
-    least = max(LEAST, LEAST_SHARE * len(cut[1]))
-    apart = {w for w, n in seen[1].items() if n >= least and n / len(cut[1]) >= RATIO * (seen[0][w] + 0.5) / len(cut[0])}
     ordinary = _dictionary([t.lower().encode() for _, y, t in learn if y == 0], ORDINARY_BYTES, 64)
-    toxic = _dictionary([b"".join(w for w in own if w in apart) for own in cut[1]], TOXIC_BYTES, 24)
+    toxic = b"".join(toxic_words(seen, {y: len(texts) for y, texts in cut.items()}))[-TOXIC_BYTES:]
     toxic = ordinary[: max(0, len(ordinary) - len(toxic))] + toxic
     del known, cut, seen
     saved = Savings(ordinary, toxic)
