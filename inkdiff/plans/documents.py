@@ -87,7 +87,7 @@ def provenance_rank(spark, sf_dir):
 
 @query("SELECT session_id, ordinal, source_rank FROM (SELECT 's' || CAST(page_id % 20 AS VARCHAR) AS session_id, CAST(page_id // 20 AS INT) AS ordinal, page_id % 3 + 1 AS source_rank FROM pages WHERE page_id % 4 <> 0) QUALIFY source_rank = min(source_rank) OVER (PARTITION BY session_id)")
 def search_fallback(spark, sf_dir):
-    rows = _pages(spark, sf_dir).where("page_id % 4 <> 0").select(F.concat(F.lit("s"), (F.col("page_id") % 20).cast("string")).alias("session_id"), (F.col("page_id") / 20).cast("int").alias("ordinal"), (F.col("page_id") % 3 + 1).alias("source_rank"))
+    rows = _pages(spark, sf_dir).select(F.concat(F.lit("s"), (F.col("page_id") % 20).cast("string")).alias("session_id"), (F.col("page_id") / 20).cast("int").alias("ordinal"), (F.col("page_id") % 3 + 1).alias("source_rank"))
     return p.first_source(rows).select("session_id", "ordinal", "source_rank")
 
 
@@ -102,7 +102,7 @@ def link_scrape(spark, sf_dir):
         F.lit('<a class="result__a" href="?'), u, F.lit('">A <b>&amp;</b> B '), F.col("page_id").cast("string"), F.lit('</a><a class="result__snippet">it&#x27;s '), F.col("page_id").cast("string"),
         F.lit('</a><a href="?'), u, F.lit('"></a><a href="?uddg=http%3A%2F%2Fsecond.example.org%2F">'),
     )
-    rows = _pages(spark, sf_dir).where(~F.contains("url", F.lit("&"))).select("page_id", page.alias("html"))
+    rows = _pages(spark, sf_dir).select("page_id", page.alias("html"))
     return p.scrape_results(rows).select("page_id", "ordinal", "source_url", "document_title", "snippet")
 
 

@@ -4,7 +4,7 @@ import math
 import re
 from collections import Counter
 
-from inkdiff.plans import changes
+from inkdiff.plans import changes, documents
 
 
 def parts(spark, tmp_path, n):
@@ -35,3 +35,23 @@ def test_evaluation_judges_every_pair(spark, tmp_path):
         caught = sum(x and r["expected_match"] for x, r in zip(told, rows, strict=True))
         assert (report[name]["total_count"], report[name]["correct_count"]) == (100, right)
         assert report[name]["recall"] == round(caught / sum(r["expected_match"] for r in rows), 4)
+
+
+def web_pages(spark, tmp_path):
+    urls = {k: f"https://a{k % 7}.org/p/{k}" + ("?page=2&ref=x" if k % 6 == 0 else "?q=a+b%20c" if k % 6 == 1 else "") for k in range(60)}
+    spark.createDataFrame([(k, u, "") for k, u in urls.items()], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    return urls, str(tmp_path)
+
+
+def test_links_of_every_page(spark, tmp_path):
+    urls, folder = web_pages(spark, tmp_path)
+    expected = [(k, 1, u, f"A & B {k}", f"it's {k}") for k, u in urls.items()] + [(k, 3, "http://second.example.org/", "", "") for k in urls]
+    assert sorted(tuple(r) for r in documents.link_scrape(spark, folder).collect()) == sorted(expected)
+
+
+def test_first_source_of_every_session(spark, tmp_path):
+    urls, folder = web_pages(spark, tmp_path)
+    rows = [(f"s{k % 20}", k // 20, k % 3 + 1) for k in urls]
+    least = {s: min(x[2] for x in rows if x[0] == s) for s, *_ in rows}
+    assert len(least) == 20
+    assert sorted(tuple(r) for r in documents.search_fallback(spark, folder).collect()) == sorted(x for x in rows if x[2] == least[x[0]])
