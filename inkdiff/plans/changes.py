@@ -219,7 +219,7 @@ _TEMPLATE = "CASE change_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
     WHEN k = 14 THEN ' Detected: Conditional phrases added or removed — now: provided that.' ELSE '' END AS summary, 0.85::DOUBLE AS confidence, 'deterministic' AS provider_used FROM places WHERE k NOT IN (6, 9, 10)"""
 )
 def summaries(spark, sf_dir):
-    s = report.generate_summaries(changes(spark, sf_dir)).where("k not in (6, 9, 10)")
+    s = report.generate_summaries(changes(spark, sf_dir))
     return s.select("pair_id", "ordinal", "summary.summary", "summary.confidence", "summary.provider_used")
 
 
@@ -229,9 +229,8 @@ def summaries(spark, sf_dir):
     FROM paired"""
 )
 def prompts(spark, sf_dir):
-    """The prompt's opening, up to the signals."""
-    p = reported(spark, sf_dir).where("match_type = 'hybrid'").withColumn("p", report.prompt())
-    return p.select("pair_id", "ordinal", F.concat(F.substring_index("p", "DETECTED SIGNALS: ", 1), F.lit("DETECTED SIGNALS: ")).alias("opening"))
+    """The whole prompt of each pair, with its signals and instructions."""
+    return reported(spark, sf_dir).where("match_type = 'hybrid'").select("pair_id", "ordinal", report.prompt().alias("prompt"))
 
 
 @query(

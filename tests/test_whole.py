@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter
 
+from inkdiff.corpus import clauses
+from inkdiff.operators import report
 from inkdiff.plans import changes, documents
 
 
@@ -28,13 +30,13 @@ def test_evaluation_judges_every_pair(spark, tmp_path):
     folder = parts(spark, tmp_path, 100)
     rows = changes.labelled_pairs(spark, folder).collect()
     assert len(rows) == len({r["id"] for r in rows}) == 100
-    report = {r["name"]: r for r in changes.evaluation_report(spark, folder).collect()}
+    judged = {r["name"]: r for r in changes.evaluation_report(spark, folder).collect()}
     for name, least in (("baseline", 0.0), ("hybrid", 0.35)):
         told = [bool(r["clause_a_text"] and r["clause_b_text"]) and 0.5 ** (name == "hybrid") * lone_cosine(r["clause_a_text"], r["clause_b_text"]) >= least for r in rows]
         right = sum(x == r["expected_match"] for x, r in zip(told, rows, strict=True))
         caught = sum(x and r["expected_match"] for x, r in zip(told, rows, strict=True))
-        assert (report[name]["total_count"], report[name]["correct_count"]) == (100, right)
-        assert report[name]["recall"] == round(caught / sum(r["expected_match"] for r in rows), 4)
+        assert (judged[name]["total_count"], judged[name]["correct_count"]) == (100, right)
+        assert judged[name]["recall"] == round(caught / sum(r["expected_match"] for r in rows), 4)
 
 
 def web_pages(spark, tmp_path):
@@ -55,3 +57,37 @@ def test_first_source_of_every_session(spark, tmp_path):
     least = {s: min(x[2] for x in rows if x[0] == s) for s, *_ in rows}
     assert len(least) == 20
     assert sorted(tuple(r) for r in documents.search_fallback(spark, folder).collect()) == sorted(x for x in rows if x[2] == least[x[0]])
+
+
+def numbers(text):
+    return ", ".join(x for x in re.findall(r"[A-Za-z]?[0-9]+(?:\.[0-9]+)?", text) if x[0].isdigit())
+
+
+def test_summaries_and_prompts_are_whole(spark, tmp_path):
+    folder = parts(spark, tmp_path, 96)
+    text = {(r["pair_id"], r["ordinal"], r["side"]): (r["k"], r["text"]) for r in clauses(spark, folder).collect()}
+    kinds = {11: "added", 12: "removed", 13: "wording_only", 14: "wording_only", 15: "uncertain"} | dict.fromkeys(range(6), "unchanged") | dict.fromkeys(range(6, 11), "substantive")
+    fixed = {7: ("negation_change", "Negation words added or removed", "now: not"), 8: ("modal_change", "Modal/obligation words changed", "was: must — now: may"), 14: ("condition_change", "Conditional phrases added or removed", "now: provided that")}
+    summaries, prompts = {}, {}
+    for p, o in {(p, o) for p, o, _ in text}:
+        (k, old), (_, new) = (text.get((p, o, s), (0, "")) for s in "ab")
+        k = max(k, text.get((p, o, "b"), (0,))[0])
+        told = [fixed[k]] if k in fixed else []
+        if k in (6, 9, 10):
+            told.append(("numeric_change", "Numeric values differ between versions", f"was: {numbers(old)} — now: {numbers(new)}"))
+        if k == 9:
+            told.append(("date_change", "Date references differ between versions", "was: 5 March 2024 — now: 6 April 2025"))
+        if k == 10:
+            told.append(("monetary_change", "Monetary values differ between versions", f"was: {re.search(r'[$][0-9]+', old)[0]} — now: {re.search(r'[$][0-9]+', new)[0]}"))
+        summaries[p, o] = report.TEMPLATES[kinds[k]] + (" Detected: " + "; ".join(f"{d} — {v}" for _, d, v in told) + "." if told else "")
+        if old and new:
+            place = lambda s: f"({p} {s}, Clause {p}_{s}_clause_{o:04d}, Page {o // 10 + 1}):"  # noqa: B023, E731
+            signals = "; ".join(f"{t}: {d}" for t, d, _ in told) or "none"
+            prompts[p, o] = (
+                f"OLD CLAUSE {place('a')}\n{old}\n\nNEW CLAUSE {place('b')}\n{new}\n\nDETECTED SIGNALS: {signals}\n\nRespond ONLY in JSON:\n"
+                '{"summary": "...", "classification_suggestion": "wording_only|substantive|uncertain", "confidence": "high|medium|low"}\n\n'
+                "Do NOT invent citations, legal consequences, or information not in the text above."
+            )
+    assert len(summaries) == 96
+    assert {(r["pair_id"], r["ordinal"]): r["summary"] for r in changes.summaries(spark, folder).collect()} == summaries
+    assert {(r["pair_id"], r["ordinal"]): r["prompt"] for r in changes.prompts(spark, folder).collect()} == prompts
