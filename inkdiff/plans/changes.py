@@ -346,10 +346,10 @@ def section_metadata(spark, sf_dir):
     FROM documents WHERE regexp_matches(text, '^[A-Z][a-z]+(\\.| [a-z .]*\\.)$') AND lang = 'en'"""
 )
 def clause_flags(spark, sf_dir):
-    """One-line English documents: all preamble, some short."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").rlike(r"\A[A-Z][a-z]+(\.| [a-z .]*\.)\z") & (F.col("lang") == "en"))
+    """Flags of every clause of every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = segment.segment(segment.normalize_pages(docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("d").alias("document_name"), F.lit("v1").alias("version"), F.lit(1).alias("page_number"), F.col("text").alias("original_text"))))
-    return found.select(F.col("document_id").cast("long").alias("doc_id"), "flagged_for_review", "review_reason")
+    return found.select(F.col("document_id").cast("long").alias("doc_id"), "ordinal", "flagged_for_review", "review_reason")
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")

@@ -91,3 +91,21 @@ def test_summaries_and_prompts_are_whole(spark, tmp_path):
     assert len(summaries) == 96
     assert {(r["pair_id"], r["ordinal"]): r["summary"] for r in changes.summaries(spark, folder).collect()} == summaries
     assert {(r["pair_id"], r["ordinal"]): r["prompt"] for r in changes.prompts(spark, folder).collect()} == prompts
+
+
+def test_flags_of_every_clause(spark, tmp_path):
+    docs = [
+        (1, "Short one.", "en"),
+        (2, "Über 12 Zeilen und Zeichen hinaus geht das.", "de"),
+        (3, "What stands before the headings is long.\n1. Scope\nAll rules here apply to everyone.\n2. End\nx", "en"),
+        (4, "", "fr"),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    first = "preamble (before first heading)"
+    assert sorted(tuple(r) for r in changes.clause_flags(spark, str(tmp_path)).collect()) == [
+        (1, 0, True, f"{first}; short clause (10 < 20 chars)"),
+        (2, 0, True, first),
+        (3, 0, True, first),
+        (3, 1, False, ""),
+        (3, 2, True, "short clause (8 < 20 chars)"),
+    ]
