@@ -147,18 +147,14 @@ def number_score(spark, sf_dir):
     return side("a").join(side("b"), "pair_id").select("pair_id", "a_ordinal", "b_ordinal", F.coalesce(align.number_score(F.col("n_a"), F.col("n_b")), F.lit(0.0)).alias("number_score"))
 
 
-def _same_place(spark, sf_dir):
-    return align.score_pairs(clauses(spark, sf_dir)).where("a_ordinal = b_ordinal")
-
-
 @query(
     f"""{_TERMS} SELECT pair_id, a_ordinal, 1.0::DOUBLE AS number_score, 1.0::DOUBLE AS heading_score, round(s, 5) AS tfidf_score, round(0.2 + 0.3 + 0.5 * s, 5) AS match_score
     FROM cosines WHERE a_ordinal = b_ordinal"""
 )
 def hybrid_score(spark, sf_dir):
-    """Scores of the pairs of one place."""
-    s = _same_place(spark, sf_dir)
-    return s.select("pair_id", "a_ordinal", "number_score", "heading_score", F.round("tfidf_score", 5).alias("tfidf_score"), F.round("match_score", 5).alias("match_score"))
+    """Scores of all clause pairs of each document pair."""
+    s = align.score_pairs(clauses(spark, sf_dir))
+    return s.select("pair_id", "a_ordinal", "b_ordinal", "number_score", "heading_score", F.round("tfidf_score", 5).alias("tfidf_score"), F.round("match_score", 5).alias("match_score"))
 
 
 @query()
@@ -170,13 +166,14 @@ def heading_score(spark, sf_dir):
 
 @query(f"{duck()} SELECT 'hybrid' AS match_type, count(*) AS n FROM corpus a JOIN corpus b USING (pair_id, ordinal) WHERE a.side = 'a' AND b.side = 'b'")
 def match_bands(spark, sf_dir):
-    s = _same_place(spark, sf_dir)
+    """How many of all clause pairs fall in each band; null is below the review threshold."""
+    s = align.score_pairs(clauses(spark, sf_dir))
     return s.groupBy(align.match_type(F.col("match_score"), CONFIG).alias("match_type")).agg(F.count("*").alias("n"))
 
 
 @query(f"{duck()} SELECT a.pair_id, a.ordinal AS a_ordinal, count(*) FILTER (a.ordinal = b.ordinal) AS candidates FROM corpus a JOIN corpus b USING (pair_id) WHERE a.side = 'a' AND b.side = 'b' GROUP BY ALL")
 def restructure_flags(spark, sf_dir):
-    return align.restructure_counts(align.score_pairs(clauses(spark, sf_dir)), Config(review_threshold=0.45))
+    return align.restructure_counts(align.score_pairs(clauses(spark, sf_dir)), CONFIG)
 
 
 _MATCHED = f"""{duck()}, a AS (SELECT * FROM corpus WHERE side = 'a'), b AS (SELECT * FROM corpus WHERE side = 'b'),

@@ -109,3 +109,56 @@ def test_flags_of_every_clause(spark, tmp_path):
         (3, 1, False, ""),
         (3, 2, True, "short clause (8 < 20 chars)"),
     ]
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def brute_scores(rows):
+    """{(pair, a, b): (number, heading, text, match)} of all clause pairs of each document pair."""
+    out = {}
+    for pair in {r["pair_id"] for r in rows}:
+        own = [r for r in rows if r["pair_id"] == pair]
+        counts, df = [], Counter()
+        for r in own:
+            words = re.findall(r"\b\w\w+\b", r["text"].lower())
+            counts.append(Counter(words + [f"{x} {y}" for x, y in zip(words, words[1:], strict=False)]))
+            df.update(counts[-1].keys())
+        assert len(df) <= 5000
+        weights = []
+        for c in counts:
+            raw = {t: n * (math.log((1 + len(own)) / (1 + df[t])) + 1) for t, n in c.items()}
+            norm = math.sqrt(sum(w * w for w in raw.values()))
+            weights.append({t: w / norm for t, w in raw.items()})
+        for a, wa in zip(own, weights, strict=True):
+            for b, wb in zip(own, weights, strict=True):
+                if (a["side"], b["side"]) == ("a", "b"):
+                    m, n = (str(r["ordinal"] + 1) for r in (a, b))
+                    number = 1.0 if m == n else 0.5 if m.startswith(n) or n.startswith(m) else 0.0
+                    p, q = (" ".join(sorted(r["heading"].split())) for r in (a, b))
+                    heading = 2 * common(p, q) / (len(p) + len(q))
+                    text = min(1.0, sum(w * wb.get(t, 0.0) for t, w in wa.items()))
+                    out[pair, a["ordinal"], b["ordinal"]] = number, heading, text, 0.2 * number + 0.3 * heading + 0.5 * text
+    return out
+
+
+def test_scores_of_all_clause_pairs(spark, tmp_path):
+    folder = parts(spark, tmp_path, 60)
+    expected = brute_scores(clauses(spark, folder).collect())
+    found = {(r["pair_id"], r["a_ordinal"], r["b_ordinal"]): (r["number_score"], r["heading_score"], r["tfidf_score"], r["match_score"]) for r in changes.hybrid_score(spark, folder).collect()}
+    assert found.keys() == expected.keys()
+    assert all(abs(x - y) < 1.1e-5 for key in found for x, y in zip(found[key], expected[key], strict=True))
+    assert all(min(abs(s[3] - 0.35), abs(s[3] - 0.5)) > 1e-9 for s in expected.values())
+    bands = Counter("hybrid" if s[3] >= 0.5 else "needs_review" if s[3] >= 0.35 else None for s in expected.values())
+    assert {r["match_type"]: r["n"] for r in changes.match_bands(spark, folder).collect()} == bands and None in bands
+    flags = Counter({key[:2]: 0 for key in expected})
+    flags.update(key[:2] for key, s in expected.items() if s[3] >= 0.35)
+    assert {(r["pair_id"], r["a_ordinal"]): r["candidates"] for r in changes.restructure_flags(spark, folder).collect()} == dict(flags)
