@@ -47,11 +47,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def linked_spans(text: str, strong: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[int, int, str]]:
     """The weak spans whose complementary parts co-occur."""
     covered = sorted(strong)
+    ends = _running_ends([(start, end) for start, end, _ in covered])
     weak = []
     for kind, _, pattern in WEAK:
         for m in pattern.finditer(text):
             k = bisect.bisect_left(covered, (m.end(),))
-            if not any(end > m.start() for _, end, _ in covered[max(0, k - 8) : k]):
+            if not k or ends[k - 1] <= m.start():
                 weak.append((m.start(), m.end(), kind))
     if not weak:
         return []

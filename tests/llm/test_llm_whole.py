@@ -2,7 +2,7 @@
 
 import random
 
-from inkdiff.llm import toxicity
+from inkdiff.llm import secret_scan, toxicity
 
 
 def test_toxic_words_of_a_small_language_are_learned():
@@ -22,3 +22,12 @@ def test_toxic_words_of_a_small_language_are_learned():
         assert caught and sum(caught) / len(caught) > 0.8
     clean = [toxicity.score_text(t, model, saved) >= 0.5 for f, y, t, s in rows if f == 0 and not y]
     assert sum(clean) / len(clean) < 0.05
+
+
+def test_weak_spans_inside_a_long_strong_one():
+    """A strong value with more than eight strong spans inside covers its whole length."""
+    value = "/".join(["0123456789abcdef" * 2] * 12) + "/pin=abcd1234"
+    found = secret_scan.find_spans(f"username: someone token={value}")
+    assert sum(s["base"] for s in found) == 13
+    strong = [s for s in found if s["base"]]
+    assert not [s for s in found if not s["base"] and any(s["start"] < b["end"] and b["start"] < s["end"] for b in strong)]
