@@ -20,7 +20,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int],
     """(fold, label, text) of labelled rows outside fold 0: for each label value, `most` rows at most, by the hash of the key.
 
     The labels alone are sorted and cut, so the documents are joined with a small, bounded table. Rows without a key,
-    text or label are left out; of several labels of one key the largest counts.
+    text or label are left out; of several labels of one key the largest counts. If the texts have more than TOTAL
+    characters, each label keeps the same part of its rows, the first ones by the hash: lengths are read before texts.
     """
     known = labels.select(labels[key].alias("_key"), labels[label].cast("int").alias("_label")).where("_key is not null and _label is not null")
     chosen = None
@@ -29,17 +30,33 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int],
         chosen = one if chosen is None else chosen.union(one)
     chosen = chosen.groupBy("_key").agg(F.max("_label").alias("_label"))
     texts = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).where(F.char_length("_text") <= LONGEST)
-    rows = texts.join(F.broadcast(chosen), "_key").select(fold("_key").alias("_fold"), "_label", "_text", "_key")
-    out, total = [], 0
-    for r in rows.toLocalIterator():
-        total += len(r["_text"])
-        if total > TOTAL:
-            break
-        out.append((r["_key"], r["_fold"], r["_label"], r["_text"]))
+    rows = texts.join(F.broadcast(chosen), "_key").select(fold("_key").alias("_fold"), "_label", "_text", "_key", F.xxhash64("_key").alias("_hash"))
+    sizes = rows.groupBy("_label", "_hash").agg(F.sum(F.char_length("_text")).alias("n")).collect()
+    if sum(r["n"] for r in sizes) > TOTAL:
+        rows = rows.where(_within([tuple(r) for r in sizes]))
+    out = [(r["_key"], r["_fold"], r["_label"], r["_text"]) for r in rows.toLocalIterator()]
     out.sort(key=lambda r: (r[0], r[3]))
     return [r[1:] for r in out]
 
 
+def _within(sizes: list[tuple[int, int, int]]) -> Column:
+    """Which rows to keep of (label, hash, characters): an equal part of each label, by the hash, up to TOTAL characters."""
+    placed = []
+    for label in sorted({x[0] for x in sizes}):
+        own = sorted(x for x in sizes if x[0] == label)
+        placed += [((k + 1) / len(own), *x) for k, x in enumerate(own)]
+    last, total = {}, 0
+    for _, label, key, n in sorted(placed):
+        total += n
+        if total > TOTAL:
+            break
+        last[label] = key
+    keep = F.lit(False)
+    for label, key in last.items():
+        keep = keep | ((F.col("_label") == label) & (F.col("_hash") <= F.lit(key)))
+    return keep
+
+
 def grades(labels: DataFrame, label: str) -> list[int]:
     """The distinct values of the label column: at most 100 of them."""
     rows = labels.select(labels[label].cast("int").alias("g")).where("g is not null").distinct().limit(101).collect()

@@ -2,7 +2,7 @@
 
 import random
 
-from inkdiff.llm import secret_scan, toxicity
+from inkdiff.llm import _labels, secret_scan, toxicity
 
 
 def test_toxic_words_of_a_small_language_are_learned():
@@ -31,3 +31,15 @@ def test_weak_spans_inside_a_long_strong_one():
     assert sum(s["base"] for s in found) == 13
     strong = [s for s in found if s["base"]]
     assert not [s for s in found if not s["base"] and any(s["start"] < b["end"] and b["start"] < s["end"] for b in strong)]
+
+
+def test_the_sample_bound_cuts_evenly(spark, monkeypatch):
+    """Beyond the bound the rows of a table ordered by label are a part of each label, whatever the order of the files."""
+    docs = [(i, f"{i:010d}") for i in range(1000)]
+    labels = spark.createDataFrame([(i, int(i >= 800)) for i, _ in docs], "doc_id long, toxic int")
+    monkeypatch.setattr(_labels, "TOTAL", 3000)
+    found = [_labels.sample(spark.createDataFrame(d, "doc_id long, text string").coalesce(1), labels, "toxic", {1: 1000, 0: 1000}) for d in (docs, docs[::-1])]
+    assert found[0] == found[1] and 295 <= len(found[0]) <= 300
+    assert 0.15 < sum(y for _, y, _ in found[0]) / len(found[0]) < 0.25
+    firsts = sum(int(t) < 400 for _, y, t in found[0] if not y) / sum(not y for _, y, _ in found[0])
+    assert 0.35 < firsts < 0.65
