@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import discard, materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,6 +13,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round links every node's larger neighbours, and then its smaller ones, with its least neighbour (large star and
     small star). The edge list never grows, so no node gathers its neighbours in one task: only minima are aggregated.
+    A round's table is removed as soon as the next one is written; the result is written and may be discarded.
     """
     current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -23,11 +24,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(small_least, "a")
         small = joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        current = materialize(small, "edges")
+        past, current = current, materialize(small, "edges")
+        discard(past)
         mark = tuple(current.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if mark == before:
             break
         before = mark
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return current.select(F.col("a").alias("node"), F.col("b").alias("label")).union(current.select(F.col("b"), F.col("b")).distinct())
+    named = current.select(F.col("a").alias("node"), F.col("b").alias("label")).union(current.select(F.col("b"), F.col("b")).distinct())
+    out = materialize(named, "components")
+    discard(current)
+    return out
