@@ -17,8 +17,10 @@ Texts of one set of shingles are one class, whatever their number. The join runs
 4. Then the stars meet, not their members. 1 - similarity is a metric, so two stars can have a link between members only
    if their centres are no further apart than both members are from their centres and one link from each other. Stars
    that share too few tokens, or whose centres are too far apart, are done with one comparison; only of the others the
-   members are compared with the other star's centre, and what is still possible after that, with each other. So each
-   candidate pair is verified, or ruled out by a bound, or lies inside a component already.
+   members are compared with the other star's centre, and what is still possible after that, with each other. A set's
+   fingerprint has the parity of its shingles in each of some cells; as many cells as differ between two sets, so many
+   shingles do at least, which rules out most of these pairs where they are made. So each candidate pair is verified, or
+   ruled out by a bound, or lies inside a component already.
 5. A pair is verified exactly on the whole sets of both, which are read again for candidate classes only.
 
 Every text counts with its whole length. A text with fewer words than a shingle has the whole sequence as its one; null
@@ -49,6 +51,7 @@ VERIFY_COST = 50.0  # of a candidate, in postings read
 MUCH = 8  # star rounds go on while one of so many pairs is a link
 HOT = 1 / 64  # of all rows
 FILTER_BITS = 1 << 26
+MARKS = 16  # of 64 bits each, of a set's fingerprint
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +215,7 @@ def shared_shingles(docs: DataFrame, text: str, words: int, buckets: int, hot: d
     def _known(tokens: np.ndarray) -> np.ndarray:
         return np.isin(tokens, sent[0].value) if len(sent[0].value) else np.zeros(len(tokens), bool)
 
-    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, "part int, names binary, sizes binary, held binary, tokens binary, dfs binary")
+    return packed.repartition(max(1, buckets // 2), "bucket").groupBy("bucket").applyInArrow(count, "part int, names binary, sizes binary, held binary, tokens binary, dfs binary")
 
 
 def _runs(ordered: np.ndarray) -> np.ndarray:
@@ -256,11 +259,11 @@ def adaptive_prefixes(shared: DataFrame, buckets: int, threshold: float, longest
         kept = (alone <= spare) & (matches <= l)
         return pa.table({"token": t[kept].view(np.int64), "class": c[kept], "n": n[kept].astype(np.int32), "place": place[kept].astype(np.int32), "l": l[kept].astype(np.int32), "central": central[kept]})
 
-    return shared.repartition(buckets, "part").groupBy("part").applyInArrow(choose, "token long, class long, n int, place int, l int, central double")
+    return shared.repartition(max(1, buckets // 2), "part").groupBy("part").applyInArrow(choose, "token long, class long, n int, place int, l int, central double")
 
 
 def _bodies(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(class, body): the sets of the wanted classes. A bit filter of fixed size spares most other texts the way."""
+    """(class, body, n, marks): the sets of the wanted classes, their sizes and fingerprints. A bit filter of fixed size spares most other texts the way."""
     slot = F.pmod(F.col("class"), F.lit(FILTER_BITS)) + 1
     maps = wanted.select(F.bitmap_bucket_number(slot).alias("k"), F.bitmap_bit_position(slot).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -273,7 +276,7 @@ def _bodies(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFr
         for batch in batches:
             for texts in _pieces(batch.column(0)):
                 h, bounds = shingle_sets(texts, words)
-                names, bodies = [], []
+                names, bodies, sizes, marks = [], [], [], []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     if b > a:
                         name = class_of(h[a:b])
@@ -283,10 +286,25 @@ def _bodies(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFr
                                 seen.add(name)
                             names.append(name)
                             bodies.append(h[a:b].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(bodies, pa.binary())], names=["class", "body"])
+                            sizes.append(b - a)
+                            marks.append(fingerprint(h[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(bodies, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["class", "body", "n", "marks"])
 
-    found = docs.select(docs[text]).mapInArrow(fetch, "class long, body binary")
-    return found.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("body").alias("body"))
+    found = docs.select(docs[text]).mapInArrow(fetch, "class long, body binary, n long, marks array<long>")
+    return found.join(wanted, "class", "left_semi").groupBy("class").agg(*(F.first(c).alias(c) for c in ("body", "n", "marks")))
+
+
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of 64 * MARKS cells, as MARKS integers."""
+    cells = 64 * MARKS
+    return np.packbits(np.bincount((shingles & U(cells - 1)).astype(np.int64), minlength=cells) & 1).view(np.int64)
+
+
+def _most_similar(n_a, marks_a, n_b, marks_b):
+    """A bound of the similarity of two sets, of their sizes and fingerprints."""
+    differ = sum((F.bit_count(marks_a[k].bitwiseXOR(marks_b[k])) for k in range(MARKS)), F.lit(0))
+    both = n_a + n_b
+    return (both - differ) / (both + differ)
 
 
 def similarities(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -302,8 +320,8 @@ def similarities(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
             out[k] = shared / (len(both) - shared)
         return pa.array(out)
 
-    first = pairs.join(bodies.toDF("a", "body_a"), "a")
-    both = first.join(bodies.toDF("b", "body_b"), "b")
+    first = pairs.join(bodies.select(F.col("class").alias("a"), F.col("body").alias("body_a")), "a")
+    both = first.join(bodies.select(F.col("class").alias("b"), F.col("body").alias("body_b")), "b")
     measured = both.withColumn("sim", F.arrow_udf(similar, "double").asNondeterministic()("body_a", "body_b"))
     return measured.drop("body_a", "body_b").where(F.col("sim") >= F.col("floor") - 1e-9)
 
@@ -400,7 +418,7 @@ def links(docs: DataFrame, text: str, words: int, threshold: float, hot: dict[in
     spark = docs.sparkSession
     splits = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     parts = input_splits(docs) * max(1, splits // (16 << 20))
-    buckets = 1 << max(0, (parts - 1).bit_length())
+    buckets = 4 << max(0, (parts - 1).bit_length())  # several a partition, so that these are of like size
     prefixes = materialize(adaptive_prefixes(shared_shingles(docs, text, words, buckets, hot), buckets, threshold), "prefixes")
     several = prefixes.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("token")
     postings = materialize(prefixes.join(several, "token", "left_semi"), "postings")
@@ -433,8 +451,9 @@ def _join_stars(opened: DataFrame, stars: list[DataFrame], bodies: DataFrame, fo
     every = stars[0]
     for s in stars[1:]:
         every = every.union(s)
-    members = materialize(_star_units(every), "members")
-    own = opened.join(members, "class", "left").withColumn("unit", F.coalesce("unit", "class")).withColumn("far", F.coalesce("far", F.lit(0.0)))
+    marked = bodies.select("class", F.col("n").alias("size"), "marks")
+    members = materialize(_star_units(every).join(marked, "class"), "members")
+    own = opened.join(members.select("class", "unit", "far"), "class", "left").withColumn("unit", F.coalesce("unit", "class")).withColumn("far", F.coalesce("far", F.lit(0.0)))
     own = materialize(own, "own")
     # centres
     units = _unit_pairs(own, threshold)
@@ -447,20 +466,25 @@ def _join_stars(opened: DataFrame, stars: list[DataFrame], bodies: DataFrame, fo
     discard(near)
     if not rest.isEmpty():
         # members with the other star's centre: each within reach of one link to a member of the other
-        crossed = rest.union(rest.select("y", "x", "y_far", "x_far", "sim"))
+        crossed = rest.union(rest.select("y", "x", "y_far", "x_far", "sim")).withColumn("floor", 1 - F.col("y_far") - link)
+        crossed = materialize(crossed.join(marked.toDF("y", "y_size", "y_marks"), "y"), "crossed")
         reach = members.withColumnRenamed("unit", "x").join(crossed, "x").where(F.col("far") + link + F.col("y_far") >= 1 - F.col("sim") - 1e-9)
-        spokes = materialize(reach.select(F.col("class").alias("a"), F.col("y").alias("b"), F.col("x").alias("home"), "far", (1 - F.col("y_far") - link).alias("floor")), "spokes")
+        reach = reach.where(_most_similar(F.col("size"), F.col("marks"), F.col("y_size"), F.col("y_marks")) >= F.col("floor") - 1e-9)
+        spokes = materialize(reach.select(F.col("class").alias("a"), F.col("y").alias("b"), F.col("x").alias("home"), "far", "floor"), "spokes")
         sims = materialize(similarities(spokes, bodies).select("a", "b", "home", "far", "sim"), "reach")
-        discard(spokes)
+        discard(spokes, crossed)
         found.add(materialize(sims.where(F.col("sim") >= threshold - 1e-9), "links"))
         # members with members, of the stars that are still apart
-        still = materialize(apart(sims), "still")
-        left = still.select(F.col("a").alias("p"), F.col("home").alias("x"), F.col("b").alias("y"), F.col("far").alias("p_own"), (1 - F.col("sim")).alias("p_other"))
-        right = still.select(F.col("a").alias("q"), F.col("home").alias("y"), F.col("b").alias("x"), F.col("far").alias("q_own"), (1 - F.col("sim")).alias("q_other"))
-        both = left.join(right, ["x", "y"]).where("x < y").where((F.abs(F.col("p_own") - F.col("q_other")) <= link + 1e-9) & (F.abs(F.col("q_own") - F.col("p_other")) <= link + 1e-9))
+        kept = materialize(apart(sims), "still")
+        still = kept
+        still = still.join(marked.withColumnRenamed("class", "a"), "a")
+        side = lambda s, home, other: still.select(F.col("a").alias(s), F.col("home").alias(home), F.col("b").alias(other), F.col("far").alias(f"{s}_own"), (1 - F.col("sim")).alias(f"{s}_other"), F.col("size").alias(f"{s}_size"), F.col("marks").alias(f"{s}_marks"))
+        both = side("p", "x", "y").join(side("q", "y", "x"), ["x", "y"]).where("x < y")
+        both = both.where((F.abs(F.col("p_own") - F.col("q_other")) <= link + 1e-9) & (F.abs(F.col("q_own") - F.col("p_other")) <= link + 1e-9))
+        both = both.where(_most_similar(F.col("p_size"), F.col("p_marks"), F.col("q_size"), F.col("q_marks")) >= threshold - 1e-9)
         pairs = _member_pairs(own, both.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), threshold)
         found.add(materialize(similarities(pairs.withColumn("floor", F.lit(threshold)), bodies), "links"))
-        discard(sims, still)
+        discard(sims, kept)
     discard(members, own, rest)
 
 
@@ -472,9 +496,9 @@ def group_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = links(own, "_text", words, threshold, hot_tokens(measured))
     classes = rows.where("_class is not null").groupBy("_class").agg(F.min("_key").alias("_id"))
     if named is not None:
-        labelled = classes.join(named.toDF("_class", "_label"), "_class", "left").withColumn("_label", F.coalesce("_label", "_class"))
-        least = labelled.groupBy("_label").agg(F.min("_id").alias("_least"))
-        classes = labelled.join(least, "_label").select("_class", F.col("_least").alias("_id"))
+        linked = materialize(named.toDF("_class", "_label").join(classes, "_class"), "linked")
+        least = materialize(linked.groupBy("_label").agg(F.min("_id").alias("_least")), "least")  # written, so that Spark may split a large group
+        classes = classes.join(linked.join(least, "_label").select("_class", "_least"), "_class", "left").select("_class", F.coalesce("_least", "_id").alias("_id"))
     joined = rows.join(materialize(classes, "ids"), "_class", "left")
     return joined.select(F.col("_key").alias(key), F.col("_n").alias("n_shingles"), F.when(F.col("_class").isNull(), F.col("_key")).otherwise(F.col("_id")).alias("component_id"))
 
