@@ -215,7 +215,7 @@ def shared_shingles(docs: DataFrame, text: str, words: int, buckets: int, hot: d
     def _known(tokens: np.ndarray) -> np.ndarray:
         return np.isin(tokens, sent[0].value) if len(sent[0].value) else np.zeros(len(tokens), bool)
 
-    return packed.repartition(max(1, buckets // 2), "bucket").groupBy("bucket").applyInArrow(count, "part int, names binary, sizes binary, held binary, tokens binary, dfs binary")
+    return packed.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(count, "part int, names binary, sizes binary, held binary, tokens binary, dfs binary")
 
 
 def _runs(ordered: np.ndarray) -> np.ndarray:
@@ -259,7 +259,7 @@ def adaptive_prefixes(shared: DataFrame, buckets: int, threshold: float, longest
         kept = (alone <= spare) & (matches <= l)
         return pa.table({"token": t[kept].view(np.int64), "class": c[kept], "n": n[kept].astype(np.int32), "place": place[kept].astype(np.int32), "l": l[kept].astype(np.int32), "central": central[kept]})
 
-    return shared.repartition(max(1, buckets // 2), "part").groupBy("part").applyInArrow(choose, "token long, class long, n int, place int, l int, central double")
+    return shared.repartition(2 * buckets, "part").groupBy("part").applyInArrow(choose, "token long, class long, n int, place int, l int, central double")
 
 
 def _bodies(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -418,7 +418,7 @@ def links(docs: DataFrame, text: str, words: int, threshold: float, hot: dict[in
     spark = docs.sparkSession
     splits = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     parts = input_splits(docs) * max(1, splits // (16 << 20))
-    buckets = 4 << max(0, (parts - 1).bit_length())  # several a partition, so that these are of like size
+    buckets = 1 << max(0, (parts - 1).bit_length())
     prefixes = materialize(adaptive_prefixes(shared_shingles(docs, text, words, buckets, hot), buckets, threshold), "prefixes")
     several = prefixes.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("token")
     postings = materialize(prefixes.join(several, "token", "left_semi"), "postings")
