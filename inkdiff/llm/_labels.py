@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import discard, materialize
+
 #: A sampled text's length at most, in characters; longer ones are scored like any other but not learned from.
 LONGEST = 200_000
 #: All sampled texts' characters together.
 TOTAL = 48_000_000
+#: Parts in which the sample is written, each read by the driver in turn.
+SLICES = 16
 
 
 def fold(key: str | Column, folds: int = 5) -> Column:
@@ -21,7 +25,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int],
 
     The labels alone are sorted and cut, so the documents are joined with a small, bounded table. Rows without a key,
     text or label are left out; of several labels of one key the largest counts. If the texts have more than TOTAL
-    characters, each label keeps the same part of its rows, the first ones by the hash: lengths are read before texts.
+    characters, each label keeps the same part of its rows, the first ones by the hash. The documents are read once, in
+    parallel: the chosen texts are written to the shared folder and their lengths and texts read from there.
     """
     known = labels.select(labels[key].alias("_key"), labels[label].cast("int").alias("_label")).where("_key is not null and _label is not null")
     chosen = None
@@ -30,13 +35,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int],
         chosen = one if chosen is None else chosen.union(one)
     chosen = chosen.groupBy("_key").agg(F.max("_label").alias("_label"))
     texts = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).where(F.char_length("_text") <= LONGEST)
-    rows = texts.join(F.broadcast(chosen), "_key").select(fold("_key").alias("_fold"), "_label", "_text", "_key", F.xxhash64("_key").alias("_hash"))
-    sizes = rows.groupBy("_label", "_hash").agg(F.sum(F.char_length("_text")).alias("n")).collect()
+    found = texts.join(F.broadcast(chosen), "_key").select(fold("_key").alias("_fold"), "_label", "_text", "_key", F.xxhash64("_key").alias("_hash"))
+    written = materialize(found.repartition(SLICES, "_hash"), "sample")
+    rows, sizes = written, written.groupBy("_label", "_hash").agg(F.sum(F.char_length("_text")).alias("n")).collect()
     if sum(r["n"] for r in sizes) > TOTAL:
         rows = rows.where(_within([tuple(r) for r in sizes]))
-    out = [(r["_key"], r["_fold"], r["_label"], r["_text"]) for r in rows.toLocalIterator()]
-    out.sort(key=lambda r: (r[0], r[3]))
-    return [r[1:] for r in out]
+    out = [(r["_hash"], r["_key"], r["_fold"], r["_label"], r["_text"]) for r in rows.toLocalIterator()]
+    discard(written)
+    out.sort(key=lambda r: (r[0], r[1], r[4]))
+    return [r[2:] for r in out]
 
 
 def _within(sizes: list[tuple[int, int, int]]) -> Column:

@@ -1,27 +1,30 @@
 """Toxicity by compression distance: a zstandard dictionary of toxic text against one of ordinary text.
 
-A text is cut into windows of `WORDS` words, lower-cased. Each window is compressed twice, with the ordinary dictionary
-and with the toxic one; the bytes that the toxic dictionary saves are the window's evidence. A window is framed by a
-fixed marker that both dictionaries hold, since zstandard looks for no match in the last bytes of its input and its
-block headers would otherwise hide what a short window gains.
+A text is cut into windows of two words that overlap by one, lower-cased. Each window is compressed twice, with the
+ordinary dictionary alone and with the ordinary dictionary followed by the toxic one; the bytes that the toxic dictionary
+saves are the window's evidence, and what both kinds of text share cancels. A place in the text counts by the lesser of
+the two windows over it, so a neighbour that compresses well by chance does not count. A window is followed by a run of
+zero bytes, which costs the same with any dictionary: zstandard looks for no match in the last bytes of its input, and
+stores a block as it is that gains less than its headers take.
 
 Training (on a bounded sample of labelled rows outside fold 0, see LIMITS and _labels.py): the ordinary dictionary is
-trained on ordinary texts. The toxic one has the same content, but for its end, which holds the words that toxic texts
-have `RATIO` times as often as ordinary ones, so surely that chance is ruled out (a log-likelihood ratio of SURE, which
-chance reaches once in a thousand words). A word needs a number of texts for that, not a share of them: more labels let
-rarer words in, whatever language or source they come from. The surest words stand last, and only beyond TOXIC_BYTES
-the least sure ones are left out. What both kinds of text share compresses alike and cancels. Folds 1-3 give the dictionaries; fold 4, which they have not
-seen, calibrates: the window threshold with the best fit, and a logistic curve over the largest saving, the mean of the
-three largest and the number of windows beyond the threshold.
-
-A null or empty text has no windows and is scored as one without evidence. If there are no labels of both kinds, every
-score is the share of toxic rows among the known ones (0 without any). A text's score depends on the text alone.
+trained on ordinary texts, the toxic one on toxic texts, of which most is ordinary too. So the toxic side is refined by
+the distance itself: dictionaries trained on the toxic texts of the other folds measure each fold's texts, the windows
+around the PLACES places that gain most become the next samples, and the dictionary shrinks to TOXIC_BYTES in ROUNDS
+rounds. No window is measured with a dictionary that has seen its own text. Passages of PASSAGE words that another
+training text has too (copies, licences) are cut from the toxic texts first: they would gain most, and tell nothing. Calibration is by the same crossing: toxic
+texts of all folds, measured with the others' dictionary, and ordinary texts of fold 4, which the ordinary dictionary
+has not seen, measured with each of those in turn, choose the threshold for a place and fit a logistic curve over the largest saving, the mean of the three
+largest and the number of places beyond the threshold.
+
+A null or empty text, or one of white space, has no windows and is scored as one without evidence. Rows that repeat an id
+or text are scored alike, each by its own text alone; an empty table gives an empty result. Without labels of both kinds
+nothing can be told: every score is 0, so nothing is rejected. A column of the result's name is replaced; all others stay.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import fold, sample
+from ._words import run_hashes, word_hashes
 
 #: Rows of each label that are learned from, at most.
-LIMITS = {1: 5000, 0: 9000}
-WORDS, ORDINARY_BYTES, TOXIC_BYTES = 1, 65536, 32768
-RATIO, SURE = 8.0, 10.83
-MARK = bytes(range(1, 17))
-CACHED = 200_000
+LIMITS = {1: 2500, 0: 6000}
+#: Ordinary texts that calibrate, at most: the first ones of fold 4 by the hash of their keys.
+CALIBRATE = 1200
+ORDINARY_BYTES, TOXIC_BYTES = 65536, 4096
+ORDINARY_SEGMENT, TOXIC_SEGMENT = 64, 18
+ROUNDS, PLACES, LEAST, LEVEL = 5, 4, 3, 9
+PASSAGE = 8
+FOLDS = (1, 2, 3, 4)
+TAIL = bytes(24)
 _kernels: dict = {}
 
 
@@ -45,47 +53,66 @@ class Model:
     ordinary: bytes
     toxic: bytes
     threshold: int
-    weights: tuple[float, ...]  # intercept first
-    base: float = 0.0
+    weights: tuple[float, ...]  # intercept first; none if there was nothing to learn
+    base: float = 0.0  # every score of a model without weights
 
 
-def windows_of(text: str, words: int = WORDS) -> list[bytes]:
-    found = text.lower().encode().split()
-    return [b" " + b" ".join(found[k : k + words]) + b" " for k in range(0, max(1, len(found) - words + 1))] if found else []
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().split()
 
 
-class Savings:
-    """Bytes that the toxic dictionary saves on a window; a bounded number of results is kept."""
+class Compressed:
+    """Length of a window, compressed with a dictionary."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
+    def __init__(self, content: bytes) -> None:
         import zstandard
 
-        self._compress = []
-        for content in (ordinary, toxic):
-            held = zstandard.ZstdCompressionDict(content + MARK, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=3)
-            self._compress.append(zstandard.ZstdCompressor(level=3, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
-        self._known: dict[bytes, int] = {}
+        held = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=64, dict_size=len(content), write_checksum=False, write_content_size=False, write_dict_id=False)
+        held.precompute_compress(compression_params=how)
+        self._compress = zstandard.ZstdCompressor(compression_params=how, dict_data=held).compress
+
+    def __call__(self, window: bytes) -> int:
+        return len(self._compress(window + TAIL))
+
+
+class Savings:
+    """Bytes that the toxic dictionary saves on a window."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes, shared: Compressed | None = None) -> None:
+        self._ordinary, self._toxic = shared or Compressed(ordinary), Compressed(ordinary + toxic)
+        self._floor = self._toxic(b"")  # no window is shorter
 
     def __call__(self, window: bytes) -> int:
-        known = self._known.get(window)
-        if known is None:
-            framed = MARK + window + MARK
-            known = len(self._compress[0](framed)) - len(self._compress[1](framed))
-            if len(window) < 64:
-                if len(self._known) >= CACHED:
-                    self._known.clear()
-                self._known[window] = known
-        return known
-
-
-def evidence(text: str | None, saved: Savings, threshold: int) -> tuple[float, float, float]:
-    """Largest saving, mean of the three largest, log of one more than the windows at the threshold or beyond."""
-    found = sorted(map(saved, dict.fromkeys(windows_of(text or ""))), reverse=True)
-    if not found:
-        return 0.0, 0.0, 0.0
-    top = found[:3]
-    return float(max(0, top[0])), max(0.0, sum(top) / 3), math.log1p(sum(x >= threshold for x in found))
+        plain = self._ordinary(window)
+        return plain - self._toxic(window) if plain > self._floor else 0
+
+
+def places(words: list[bytes], saved) -> list[tuple[int, int]]:
+    """(saving, word) of the words whose windows all save something: the lesser saving of the two windows over the word.
+
+    Every word is in just one of the windows that begin at even places; only beside those that save are others measured.
+    """
+    n, found = len(words), []
+    window = lambda k: b" " + b" ".join(words[max(0, k) : k + 2]) + b" "
+    for k in range(0, n - 1, 2) if n > 1 else range(n):
+        s = saved(window(k))
+        if s > 0:
+            left = min(s, saved(window(k - 1))) if k else s
+            right = min(s, saved(window(k + 1))) if k + 2 < n else s
+            if left > 0:
+                found.append((left, k))
+            if right > 0 and n > 1:
+                found.append((right, k + 1))
+    if n > 1 and n % 2 and (s := saved(window(n - 2))) > 0:
+        found.append((s, n - 1))
+    return found
+
+
+def evidence(found: list[int], threshold: int) -> tuple[float, float, float]:
+    """Largest saving, mean of the three largest, log of one more than the places at the threshold or beyond."""
+    top = sorted(found, reverse=True)[:3]
+    return float(top[0]) if top else 0.0, sum(top) / 3, math.log1p(sum(x >= threshold for x in found))
 
 
 def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
@@ -95,66 +122,113 @@ def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples, k=segment, d=6, f=20, split_point=1.0, accel=1).as_bytes()
     except zstandard.ZstdError:  # too little text to choose from: all of it
-        return (b"".join(samples))[-size:]
+        return b"".join(samples)[-size:]
 
 
-def toxic_words(seen: dict[int, Counter], texts: dict[int, int]) -> list[bytes]:
-    """The windows that tell toxic texts, least sure first: seen counts each label's texts with a window, of texts in all."""
-    share, found = texts[1] / (texts[0] + texts[1]), []
-    for w, n in seen[1].items():
-        other = seen[0][w]
-        if n / texts[1] >= RATIO * (other + 0.5) / texts[0]:
-            sure = 2 * (n * math.log(n / ((n + other) * share)) + (other * math.log(other / ((n + other) * (1 - share))) if other else 0.0))
-            if sure >= SURE:
-                found.append((sure, w))
-    return [w for _, w in sorted(found)]
+class _Cached:
+    """Savings of windows whose ordinary length is kept from round to round."""
+
+    def __init__(self, ordinary: Compressed, toxic: Compressed, known: dict[bytes, int]) -> None:
+        self._ordinary, self._toxic, self._known = ordinary, toxic, known
+
+    def __call__(self, window: bytes) -> int:
+        plain = self._known.get(window)
+        if plain is None:
+            plain = self._known[window] = self._ordinary(window)
+        return plain - self._toxic(window)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:
-    """Weights, intercept first, and the loss, by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights, intercept first, and the loss of weighted rows, by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
-    w[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    w[0] = math.log(((weight * y).sum() + 0.5) / ((weight * (1 - y)).sum() + 0.5))
     penalty = np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
+        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
+        w += step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))  # a full step may overshoot
         if np.abs(step).max() < 1e-6:
             break
     p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
-    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    return w, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weight.sum())
+
+
+def own_words(toxic: list[list[bytes]], plain: list[str]) -> list[list[bytes]]:
+    """The words of each toxic text that are in no PASSAGE words of a plain text or an earlier toxic one."""
+
+    def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        h, bounds = word_hashes(texts)
+        each = [run_hashes(h[a:b], PASSAGE) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+
+    common = np.unique(np.concatenate([runs([t.lower().encode()])[0] for t in plain]))
+    own, of = runs([b" ".join(words) for words in toxic])
+    _, first, which = np.unique(own, return_index=True, return_inverse=True)
+    again = np.isin(own, common) | (of[first][which] < of)
+    out = []
+    for k, words in enumerate(toxic):
+        gone = np.zeros(len(words) + 1, np.int64)
+        starts = np.flatnonzero(again[of == k])
+        np.add.at(gone, starts, 1)
+        np.add.at(gone, starts + PASSAGE, -1)
+        out.append([w for w, g in zip(words, np.cumsum(gone)[:-1].tolist(), strict=True) if not g])
+    return out
+
+
+def refine(toxic: dict[int, list[list[bytes]]], ordinary: bytes, shared: Compressed) -> tuple[bytes, dict[int, bytes]]:
+    """The toxic dictionary of all folds' texts (lists of words), and for each fold the one of the other folds' texts."""
+    samples = {f: [b" ".join(words) for words in texts] for f, texts in toxic.items()}
+    others = lambda f, size: _dictionary([s for g, own in samples.items() if g != f for s in own], size, TOXIC_SEGMENT)
+    known: dict[bytes, int] = {}
+    for turn in range(ROUNDS):
+        size = max(TOXIC_BYTES, ORDINARY_BYTES >> (2 * turn + 1))
+        chosen = {}
+        for f, texts in toxic.items():
+            saved = _Cached(shared, Compressed(ordinary + others(f, size)), known)
+            best = [(words, sorted(places(words, saved), key=lambda p: (-p[0], p[1]))[:PLACES]) for words in texts]
+            chosen[f] = [b" " + b" ".join(words[max(0, k - 1) : k + 2]) + b" " for words, found in best for s, k in found if s >= LEAST]
+        samples = chosen
+    every = [s for own in samples.values() for s in own]
+    return _dictionary(every, TOXIC_BYTES, TOXIC_SEGMENT), {f: others(f, TOXIC_BYTES) for f in toxic}
 
 
 def train(rows: list[tuple[int, int, str]]) -> Model:
     """A model of (fold, label, text) rows."""
-    share = sum(y for _, y, _ in rows) / len(rows) if rows else 0.0
-    learn = [r for r in rows if r[0] != 4]
-    if len({y for _, y, _ in rows}) < 2 or len({y for _, y, _ in learn}) < 2:
-        return Model(b"", b"", 0, (), share)
-    known: dict[bytes, bytes] = {}  # one object for each distinct window
-    cut = {y: [[known.setdefault(w, w) for w in dict.fromkeys(windows_of(t, 1))] for _, label, t in learn if label == y] for y in (0, 1)}
-    seen = {y: Counter(w for own in texts for w in own) for y, texts in cut.items()}
-    ordinary = _dictionary([t.lower().encode() for _, y, t in learn if y == 0], ORDINARY_BYTES, 64)
-    toxic = b"".join(toxic_words(seen, {y: len(texts) for y, texts in cut.items()}))[-TOXIC_BYTES:]
-    toxic = ordinary[: max(0, len(ordinary) - len(toxic))] + toxic
-    del known, cut, seen
-    saved = Savings(ordinary, toxic)
-    check = [r for r in rows if r[0] == 4]
-    check = check if len({y for _, y, _ in check}) == 2 else rows
-    y = np.array([label for _, label, _ in check], float)
+    toxic = {f: [words_of(t) for g, y, t in rows if y == 1 and g == f] for f in FOLDS}
+    toxic = {f: texts for f, texts in toxic.items() if texts}
+    plain = [t for f, y, t in rows if y == 0 and f != 4] or [t for _, y, t in rows if y == 0]
+    if not plain or len(toxic) < 2:
+        return Model(b"", b"", 0, ())
+    ordinary = _dictionary([b" ".join(words_of(t)) for t in plain], ORDINARY_BYTES, ORDINARY_SEGMENT)
+    shared = Compressed(ordinary)
+    fresh = iter(own_words([words for texts in toxic.values() for words in texts], plain))
+    content, crossed = refine({f: [next(fresh) for _ in texts] for f, texts in toxic.items()}, ordinary, shared)
+    if not content:
+        return Model(b"", b"", 0, ())
+    measured, labels = [], []
+    for f, texts in toxic.items():
+        saved = Savings(ordinary, crossed[f], shared)
+        measured += [[s for s, _ in places(words, saved)] for words in texts]
+        labels += [1.0] * len(texts)
+    unseen = ([t for f, y, t in rows if y == 0 and f == 4] or plain)[:CALIBRATE]
+    turns = [Savings(ordinary, crossed[f], shared) for f in crossed]
+    measured += [[s for s, _ in places(words_of(t), turns[k % len(turns)])] for k, t in enumerate(unseen)]
+    y = np.array(labels + [0.0] * len(unseen))
+    weight = np.where(y == 1, 1.0, sum(r[1] == 0 for r in rows) / len(unseen))
     fits = []
-    for threshold in range(2, 9):
-        w, loss = _logistic(np.array([evidence(t, saved, threshold) for _, _, t in check]), y)
+    for threshold in range(1, 9):
+        w, loss = _logistic(np.array([evidence(found, threshold) for found in measured]), y, weight)
         fits.append((loss, threshold, tuple(w.tolist())))
     _, threshold, weights = min(fits)
-    return Model(ordinary, toxic, threshold, weights, share)
+    return Model(ordinary, content, threshold, weights)
 
 
 def score_text(text: str | None, model: Model, saved: Savings | None) -> float:
     if not model.weights:
         return model.base
-    x = model.weights[0] + sum(w * v for w, v in zip(model.weights[1:], evidence(text, saved, model.threshold), strict=True))
+    found = [s for s, _ in places(words_of(text), saved)]
+    x = model.weights[0] + sum(w * v for w, v in zip(model.weights[1:], evidence(found, model.threshold), strict=True))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
