@@ -1,15 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element's text. Lines inside elements that never hold the article
-(menus, headers, footers, sidebars, notices, adverts, forms, reader comments, told by element, role, class or id) and
-lines that are mostly links count as empty. Over the lines' text lengths a window slides; a surge point is where the
-window's sum rises to a threshold, a dive point where it falls to nothing, and the text between them is kept. Where the
-page marks its article (article or main), only lines inside it have a length, and any length is enough; elsewhere the
-threshold follows the page's own largest window, so short pages have a text too.
+Markup is stripped into lines, one for each block element's text. A line weighs what its text is long; its tags and
+classes change that. Lines inside elements that never hold the article (menus, headers, footers, sidebars, notices,
+adverts, forms, reader comments, told by element, role, class or id) and lines that are mostly links weigh nothing.
+Where the page marks its article (article or main), a line inside it weighs LEAST more, and one outside it a quarter.
+Over the weights a window of lines slides. A surge point is where the window's sum rises to the surge threshold: LEAST,
+or less where the page's own largest window is small, so short pages have a text too. A dive point is where the sum
+falls to nothing, on pages that mark their article under half the threshold. Between a surge and the next dive point the
+lines that weigh something are kept, from the first one to the last one that weighs as much as a surging window's mean.
 
 A null or empty page, and one without such text, has the empty text. Character references are decoded; white space
 inside a block becomes one space; blocks are joined by an empty line. Unclosed and stray tags do no harm; the work is
-linear in the page's length, and a page is handled alone, whatever its size.
+linear in the page's length, and a page is handled alone, whatever its size, so repeated rows give repeated results and
+an empty table an empty one. A column of the result's name is replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ WINDOW, LEAST, SHARE = 3, 80, 0.2
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Their content is no text.
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas title select option video audio".split())
+RAW = frozenset("script style noscript template textarea iframe svg object canvas title select option video audio".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -42,7 +45,12 @@ HINTS = frozenset(
     " subscription signup login share sharing social popup modal overlay pagination pager toolbar copyright disclaimer comment"
     " comments commentlist respond replies disqus form search paywall".split()
 )
-_NEGATED = frozenset("no with without has".split())
+#: Words that may stand beside them in a class or id. A name with any other word (`author-side-note`) is the page's own.
+BESIDE = frozenset(
+    "a area bar block body bottom box btn button buttons card col column container content first fixed foot group header heading home inline inner item items js last layer left"
+    " line link links list local main mini mobile note outer page panel post posts primary right row secondary section sections site slot small sticky sub text the title to top"
+    " unit us wide wrap wrapper you your".split()
+)
 
 
 def _outside(name: str, attributes: str, in_article: bool) -> bool:
@@ -61,12 +69,17 @@ def _outside(name: str, attributes: str, in_article: bool) -> bool:
         if key == "itemprop" and value == "comment":
             return True
         if key in ("class", "id") and name not in ("html", "body", "main"):
-            words = re.findall("[a-z]+", value)
-            if any(w in HINTS and (not k or words[k - 1] not in _NEGATED) for k, w in enumerate(words)) or re.search(r"comments?(?!ary)(?![a-z]*aries)", value):
+            if any(_names_outside(token) for token in value.split()):
                 return True
     return False
 
 
+def _names_outside(token: str) -> bool:
+    """Is a class or id made of hints and words beside them only?"""
+    words = re.findall("[a-z]+", token)
+    return any(w in HINTS for w in words) and all(w in HINTS or w in BESIDE for w in words)
+
+
 def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     """(text, outside the article by its element, inside article or main, characters in links) for each block of text."""
     out: list[tuple[str, bool, bool, int]] = []
@@ -126,35 +139,55 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         elif closing:
             if inline_off and inline_off[-1] == name:
                 inline_off.pop()
-        elif m[3] and not m[3].rstrip().endswith("/") and name in ("span", "button", "small", "label") and (inline_off or _outside(name, m[3], False)):
+        elif name == "button" or m[3] and not m[3].rstrip().endswith("/") and name in ("span", "small", "label") and (inline_off or _outside(name, m[3], False)):
             inline_off.append(name)
     parts.append(page[at:])
     end_line()
     return out
 
 
+def weights_of(lines: list[tuple[str, bool, bool, int]], least: int) -> tuple[list[float], bool]:
+    """What each line weighs, and whether the page marks its article."""
+    marked = any(article and not off for _, off, article, _ in lines)
+
+    def weight(line: tuple[str, bool, bool, int]) -> float:
+        text, off, article, links = line
+        if off:
+            return 0.0
+        if marked and article:
+            return float(len(text) + least)
+        if 2 * links > len(text):
+            return 0.0
+        return len(text) / 4 if marked else float(len(text))
+
+    return [weight(x) for x in lines], marked
+
+
+def kept_lines(weights: list[float], marked: bool, window: int, least: int, share: float) -> list[int]:
+    """The lines between surge and dive points."""
+    sums = [sum(weights[k : k + window]) for k in range(len(weights))]
+    surge = max(1.0, min(float(least), share * max(sums, default=0.0)))
+    dive = surge / 2 if marked else 0.0
+    spans, start = [], None
+    for k, total in enumerate([*sums, -1.0]):
+        if start is None:
+            start = k if total >= surge else None
+        elif total <= dive:
+            spans.append((start, k))
+            start = None
+    kept: list[int] = []
+    for a, b in spans:
+        edges = [k for k in range(a, b) if weights[k] >= (surge / window if marked else 1)]
+        kept += [k for k in range(edges[0], edges[-1] + 1) if weights[k] > 0] if edges else []
+    return kept
+
+
 def main_text(page: str | None, window: int = WINDOW, least: int = LEAST, share: float = SHARE) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    marked = any(article and not off for _, off, article, _ in lines)
-
-    def length(line: tuple[str, bool, bool, int]) -> int:
-        text, off, article, links = line
-        if off or marked and not article:
-            return 0
-        return len(text) if marked or 2 * links <= len(text) else 0
-
-    lengths = [length(x) for x in lines]
-    sums = [sum(lengths[k : k + window]) for k in range(len(lengths))]
-    surge = 1 if marked else max(1, min(least, share * max(sums, default=0)))
-    kept: list[str] = []
-    inside = False
-    for k, total in enumerate(sums):
-        inside = total > 0 if inside else total >= surge
-        if inside and lengths[k]:
-            kept.append(lines[k][0])
-    return "\n\n".join(kept)
+    weights, marked = weights_of(lines, least)
+    return "\n\n".join(lines[k][0] for k in kept_lines(weights, marked, window, least, share))
 
 
 def extract_text(df: DataFrame, page: str = "html", into: str = "main_text") -> DataFrame:
