@@ -4,10 +4,12 @@ Strong spans come from three fixed patterns (BASE). Beside them there are weak c
 that may be an access identifier, a secret or an endpoint. Alone they say nothing, so they are reported only when their
 complementary parts stand near: a weak secret with an identifier or an endpoint, a weak identifier with a secret, an
 endpoint with an identifier and a secret. Near means that the two spans' intervals, widened by REACH code points and cut
-at the borders of their scope (a paragraph), overlap: an interval join within each text by one sweep over the sorted
-spans, so a text with n spans costs n log n. Strong spans are always reported, and a weak one never covers part of one.
+at the borders of their scope (the paragraph in which they start), overlap: an interval join within each text by binary
+search in the sorted spans, so a text with n spans costs n log n. Strong spans are always reported, and a weak one never
+covers part of one.
 
-Offsets are code points, the end exclusive. A null or empty text has no spans.
+Offsets are code points, the end exclusive. A null or empty text has no spans. Rows that repeat an id or text are scanned
+alike, and an empty table gives an empty result. A column of the result's name is replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -57,25 +59,40 @@ def linked_spans(text: str, strong: list[tuple[int, int, str]], reach: int = REA
     if not weak:
         return []
     borders = [m.start() for m in _PARAGRAPH.finditer(text)]
-    scope = lambda at: bisect.bisect_right(borders, at)
-    parts: dict[str, list[tuple[int, int]]] = {"id": [], "secret": [], "endpoint": []}
-    for start, end, kind in sorted([*strong, *weak]):
-        parts[PART[kind]].append((start, end))
-    reaches = {part: _running_ends(spans) for part, spans in parts.items()}
-
-    def near(part: str, start: int, end: int) -> bool:
-        """Is there a span of this part in the same scope, other than start:end, within twice the reach?"""
-        spans = parts[part]
-        k = bisect.bisect_right(spans, (end + 2 * reach, 1 << 60)) - 1
-        while k >= 0 and reaches[part][k] >= start - 2 * reach:
-            if spans[k] != (start, end) and spans[k][1] >= start - 2 * reach and scope(spans[k][0]) == scope(start):
-                return True
-            k -= 1
-            if k >= 0 and scope(spans[k][0]) < scope(start):
-                return False
-        return False
-
-    return [s for s in weak if all(any(near(p, s[0], s[1]) for p in one) for one in _NEEDS[PART[s[2]]])]
+    parts: dict[str, _Part] = {}
+    for part in ("id", "secret", "endpoint"):
+        parts[part] = _Part([(start, end) for start, end, kind in [*strong, *weak] if PART[kind] == part], borders)
+    near = lambda part, s: parts[part].near(s[0], s[1], 2 * reach)
+    return [s for s in weak if all(any(near(p, s) for p in one) for one in _NEEDS[PART[s[2]]])]
+
+
+class _Part:
+    """The distinct spans of one part of a credential, in the order of their starts, each with its scope's two furthest ends so far."""
+
+    def __init__(self, spans: list[tuple[int, int]], borders: list[int]) -> None:
+        self._spans, self._borders, self._furthest = sorted(set(spans)), borders, []
+        last = None
+        for span in self._spans:
+            scope = self._scope(span[0])
+            one, two = self._furthest[-1] if scope == last else (None, None)
+            if one is None or span[1] > one[1]:
+                one, two = span, one
+            elif two is None or span[1] > two[1]:
+                two = span
+            self._furthest.append((one, two))
+            last = scope
+
+    def _scope(self, at: int) -> int:
+        return bisect.bisect_right(self._borders, at)
+
+    def near(self, start: int, end: int, distance: int) -> bool:
+        """Is there a span in the scope of start, other than start:end, that starts and ends within the distance?"""
+        scope = self._scope(start)
+        last = self._borders[scope] if scope < len(self._borders) else 1 << 60
+        k = bisect.bisect_left(self._spans, (min(end + distance + 1, last),)) - 1
+        if k < 0 or self._scope(self._spans[k][0]) != scope:
+            return False
+        return any(s is not None and s != (start, end) and s[1] >= start - distance for s in self._furthest[k])
 
 
 def _running_ends(spans: list[tuple[int, int]]) -> list[int]:
