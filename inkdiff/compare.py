@@ -20,8 +20,7 @@ def compare(pages: DataFrame, pairs: DataFrame, config: Config = Config(), provi
     found = segment.segment(normal, config)
     sides = pairs.select("pair_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"document_id_{s}").alias("document_id")) for s in "ab"))).alias("d")).select("pair_id", "d.*")
     clauses = sides.join(found, "document_id").withColumn("text", F.col("normalized_text"))
-    scores = align.score_pairs(clauses, config)
-    matches = align.hybrid_match(clauses, scores, config)
+    matches = align.hybrid_match(clauses, config)
     changes = detect.detect_changes(align.with_clauses(matches, clauses), config)
     full = report.attach_citations(report.generate_summaries(changes, providers, config.summary_timeout))
     counts = clauses.groupBy("pair_id").agg(F.count_if(F.col("side") == "a").alias("total_clauses_a"), F.count_if(F.col("side") == "b").alias("total_clauses_b"))
@@ -38,7 +37,7 @@ def compare(pages: DataFrame, pairs: DataFrame, config: Config = Config(), provi
         "pages": normal,
         "clauses": clauses,
         "matches": matches,
-        "baseline": align.baseline_match(clauses, scores, config),
+        "baseline": align.baseline_match(clauses, config),
         "changes": full,
         "rows": report.report_rows(full),
         "stats": detect.change_summary(full, "pair_id").join(counts, "pair_id", "left"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -90,3 +91,86 @@ def assign(scores: np.ndarray) -> list[tuple[int, int]]:
             column = way[column]
     pairs = [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
     return sorted(pairs if scores.shape[0] <= scores.shape[1] else [(j, i) for i, j in pairs])
+
+
+def common_lengths(a: str, others: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of a and each of the others, a bit for each of their places."""
+    out = np.zeros(len(others), np.int64)
+    short = [k for k, b in enumerate(others) if len(b) < 64]
+    for k in set(range(len(others))) - set(short):
+        out[k] = common_subsequence(a, others[k])
+    if not short:
+        return out
+    at = {c: np.zeros(len(short), np.uint64) for c in set(a)}
+    for j, k in enumerate(short):
+        for i, c in enumerate(others[k]):
+            if c in at:
+                at[c][j] |= np.uint64(1 << i)
+    full = np.array([(1 << len(others[k])) - 1 for k in short], np.uint64)
+    state = full.copy()
+    for c in a:
+        met = state & at[c]
+        state = ((state + met) | (state - met)) & full
+    out[short] = np.bitwise_count(full & ~state)
+    return out
+
+
+def heading_matrix(a: list[str], b: list[str]) -> np.ndarray:
+    """Similarity of headings whose words are in order, each distinct pair once; 0 where a side is empty."""
+    rows, i = np.unique(np.array(a, object), return_inverse=True)
+    columns, j = np.unique(np.array(b, object), return_inverse=True)
+    sizes = np.array([len(y) for y in columns])
+    out = np.zeros((len(rows), len(columns)))
+    for k, x in enumerate(rows):
+        if x:
+            out[k] = np.where(sizes > 0, 2 * common_lengths(x, list(columns)) / (len(x) + sizes), 0.0)
+            out[k][columns == x] = 1.0
+    return out[i][:, j]
+
+
+def number_matrix(a: list[str | None], b: list[str | None]) -> np.ndarray:
+    """1 for equal clause numbers, 0.5 if one's text starts the other's, else 0."""
+    rows, i = np.unique(np.array([x or "" for x in a], object), return_inverse=True)
+    columns, j = np.unique(np.array([x or "" for x in b], object), return_inverse=True)
+    out = np.array([[(1.0 if x == y else 0.5 if x.startswith(y) or y.startswith(x) else 0.0) if x and y else 0.0 for y in columns] for x in rows])
+    return out.reshape(len(rows), len(columns))[i][:, j]
+
+
+def tfidf_matrix(a: list[list[str]], b: list[list[str]], max_terms: int) -> np.ndarray:
+    """Cosines of the clauses of both sides by words and word pairs: n * m numbers from n + m sparse rows, in blocks of rows."""
+    clauses = [*a, *b]
+    counts = [Counter([*words, *map(" ".join, zip(words, words[1:], strict=False))]) for words in clauses]
+    df, total = Counter(), Counter()
+    for c in counts:
+        df.update(c.keys())
+        total.update(c)
+    kept = sorted(total, key=lambda t: (-total[t], t))[:max_terms] if len(total) > max_terms else list(total)
+    place = {t: k for k, t in enumerate(kept)}
+    idf = np.log((1 + len(clauses)) / (1 + np.array([df[t] for t in kept], float))) + 1
+
+    def dense(some: list[Counter]) -> np.ndarray:
+        out = np.zeros((len(some), len(kept)))
+        for k, c in enumerate(some):
+            for t, n in c.items():
+                if t in place:
+                    out[k, place[t]] = n
+        out *= idf
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return out / np.where(norm > 0, norm, 1.0)
+
+    result = np.zeros((len(a), len(b)))
+    for j in range(0, len(b), 512):
+        columns = dense(counts[len(a) + j : len(a) + min(j + 512, len(b))]).T
+        for i in range(0, len(a), 512):
+            result[i : i + 512, j : j + 512] = dense(counts[i : min(i + 512, len(a))]) @ columns
+    return np.clip(result, 0.0, 1.0)
+
+
+def vector_matrix(a: list, b: list) -> np.ndarray:
+    """Cosines of the vectors within 0 and 1, 0 for one without length; NaN where either is missing."""
+    out = np.full((len(a), len(b)), np.nan)
+    rows, columns = ([k for k, v in enumerate(side) if v is not None] for side in (a, b))
+    if rows and columns:
+        unit = lambda vectors: (lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1.0))(np.array(vectors, float))
+        out[np.ix_(rows, columns)] = np.clip(unit([a[k] for k in rows]) @ unit([b[k] for k in columns]).T, 0.0, 1.0)
+    return out

@@ -1,23 +1,27 @@
 """Features, scores and one-to-one alignment of the clauses of document pairs.
 
 Clauses are rows (pair_id, side 'a' or 'b', ordinal, text, heading, …). Everything is keyed by pair_id: no step compares
-clauses of different pairs, and there is no global cross join. The assignment itself needs a pair's whole score matrix
-at once, which is its definition; it is the one grouped step, of n * m numbers for a pair of n and m clauses.
+clauses of different pairs, and there is no global cross join. A pair's n + m clauses meet in one group, as words and
+headings; their n * m scores are made there, and the assignment, which by its definition needs them all at once, is
+found there too, so no row is made for two clauses unless the scores themselves are asked for. A pair of more than
+MOST_CELLS scores is refused by name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Config
-from ..functions.kernels import assign, token_sort_similarity
-from ..functions.text import all_matches, first_match, strip
+from ..functions.kernels import assign, heading_matrix, number_matrix, tfidf_matrix, vector_matrix
+from ..functions.text import all_matches, first_match, strip, words_of
 
 TERM = r"(?U)\b\w\w+\b"
+MOST_CELLS = 200_000_000
 
 
 def tfidf_terms(clauses: DataFrame, max_terms: int = 5000) -> DataFrame:
@@ -26,7 +30,7 @@ def tfidf_terms(clauses: DataFrame, max_terms: int = 5000) -> DataFrame:
     idf = ln((1 + n) / (1 + df)) + 1 over the pair's clauses of both sides; its max_terms most frequent terms count,
     ties in the terms' order.
     """
-    words = all_matches(F.lower(F.coalesce("text", F.lit(""))), TERM)
+    words = _terms_of("text")
     pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.concat_ws(" ", F.element_at("words", k), F.element_at("words", k + 1)))).otherwise(F.array().cast("array<string>"))
     rows = clauses.select("pair_id", "side", "ordinal", words.alias("words"))
     terms = rows.select("pair_id", "side", "ordinal", F.explode(F.concat("words", pairs)).alias("term"))
@@ -41,11 +45,13 @@ def tfidf_terms(clauses: DataFrame, max_terms: int = 5000) -> DataFrame:
     return raw.select("pair_id", "side", "ordinal", "term", (F.col("raw") / norm).alias("weight"))
 
 
-def tfidf_cosine(terms: DataFrame) -> DataFrame:
+def _terms_of(text: str) -> Column:
+    return all_matches(F.lower(F.coalesce(text, F.lit(""))), TERM)
+
+
+def tfidf_cosine(clauses: DataFrame, config: Config = Config()) -> DataFrame:
     """(pair_id, a_ordinal, b_ordinal, tfidf_score) of the clause pairs that share a term; all others score 0."""
-    a = terms.where("side = 'a'").select("pair_id", "term", F.col("ordinal").alias("a_ordinal"), F.col("weight").alias("wa"))
-    b = terms.where("side = 'b'").select("pair_id", "term", F.col("ordinal").alias("b_ordinal"), F.col("weight").alias("wb"))
-    return a.join(b, ["pair_id", "term"]).groupBy("pair_id", "a_ordinal", "b_ordinal").agg(F.least(F.lit(1.0), F.sum(F.col("wa") * F.col("wb"))).alias("tfidf_score"))
+    return _in_pairs(clauses, _cosines(config), "a_ordinal int, b_ordinal int, tfidf_score double")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -69,24 +75,59 @@ def combined_score(number: Column, heading: Column, text: Column, config: Config
     return F.lit(config.number_weight) * number + F.lit(config.heading_weight) * heading + F.lit(config.embedding_weight) * text
 
 
+def _in_pairs(clauses: DataFrame, solve, fields: str) -> DataFrame:
+    """solve(table) of each document pair's clauses: side, ordinal, words, number, heading (its words in order), embedding."""
+    vector = F.col("embedding").cast("array<double>") if "embedding" in clauses.columns else F.lit(None).cast("array<double>")
+    heading = F.array_join(F.array_sort(words_of(F.coalesce("heading", F.lit("")))), " ")
+    rows = clauses.select("pair_id", "side", F.col("ordinal").cast("int").alias("ordinal"), _terms_of("text").alias("words"), clause_number(F.col("heading")).alias("number"), heading.alias("heading"), vector.alias("embedding"))
+
+    def run(key, table):
+        a, b = (table.filter(pa.compute.equal(table["side"], s)).sort_by("ordinal").to_pydict() for s in "ab")
+        if len(a["ordinal"]) * len(b["ordinal"]) > MOST_CELLS:
+            raise ValueError(f"pair {key[0].as_py()} has {len(a['ordinal'])} and {len(b['ordinal'])} clauses, too many to align at once")
+        out = solve(a, b)
+        return pa.table({"pair_id": pa.array([key[0].as_py()] * len(out["a_ordinal"]), table.schema.field("pair_id").type), **out})
+
+    return rows.groupBy("pair_id").applyInArrow(run, f"pair_id {clauses.schema['pair_id'].dataType.simpleString()}, {fields}")
+
+
+def _cosines(config: Config):
+    def solve(a: dict, b: dict) -> dict:
+        scores = tfidf_matrix(a["words"], b["words"], config.max_terms)
+        i, j = np.nonzero(scores)
+        return {"a_ordinal": pa.array(np.array(a["ordinal"], np.int32)[i]), "b_ordinal": pa.array(np.array(b["ordinal"], np.int32)[j]), "tfidf_score": pa.array(scores[i, j])}
+
+    return solve
+
+
+def _matrices(a: dict, b: dict, config: Config) -> dict[str, np.ndarray]:
+    tfidf = tfidf_matrix(a["words"], b["words"], config.max_terms)
+    vectors = vector_matrix(a["embedding"], b["embedding"])
+    out = {"tfidf_score": tfidf, "number_score": number_matrix(a["number"], b["number"]), "heading_score": heading_matrix(a["heading"], b["heading"]), "embedding_score": np.where(np.isnan(vectors), tfidf, vectors)}
+    out["match_score"] = config.number_weight * out["number_score"] + config.heading_weight * out["heading_score"] + config.embedding_weight * out["embedding_score"]
+    return out
+
+
+_SCORES = "tfidf_score double, number_score double, heading_score double, embedding_score double, match_score double"
+
+
+def _picked(a: dict, b: dict, scores: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> dict:
+    places = {"a_ordinal": np.array(a["ordinal"], np.int32)[i], "b_ordinal": np.array(b["ordinal"], np.int32)[j]}
+    return {k: pa.array(v) for k, v in (places | {name: m[i, j] for name, m in scores.items()}).items()}
+
+
 def score_pairs(clauses: DataFrame, config: Config = Config()) -> DataFrame:
     """All clause pairs of each document pair with number, heading, tfidf, embedding and match scores.
 
     clauses may have an `embedding` column; where both clauses have one it gives the text score, else TF-IDF does.
     """
-    has_vectors = "embedding" in clauses.columns
-    keep = ["pair_id", "ordinal", "heading", *(["embedding"] if has_vectors else [])]
-    side = lambda s: clauses.where(F.col("side") == s).select("pair_id", *[F.col(c).alias(f"{s}_{c}") for c in keep[1:]])
-    both = side("a").join(side("b"), "pair_id")
-    cos = tfidf_cosine(tfidf_terms(clauses, config.max_terms))
-    scored = both.join(cos, ["pair_id", "a_ordinal", "b_ordinal"], "left").withColumn("tfidf_score", F.coalesce("tfidf_score", F.lit(0.0)))
-    text = F.coalesce(cosine(F.col("a_embedding"), F.col("b_embedding")), F.col("tfidf_score")) if has_vectors else F.col("tfidf_score")
-    scored = (
-        scored.withColumn("number_score", F.coalesce(number_score(clause_number(F.col("a_heading")), clause_number(F.col("b_heading"))), F.lit(0.0)))
-        .withColumn("heading_score", token_sort_similarity(F.col("a_heading"), F.col("b_heading")))
-        .withColumn("embedding_score", text)
-    )
-    return scored.withColumn("match_score", combined_score(F.col("number_score"), F.col("heading_score"), F.col("embedding_score"), config)).drop("a_embedding", "b_embedding", "a_heading", "b_heading")
+
+    def solve(a: dict, b: dict) -> dict:
+        n, m = len(a["ordinal"]), len(b["ordinal"])
+        i, j = np.divmod(np.arange(n * m), max(1, m))
+        return _picked(a, b, _matrices(a, b, config), i, j)
+
+    return _in_pairs(clauses, solve, f"a_ordinal int, b_ordinal int, {_SCORES}")
 
 
 def match_type(score: Column, config: Config) -> Column:
@@ -106,26 +147,20 @@ def restructure_counts(scores: DataFrame, config: Config = Config()) -> DataFram
     return scores.groupBy("pair_id", "a_ordinal").agg(F.count_if(F.col("match_score") >= config.review_threshold).alias("candidates"))
 
 
-def best_assignment(scores: DataFrame, score: str = "match_score", review: float = 0.0) -> DataFrame:
-    """The rows of scores in the one-to-one alignment of greatest total score (min(n, m) of them), with `candidates`.
+def best_assignment(clauses: DataFrame, config: Config = Config(), score: str = "match_score") -> DataFrame:
+    """The one-to-one alignment of greatest total score of each document pair (min(n, m) rows), with all scores and `candidates`.
 
-    candidates counts the B clauses of all scored ones that reach `review` for the same A clause. The scores are read
-    once: what is needed of the other rows is taken while their pair's matrix is at hand.
+    candidates counts the B clauses of all scored ones that reach the review threshold for the same A clause.
     """
 
-    def solve(table: pa.Table) -> pa.Table:
-        a, b, s = (table.column(c).to_numpy() for c in ("a_ordinal", "b_ordinal", score))
-        rows, columns = np.unique(a), np.unique(b)
-        i, j = np.searchsorted(rows, a), np.searchsorted(columns, b)
-        matrix, place = np.zeros((len(rows), len(columns))), np.zeros((len(rows), len(columns)), np.int64)
-        matrix[i, j], place[i, j] = s, np.arange(len(s))
-        found = assign(matrix)
-        reach = np.bincount(i, s >= review, len(rows)).astype(np.int32)
-        chosen = table.take(pa.array([int(place[x, y]) for x, y in found], pa.int64()))
-        return chosen.append_column("candidates", pa.array([int(reach[x]) for x, _ in found], pa.int32()))
+    def solve(a: dict, b: dict) -> dict:
+        scores = _matrices(a, b, config)
+        found = assign(scores[score])
+        i, j = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+        reach = (scores["match_score"] >= config.review_threshold).sum(axis=1).astype(np.int32) if found else np.zeros(0, np.int32)
+        return _picked(a, b, scores, i, j) | {"candidates": pa.array(reach[i])}
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scores.schema)
-    return scores.groupBy("pair_id").applyInArrow(solve, f"{fields}, candidates int")
+    return _in_pairs(clauses, solve, f"a_ordinal int, b_ordinal int, {_SCORES}, candidates int")
 
 
 def complete(matched: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -139,18 +174,16 @@ def complete(matched: DataFrame, clauses: DataFrame) -> DataFrame:
     return both.withColumn("phase", phase).withColumn("match_type", kind).drop("_b")
 
 
-def baseline_match(clauses: DataFrame, scores: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+def baseline_match(clauses: DataFrame, config: Config = Config()) -> DataFrame:
     """Alignment by TF-IDF alone, without a threshold."""
-    scores = score_pairs(clauses, config) if scores is None else scores
-    best = best_assignment(scores.select("pair_id", "a_ordinal", "b_ordinal", "tfidf_score"), "tfidf_score")
+    best = best_assignment(clauses, config, "tfidf_score")
     matched = best.select("pair_id", "a_ordinal", "b_ordinal", F.col("tfidf_score").alias("match_score"), "tfidf_score", F.lit("baseline").alias("match_type"), F.lit(False).alias("needs_review"), F.lit("").alias("review_reason"))
     return complete(matched, clauses)
 
 
-def hybrid_match(clauses: DataFrame, scores: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+def hybrid_match(clauses: DataFrame, config: Config = Config()) -> DataFrame:
     """Alignment by the combined score; pairs under the review threshold fall apart into removed and added."""
-    scores = score_pairs(clauses, config) if scores is None else scores
-    best = best_assignment(scores, review=config.review_threshold)
+    best = best_assignment(clauses, config)
     review = (F.col("match_score") < config.accept_threshold) | (F.col("candidates") > 1)
     banded = best.withColumn("match_type", match_type(F.col("match_score"), config)).where("match_type is not null")
     matched = banded.withColumn("needs_review", review).withColumn("review_reason", review_reason(F.col("match_score"), F.col("candidates"), config)).drop("candidates")

