@@ -44,6 +44,7 @@ ORDINARY_SEGMENT, TOXIC_SEGMENT = 64, 18
 ROUNDS, PLACES, LEAST, LEVEL = 5, 4, 3, 9
 PASSAGE = 8
 FOLDS = (1, 2, 3, 4)
+KEPT = 200_000
 TAIL = bytes(24)
 _kernels: dict = {}
 
@@ -70,22 +71,29 @@ class Compressed:
         held = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=64, dict_size=len(content), write_checksum=False, write_content_size=False, write_dict_id=False)
         held.precompute_compress(compression_params=how)
-        self._compress = zstandard.ZstdCompressor(compression_params=how, dict_data=held).compress
+        self.compress = zstandard.ZstdCompressor(compression_params=how, dict_data=held).compress
 
     def __call__(self, window: bytes) -> int:
-        return len(self._compress(window + TAIL))
+        return len(self.compress(window + TAIL))
 
 
 class Savings:
-    """Bytes that the toxic dictionary saves on a window."""
+    """Bytes that the toxic dictionary saves on a window; a bounded number of results is kept for windows that come again."""
 
     def __init__(self, ordinary: bytes, toxic: bytes, shared: Compressed | None = None) -> None:
-        self._ordinary, self._toxic = shared or Compressed(ordinary), Compressed(ordinary + toxic)
-        self._floor = self._toxic(b"")  # no window is shorter
+        self._plain, self._short = (shared or Compressed(ordinary)).compress, Compressed(ordinary + toxic).compress
+        self._known: dict[bytes, int] = {}
 
     def __call__(self, window: bytes) -> int:
-        plain = self._ordinary(window)
-        return plain - self._toxic(window) if plain > self._floor else 0
+        found = self._known.get(window)
+        if found is None:
+            framed = window + TAIL
+            found = len(self._plain(framed)) - len(self._short(framed))
+            if len(window) < 64:
+                if len(self._known) >= KEPT:
+                    self._known.clear()
+                self._known[window] = found
+        return found
 
 
 def places(words: list[bytes], saved) -> list[tuple[int, int]]:
@@ -95,14 +103,17 @@ def places(words: list[bytes], saved) -> list[tuple[int, int]]:
     """
     n, found = len(words), []
     window = lambda k: b" " + b" ".join(words[max(0, k) : k + 2]) + b" "
-    for k in range(0, n - 1, 2) if n > 1 else range(n):
-        s = saved(window(k))
+    if n == 1:
+        return [(s, 0)] if (s := saved(window(0))) > 0 else []
+    for k, (first, second) in enumerate(zip(words[::2], words[1::2], strict=False)):
+        s = saved(b" %b %b " % (first, second))
         if s > 0:
+            k *= 2
             left = min(s, saved(window(k - 1))) if k else s
             right = min(s, saved(window(k + 1))) if k + 2 < n else s
             if left > 0:
                 found.append((left, k))
-            if right > 0 and n > 1:
+            if right > 0:
                 found.append((right, k + 1))
     if n > 1 and n % 2 and (s := saved(window(n - 2))) > 0:
         found.append((s, n - 1))
