@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,22 +14,29 @@ def compare(pages: DataFrame, pairs: DataFrame, config: Config = Config(), provi
     """Tables of pages(document_id, document_name, version, page_number, original_text) and pairs(pair_id, document_id_a, document_id_b).
 
     pages, clauses, matches, baseline (its own alignment, computed only if used), changes, rows, stats and status. Nothing
-    runs until one of them is used. A document without pages has no clauses, so its partner's are all added or removed.
+    runs until one of them is used; the clauses are kept on the executors' disks from then on, for the tables that read
+    them again (`tables["clauses"].unpersist()` lets them go; what a lost executor kept is computed again). A document
+    without pages has no clauses, so its partner's are all added or removed. A page's error is told and leaves its page
+    empty; a document that could not be read, or is missing, makes its pair's processing incomplete.
     """
     good = pages.where("page_number is not null") if "errors" in pages.columns else pages
     normal = segment.normalize_pages(good.select("document_id", "document_name", "version", "page_number", "original_text"))
     found = segment.segment(normal, config)
     sides = pairs.select("pair_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"document_id_{s}").alias("document_id")) for s in "ab"))).alias("d")).select("pair_id", "d.*")
-    clauses = sides.join(found, "document_id").withColumn("text", F.col("normalized_text"))
+    clauses = sides.join(found, "document_id").withColumn("text", F.col("normalized_text")).persist(StorageLevel.DISK_ONLY)
     matches = align.hybrid_match(clauses, config)
     changes = detect.detect_changes(align.with_clauses(matches, clauses), config)
     full = report.attach_citations(report.generate_summaries(changes, providers, config.summary_timeout))
     counts = clauses.groupBy("pair_id").agg(F.count_if(F.col("side") == "a").alias("total_clauses_a"), F.count_if(F.col("side") == "b").alias("total_clauses_b"))
-    failed = pages.where(F.size("errors") > 0).select("document_id", F.explode("errors").alias("error")) if "errors" in pages.columns else None
-    status = sides.join(normal.where("ocr_warning").select("document_id", "warning"), "document_id", "left")
-    status = status.groupBy("pair_id").agg(F.array_sort(F.collect_set("warning")).alias("warnings"), F.lit(True).alias("processing_complete"))
-    if failed is not None:
-        errors = sides.join(failed, "document_id").groupBy("pair_id").agg(F.array_sort(F.collect_set("error")).alias("errors"))
+    told = pages.select("document_id", F.explode("errors").alias("error")) if "errors" in pages.columns else None
+    read = normal.groupBy("document_id").agg(F.array_compact(F.array_sort(F.collect_set("warning"))).alias("warnings"), F.lit(True).alias("read"))
+    known = sides.join(read, "document_id", "left")
+    status = known.groupBy("pair_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("warnings", F.array().cast("array<string>")))))).alias("warnings"),
+        F.bool_and(F.coalesce("read", F.lit(False))).alias("processing_complete"),
+    )
+    if told is not None:
+        errors = sides.join(told, "document_id").groupBy("pair_id").agg(F.array_sort(F.collect_set("error")).alias("errors"))
         status = status.join(errors, "pair_id", "left")
     else:
         status = status.withColumn("errors", F.lit(None).cast("array<string>"))

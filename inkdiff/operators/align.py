@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Config
-from ..functions.kernels import assign, heading_matrix, number_matrix, tfidf_matrix, vector_matrix
+from ..functions.kernels import assign, heading_matrix, number_matrix, tfidf_matrix, token_sort_similarity, vector_matrix  # noqa: F401
 from ..functions.text import all_matches, first_match, strip, words_of
 
 TERM = r"(?U)\b\w\w+\b"
@@ -163,6 +163,24 @@ def best_assignment(clauses: DataFrame, config: Config = Config(), score: str =
     return _in_pairs(clauses, solve, f"a_ordinal int, b_ordinal int, {_SCORES}, candidates int")
 
 
+def embed_clauses(clauses: DataFrame, encode, text: str = "text") -> DataFrame:
+    """clauses with `embedding`, by encode(list of texts) -> list of vectors, a batch at a time in Python workers.
+
+    Texts of a batch that the encoder fails on have no vector: TF-IDF scores them, as it does wherever one side has none.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        try:
+            vectors = [None if v is None else [float(x) for x in v] for v in encode([t or "" for t in texts.to_pylist()])]
+            if len(vectors) != len(texts):
+                raise ValueError("a vector for each text is needed")
+        except Exception:  # an encoder may fail in any way, and the comparison goes on without it
+            vectors = [None] * len(texts)
+        return pa.array(vectors, pa.list_(pa.float64()))
+
+    return clauses.withColumn("embedding", F.arrow_udf(run, "array<double>").asNondeterministic()(F.col(text)))
+
+
 def complete(matched: DataFrame, clauses: DataFrame) -> DataFrame:
     """matched pairs, then the clauses of A without one as removed and those of B as added; empty sides need no case."""
     a = clauses.where("side = 'a'").select("pair_id", F.col("ordinal").alias("a_ordinal"))
@@ -195,3 +213,7 @@ def with_clauses(matches: DataFrame, clauses: DataFrame) -> DataFrame:
     keep = [c for c in ("clause_id", "document_id", "document_name", "heading", "text", "original_text", "page_number") if c in clauses.columns]
     side = lambda s: clauses.where(F.col("side") == s).select("pair_id", F.col("ordinal").alias(f"{s}_ordinal"), *[F.col(c).alias(f"{c}_{s}") for c in keep])
     return matches.join(side("a"), ["pair_id", "a_ordinal"], "left").join(side("b"), ["pair_id", "b_ordinal"], "left")
+
+
+#: What aligns clauses: (clauses, config) to pairs as `complete` gives them. Any other function of this shape will do.
+MATCHERS = {"baseline": baseline_match, "hybrid": hybrid_match}

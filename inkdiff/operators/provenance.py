@@ -132,12 +132,37 @@ def scrape_results(pages: DataFrame, page: str = "html", url: str = r"uddg=([^&\
     return pages.withColumn("_r", F.explode(F.slice(kept, 1, most))).select(*pages.columns, "_r.*")
 
 
-def reply_candidates(replies: DataFrame, reply: str = "reply", query: str = "query_used") -> DataFrame:
-    """The http urls of the first JSON array of objects in each reply, with titles and snippets."""
-    listed = F.from_json(F.regexp_extract(reply, r"(?s)\[\s*\{.*?\}\s*\]", 0), "array<struct<url: string, title: string, snippet: string>>")
-    rows = replies.select("*", F.posexplode(listed).alias("_k", "_c"))
-    url = strip(F.col("_c.url"))
-    return rows.where(F.startswith(url, F.lit("http"))).select(*replies.columns, F.col("_k").alias("ordinal"), url.alias("source_url"), F.coalesce("_c.title", F.lit("")).alias("document_title"), F.coalesce("_c.snippet", F.lit("")).alias("snippet"))
+def reply_candidates(replies: DataFrame, reply: str = "reply", query: str = "query_used", grounding: str = "grounding") -> DataFrame:
+    """The http urls of the first JSON array of objects in each reply, with titles and snippets, as found by the row's query.
+
+    A reply without such an array gives the pages that its column `grounding`, an array of structs (uri, title), cites,
+    if it has that column.
+    """
+    text = F.coalesce(F.col(reply), F.lit(""))
+    array = F.regexp_extract(text, r"(?s)\[\s*\{.*?\}\s*\]", 0)
+    asked = F.coalesce(F.col(query), F.lit("")) if query in replies.columns else F.lit("")
+    fields = lambda url, title, snippet, by: F.struct(url.alias("source_url"), F.coalesce(title, F.lit("")).alias("document_title"), F.coalesce(snippet, F.lit("")).alias("snippet"), by.alias("query_used"))
+    listed = F.transform(F.from_json(array, "array<struct<url: string, title: string, snippet: string>>"), lambda c: fields(strip(c["url"]), c["title"], c["snippet"], asked))
+    listed = F.filter(F.coalesce(listed, F.array().cast(listed_type := "array<struct<source_url: string, document_title: string, snippet: string, query_used: string>>")), lambda c: F.startswith(c["source_url"], F.lit("http")))
+    if grounding in replies.columns:
+        cited = F.transform(F.coalesce(F.col(grounding), F.array().cast("array<struct<uri: string, title: string>>")), lambda c: fields(c["uri"], c["title"], F.lit(""), F.lit("grounding")))
+        listed = F.when(array == "", cited.cast(listed_type)).otherwise(listed)
+    kept = [c for c in replies.columns if c not in (query, grounding)]
+    return replies.select(*kept, F.posexplode(listed).alias("ordinal", "_c")).select(*kept, "ordinal", "_c.*")
+
+
+def fetch_outcomes(fetched: DataFrame) -> DataFrame:
+    """fetched(url, content_type, content) with `next_url` and `error`: what follows from each answer of a server.
+
+    A document is kept (neither) or refused (error). A web page in its place leads on to its first PDF link (next_url);
+    without one it is an error. A server's type counts only where the url itself does not end in .pdf.
+    """
+    kind, url = F.lower(F.coalesce("content_type", F.lit(""))), F.col("url")
+    page = ~F.contains(kind, F.lit("pdf")) & ~F.endswith(F.lower(url), F.lit(".pdf")) & (F.contains(kind, F.lit("html")) | F.contains(kind, F.lit("text")))
+    link = F.when(page, first_pdf_link(F.decode(F.coalesce("content", F.lit(b"")), "UTF-8"), url))
+    refused = F.when(page, F.when(link.isNull(), "Server returned HTML webpage, not a direct PDF file.")).otherwise(file_error(url, F.col("content")))
+    scheme = F.when(~F.coalesce(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https"), F.lit(False)), "Only HTTP/HTTPS URLs are supported.")
+    return fetched.withColumn("next_url", F.when(scheme.isNull(), link)).withColumn("error", F.coalesce(scheme, refused))
 
 
 def first_pdf_link(page: Column, base: Column) -> Column:

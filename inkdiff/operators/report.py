@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ BADGES = {
 }
 CONFIDENCE = {"high": 0.9, "medium": 0.7, "low": 0.5}
 DETERMINISTIC_CONFIDENCE = 0.85
+FAILED = "Summary generation failed."
 
 
 def _lookup(key: Column, values: dict, default) -> Column:
@@ -56,7 +59,7 @@ SUMMARY = "struct<summary: string, classification_suggestion: string, confidence
 
 
 class Provider:
-    """A source of summaries: `generate` maps an iterator of frames with prompt to frames with reply; it may raise."""
+    """A source of summaries: `generate` gives a reply for each of some prompts, in their order; it may raise."""
 
     name = "provider"
 
@@ -70,30 +73,69 @@ class Provider:
 def generate_summaries(changes: DataFrame, providers: tuple[Provider, ...] = (), timeout: int = 10) -> DataFrame:
     """changes with `summary`. Providers are asked in their order; one that is unavailable or fails is passed over.
 
-    Without providers all is native. With them, prompts go in batches to Python workers; a batch that every provider
-    fails on gets the deterministic text, and each summary tells the last reason.
+    Without providers all is native. With them, prompts go in batches to Python workers. If a provider fails on a batch,
+    or is not done after `timeout` seconds, its prompts are tried one by one, so one bad clause costs no other its
+    summary. A clause that every provider fails on gets the deterministic text; each summary tells the last reason. A
+    provider whose availability cannot be told leaves the text for a failed summary.
     """
     plain = deterministic_summary(F.col("change_type"), F.col("signals"))
     if not providers:
         return changes.withColumn("summary", plain)
+
+    kind = pa.struct([("reply", pa.string()), ("name", pa.string()), ("reason", pa.string()), ("failed", pa.bool_())])
+
     def ask(prompts: pa.Array) -> pa.Array:
-        texts, reason = prompts.to_pylist(), ""
-        for p in providers:
-            if not p.is_available():
-                reason = f"{p.name} not available"
-                continue
-            try:
-                return pa.array([{"reply": r, "name": p.name, "reason": reason} for r in p.generate(texts, timeout)], kind)
-            except Exception as error:  # a provider may fail in any way
-                reason = f"{p.name} failed: {error}"
-        return pa.array([{"reply": None, "name": None, "reason": reason}] * len(texts), kind)
-
-    kind = pa.struct([("reply", pa.string()), ("name", pa.string()), ("reason", pa.string())])
-    asked = changes.withColumn("_asked", F.arrow_udf(ask, "struct<reply: string, name: string, reason: string>").asNondeterministic()(prompt(changes)))
+        return pa.array(ask_providers(prompts.to_pylist(), providers, timeout), kind)
+
+    asked = changes.withColumn("_asked", F.arrow_udf(ask, "struct<reply: string, name: string, reason: string, failed: boolean>").asNondeterministic()(prompt(changes)))
     parsed = parse_reply(F.col("_asked.reply"))
     given = F.struct(parsed["summary"].alias("summary"), parsed["classification_suggestion"].alias("classification_suggestion"), parsed["confidence"].alias("confidence"), F.col("_asked.name").alias("provider_used"), F.col("_asked.reason").alias("fallback_reason"))
     other = plain.withField("fallback_reason", F.col("_asked.reason"))
-    return asked.withColumn("summary", F.when(F.col("_asked.reply").isNotNull(), given).otherwise(other)).drop("_asked")
+    none = F.struct(F.lit(FAILED).alias("summary"), F.lit("").alias("classification_suggestion"), F.lit(0.0).alias("confidence"), F.lit("none").alias("provider_used"), F.col("_asked.reason").alias("fallback_reason"))
+    return asked.withColumn("summary", F.when(F.col("_asked.failed"), none).when(F.col("_asked.reply").isNotNull(), given).otherwise(other)).drop("_asked")
+
+
+def ask_providers(prompts: list[str], providers: tuple[Provider, ...], timeout: int) -> list[dict]:
+    """For each prompt: reply (None if no provider gave one), name, the last reason to pass a provider over, and failed."""
+    out = [{"reply": None, "name": None, "reason": "", "failed": False} for _ in prompts]
+    left = list(range(len(prompts)))
+    for p in providers:
+        try:
+            available = p.is_available()
+        except Exception as error:
+            for k in left:
+                out[k] |= {"reason": str(error), "failed": True}
+            return out
+        if not available:
+            for k in left:
+                out[k]["reason"] = f"{p.name} not available (no API key)"
+            continue
+        replies = _replies(p, [prompts[k] for k in left], timeout)
+        for k, r in zip(left, replies, strict=True):
+            if isinstance(r, Exception):
+                out[k]["reason"] = f"{p.name} failed: {r}"
+            else:
+                out[k] |= {"reply": r, "name": p.name}
+        left = [k for k in left if out[k]["reply"] is None]
+        if not left:
+            break
+    return out
+
+
+def _replies(provider: Provider, prompts: list[str], timeout: int) -> list[str | Exception]:
+    """A reply or an error for each prompt: of the whole batch at once, else one by one."""
+    worker = ThreadPoolExecutor(1)
+    try:
+        asked = worker.submit(provider.generate, prompts, timeout)
+        found = asked.result(timeout)
+        if len(found) == len(prompts):
+            return list(found)
+        error: Exception = ValueError(f"{len(found)} replies to {len(prompts)} prompts")
+    except Exception as e:  # a provider may fail in any way
+        error = e if asked.done() else TimeoutError(f"no reply after {timeout} s")
+    finally:
+        worker.shutdown(wait=False, cancel_futures=True)
+    return [error] if len(prompts) == 1 else [x for one in prompts for x in _replies(provider, [one], timeout)]
 
 
 def prompt(changes: DataFrame | None = None) -> Column:

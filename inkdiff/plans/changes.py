@@ -308,6 +308,13 @@ def result_rows(spark, sf_dir):
     return r.select("pair_id", "a_ordinal", "change_type", "badge_label", "bg_color", "heading_a", "heading_b", "text_a", "text_b", "match_score", (F.size("citations_a") + F.coalesce(F.size("citations_b"), F.lit(0))).alias("n_citations"))
 
 
+@query(f"{_SHOWN} SELECT upper(change_type) AS change_type, heading_a, pair_id, ordinal AS a_ordinal FROM shown ORDER BY pair_id, ordinal LIMIT 10")
+def row_preview(spark, sf_dir):
+    """The first ten rows of the report."""
+    shown = _rows(spark, sf_dir).orderBy("pair_id", "a_ordinal").limit(10)
+    return shown.select(F.upper("change_type").alias("change_type"), "heading_a", "pair_id", "a_ordinal")
+
+
 @query(f"{_SHOWN} SELECT pair_id, ordinal AS a_ordinal FROM shown WHERE change_type = 'substantive' AND contains(lower(concat_ws(' ', heading_a, heading_b, text_a, text_b)), lower('MAY ship'))")
 def row_search(spark, sf_dir):
     return report.search_rows(_rows(spark, sf_dir), "substantive", "MAY ship").select("pair_id", "a_ordinal")
@@ -450,7 +457,7 @@ def evaluation_report(spark, sf_dir):
     """Both matchers over labelled pairs, each pair featurised alone."""
     rows = labelled_pairs(spark, sf_dir)
     out = evaluate.evaluation_report({name: evaluate.evaluate_pairs(rows, name) for name in ("baseline", "hybrid")})
-    return out.withColumn("per_class_f1", F.to_json("per_class_f1"))
+    return out.withColumn("per_class_f1", F.to_json("per_class_f1")).withColumn("wording_test", F.to_json("wording_test")).drop("limitations", "timestamp")
 
 
 @query("SELECT count(*) AS shared FROM (SELECT doc_id FROM labels WHERE doc_id % 2 = 0) a SEMI JOIN (SELECT doc_id FROM labels WHERE doc_id % 2 = 1) b USING (doc_id)")

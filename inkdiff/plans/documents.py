@@ -106,11 +106,17 @@ def link_scrape(spark, sf_dir):
     return p.scrape_results(rows).select("page_id", "ordinal", "source_url", "document_title", "snippet")
 
 
-@query("SELECT page_id, 0 AS ordinal, url AS source_url, 'T' || CAST(page_id AS VARCHAR) AS document_title, '' AS snippet FROM pages")
+@query(
+    """SELECT page_id, 0 AS ordinal, url AS source_url, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'T' || CAST(page_id AS VARCHAR) END AS document_title, '' AS snippet,
+    CASE WHEN page_id % 3 = 0 THEN 'grounding' ELSE 'q' || CAST(page_id AS VARCHAR) END AS query_used FROM pages"""
+)
 def llm_candidates(spark, sf_dir):
-    """Replies with talk around a JSON array; a second object has no url."""
+    """Replies with talk around a JSON array, whose second object has no url, and replies that only cite their source."""
     reply = F.concat(F.lit('Here: [ {"url": "'), "url", F.lit('", "title": "T'), F.col("page_id").cast("string"), F.lit('"}, {"url": "none", "title": "x"} ] and [more]'))
-    return p.reply_candidates(_pages(spark, sf_dir).select("page_id", reply.alias("reply"))).select("page_id", "ordinal", "source_url", "document_title", "snippet")
+    told = F.when(F.col("page_id") % 3 == 0, F.lit("no list")).otherwise(reply)
+    cited = F.array(F.struct(F.col("url").alias("uri"), F.lit(None).cast("string").alias("title")))
+    rows = _pages(spark, sf_dir).select("page_id", told.alias("reply"), F.concat(F.lit("q"), F.col("page_id").cast("string")).alias("query_used"), cited.alias("grounding"))
+    return p.reply_candidates(rows).select("page_id", "ordinal", "source_url", "document_title", "snippet", "query_used")
 
 
 @query(
@@ -133,6 +139,20 @@ def file_checks(spark, sf_dir):
     return d.select("doc_id", p.file_error(url, content).alias("error"))
 
 
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'https://a.org/x/doc.pdf' END AS next_url, CASE WHEN doc_id % 4 = 0 AND octet_length(encode(text)) + 5 < 1024 THEN 'Downloaded file is too small to be a valid PDF.'
+    WHEN doc_id % 4 = 2 THEN 'Server returned HTML webpage, not a direct PDF file.' WHEN doc_id % 4 = 3 THEN 'Only HTTP/HTTPS URLs are supported.' END AS error FROM documents"""
+)
+def fetch_outcomes(spark, sf_dir):
+    """Documents as a server's answers: PDF files, web pages with and without a link to one, another scheme."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    turn = F.col("doc_id") % 4
+    body = F.concat(F.when(turn == 0, "%PDF-").when(turn == 1, "<a href='doc.pdf'>").otherwise(""), F.when(turn == 2, F.regexp_replace("text", "(?i)href", "")).otherwise(F.col("text")))
+    url = F.when(turn == 3, "ftp://a.org/x.pdf").when(turn == 0, "https://a.org/x.pdf").otherwise("https://a.org/x/page")
+    rows = d.select("doc_id", url.alias("url"), F.when(turn == 0, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"), F.encode(body, "UTF-8").alias("content"))
+    return p.fetch_outcomes(rows).select("doc_id", "next_url", "error")
+
+
 _CATEGORY = "CASE " + " ".join(f"WHEN contains(lower(t), '{k}') THEN '{v}'" for k, v in p.CATEGORIES.items()) + " ELSE '' END"
 _TEXT = "'UNIVERSITY LIBRARY RULES ' || CAST(p_partkey AS VARCHAR) || chr(10) || 'Issued by the Academic Council of ' || p_name || chr(10) || 'version 2.' || CAST(p_size AS VARCHAR) || ' for ' || CASE WHEN p_partkey % 2 = 0 THEN '2023-24' ELSE 'the year 2022 and 2024' END || chr(10) || 'HOSTEL FEE RULES' || chr(10) || 'text'"
 

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Extractor = Callable[[bytes], list[str]]
+#: The texts of a file's pages in order; in the place of a page that cannot be read, the error that it raised.
+Extractor = Callable[[bytes], "list[str | Exception]"]
 SCHEMA = "document_id string, document_name string, version string, page_number int, original_text string, ocr_warning boolean, errors array<string>"
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
@@ -19,7 +20,7 @@ _ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
 _CHARACTER = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"(": b"(", b")": b")", b"\\": b"\\"}
 
 
-def plain_pdf_pages(content: bytes) -> list[str]:
+def plain_pdf_pages(content: bytes) -> list[str | Exception]:
     """Texts of the pages, in the order of their objects, for files with literal strings and flate or no compression."""
     if not content.startswith(b"%PDF-"):
         raise ValueError("not a PDF file")
@@ -29,7 +30,10 @@ def plain_pdf_pages(content: bytes) -> list[str]:
         if re.search(rb"/Type\s*/Page\b(?!s)", body):
             held = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
             ids = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", held[1])] if held else []
-            pages.append("\n".join(_shown(objects.get(i, b"")) for i in ids))
+            try:
+                pages.append("\n".join(_shown(objects.get(i, b"")) for i in ids))
+            except Exception as error:  # whatever a damaged stream raises: the other pages are still read
+                pages.append(error)
     return pages
 
 
@@ -51,7 +55,8 @@ def _shown(body: bytes) -> str:
 def read_pages(spark: SparkSession, path: str, extractor: Extractor = plain_pdf_pages, version: str = "") -> DataFrame:
     """A row for each page of the files under path (which must exist): its number from 1, its text, and the file's errors.
 
-    A file that cannot be opened gives one row with an error and no page number.
+    A page that cannot be read is an empty one with an error and a warning. A file that cannot be opened gives one row
+    with an error and no page number.
     """
     kind = pa.list_(pa.struct([("n", pa.int32()), ("t", pa.string()), ("e", pa.string())]))
 
@@ -59,7 +64,8 @@ def read_pages(spark: SparkSession, path: str, extractor: Extractor = plain_pdf_
         out = []
         for x in contents:
             try:
-                out.append([{"n": k + 1, "t": t, "e": None} for k, t in enumerate(extractor(x.as_py()))])
+                read = enumerate(extractor(x.as_py()), 1)
+                out.append([{"n": k, "t": "", "e": f"Page {k}: failed to extract text — {t}"} if isinstance(t, Exception) else {"n": k, "t": t, "e": None} for k, t in read])
             except Exception as error:  # whatever a damaged file makes the extractor raise
                 out.append([{"n": None, "t": "", "e": str(error)}])
         return pa.array(out, kind)
