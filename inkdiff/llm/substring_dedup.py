@@ -4,10 +4,12 @@ A window is `window` consecutive words. Each window is led by the least hash amo
 windows have equal leaders, and neighbouring windows mostly share one, so there are about 20 times fewer leaders than
 windows. The passes:
 
-1. Count-min prefilter. Each partition sketches its documents' leaders (two counters for each leader and document);
-   the partial sketches are summed, so a leader's lesser counter is at least the number of documents that have it, and
-   that is at least the number that have any of its windows. Only the bits "2 or more" are kept: `width` of them twice,
-   a size fixed by the parameter, and broadcast. A corpus beyond the width passes more windows on and loses none.
+1. Count-min prefilter. Each partition sketches its documents' leaders (two counters for each leader and document, of
+   fixed number, that stop at 2) and sends its sketch once, in PARTS slices, each as pairs or as plain counters, whichever
+   is smaller. Slices are merged in two steps, a stream of them at a time, so no task holds more than one slice. The
+   sums stop at 2 too, so a leader's lesser counter is at least the number of documents that have it (up to 2), and that
+   is at least the number that have any of its windows. Only the bits "2 or more" are broadcast: `width` of them twice, a
+   size fixed by the parameter. A corpus beyond the width passes more windows on and loses none.
 2. Windows whose leader is estimated repeated, and only they, are grouped exactly by two independent 64-bit hashes of
    all their words: the least id of each group comes from partial aggregates, and a join (both of whose sides Spark may
    split where a window is very frequent) tells each document which of its windows stand in a smaller one.
@@ -20,8 +22,11 @@ loses nothing; rows of one id never remove each other's words. Windows are judge
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +36,7 @@ from .exact_dedup import BLOCK_BITS, BLOCKS, is_set
 
 WINDOW, ANCHOR = 50, 10
 WIDTH = 1 << 26
-PARTS = 64
+PARTS, FAN = 64, 16  # slices of a sketch row; first merges of each
 _ODD = U(0xD6E8FEB86659FD93)
 
 
@@ -75,39 +80,94 @@ def repeated_slots(docs: DataFrame, text: str, window: int, width: int) -> bytes
     """The merged sketch's bits "2 or more": two rows of width bits."""
     part = width // PARTS
 
+    def add(total: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        total[at] = np.minimum(total[at] + n, 2)
+
+    def gathered(pairs: list) -> np.ndarray:
+        total = np.zeros(part, np.uint8)
+        for at, n in pairs:
+            add(total, at.astype(np.int64), n)
+        return total
+
     def sketch(batches):
+        """The partition's slices: each a list of slots until plain counters are smaller."""
+        held: dict[int, list | np.ndarray] = {}
         for batch in batches:
             for _, texts in _documents(batch.column(0)):
                 own = [np.unique(leaders(w, window)) for w in texts if len(w) >= window]
-                if not own:
-                    continue
-                rows = []
-                for turn, found in enumerate(slots(np.concatenate(own), width)):
+                for turn, found in enumerate(slots(np.concatenate(own), width) if own else ()):
                     at, n = np.unique(found, return_counts=True)
                     n = np.minimum(n, 2).astype(np.uint8)
                     cuts = np.searchsorted(at, np.arange(PARTS + 1, dtype=U) * U(part))
                     for k in range(PARTS):
                         a, b = cuts[k], cuts[k + 1]
                         if b > a:
-                            rows.append((turn * PARTS + k, (at[a:b] - U(k * part)).astype(np.uint32).tobytes(), n[a:b].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "slots", "counts"])
-
-    def merge(key, table):
-        total = np.zeros(part, np.uint8)
-        for s, n in zip(table.column("slots"), table.column("counts"), strict=True):
-            at = np.frombuffer(s.as_buffer(), np.uint32)
-            total[at] = np.minimum(total[at] + np.frombuffer(n.as_buffer(), np.uint8), 2)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(total >= 2, bitorder="little").tobytes()], pa.binary())})
-
-    partial = docs.select(docs[text]).mapInArrow(sketch, "part int, slots binary, counts binary")
-    merged = partial.groupBy("part").applyInArrow(merge, "part int, bits binary")
+                            own_slots, slice_of = (at[a:b] - U(k * part)).astype(np.uint32), held.setdefault(turn * PARTS + k, [])
+                            if isinstance(slice_of, list):
+                                slice_of.append((own_slots, n[a:b]))
+                                if 5 * sum(len(x) for x, _ in slice_of) > part:
+                                    held[turn * PARTS + k] = gathered(slice_of)
+                            else:
+                                add(slice_of, own_slots.astype(np.int64), n[a:b])
+        task = TaskContext.get()
+        for k in list(held):
+            found = held.pop(k)
+            yield _slice(k, task.partitionId() if task else 0, gathered(found) if isinstance(found, list) else found)
+
+    def merge(batches):
+        """One slice of all that come, a batch in memory at a time."""
+        total, k, turn = np.zeros(part, np.uint8), 0, 0
+        for batch in batches:
+            k, turn = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+            for at, n in zip(batch.column(2), batch.column(3), strict=True):
+                if at.as_py() is None:
+                    total = np.minimum(total + _wide(n.as_buffer(), part), 2)
+                else:
+                    add(total, np.frombuffer(at.as_buffer(), np.uint32).astype(np.int64), np.frombuffer(n.as_buffer(), np.uint8))
+        yield _slice(k, turn, total)
+
+    schema = "part int, turn int, slots binary, counts binary"
+    partial = docs.select(docs[text]).mapInArrow(sketch, schema)
+    first = partial.withColumn("turn", F.pmod("turn", F.lit(FAN))).groupBy("part", "turn").applyInArrow(_streamed(merge), schema)
+    merged = first.groupBy("part").applyInArrow(_streamed(merge), schema)
     bits = np.zeros(2 * width // 8, np.uint8)
     for r in merged.toLocalIterator():
+        total = np.zeros(part, np.uint8)
+        if r["slots"] is None:
+            total = _wide(r["counts"], part)
+        else:
+            total[np.frombuffer(bytes(r["slots"]), np.uint32)] = np.frombuffer(bytes(r["counts"]), np.uint8)
         at = r["part"] * (part // 8)
-        bits[at : at + part // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[at : at + part // 8] = np.packbits(total >= 2, bitorder="little")
     return bits.tobytes()
 
 
+def _slice(k: int, turn: int, total: np.ndarray) -> pa.RecordBatch:
+    """A slice's counters: those that are not 0 as pairs, or all of them, four in a byte."""
+    at = np.flatnonzero(total)
+    if 5 * len(at) < len(total) // 4:
+        packed = at.astype(np.uint32).tobytes(), total[at].tobytes()
+    else:
+        fours = np.concatenate([total, np.zeros(-len(total) % 4, np.uint8)]).reshape(-1, 4)
+        packed = None, (fours[:, 0] | fours[:, 1] << 2 | fours[:, 2] << 4 | fours[:, 3] << 6).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([turn], pa.int32()), pa.array([packed[0]], pa.binary()), pa.array([packed[1]], pa.binary())], names=["part", "turn", "slots", "counts"])
+
+
+def _wide(packed, size: int) -> np.ndarray:
+    b = np.frombuffer(packed, np.uint8)
+    return np.stack([b & 3, b >> 2 & 3, b >> 4 & 3, b >> 6], axis=1).reshape(-1)[:size]
+
+
+def _streamed(merge):
+    """merge as a function that Spark gives a group's batches one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return merge(batches)
+
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
 def estimated_repeated(leader: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
     out = np.ones(len(leader), bool)
     for turn, at in enumerate(slots(leader, width)):
