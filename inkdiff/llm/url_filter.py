@@ -6,17 +6,19 @@ literal tokens of a rule are its runs of a-z0-9 that must be whole tokens of any
 the one of them that is rarest in the urls at hand; each url's tokens fetch its candidate rules, and only those run
 their regular expressions. A rule without such a token is indexed by the empty token, which every url has.
 
-The rule list is given by the caller and read on the driver. Up to MAX_BROADCAST_RULES rules the index is broadcast;
-beyond that it is joined by shuffle. Urls are judged once for each distinct url, so a hot url costs what any other does;
+The rules are given as a list, which becomes a table (`rule_table`), or as such a table, which the driver only counts. Up
+to MAX_BROADCAST_RULES rows the index is broadcast; beyond that it is joined by shuffle. Urls are judged once for each distinct url, so a hot url costs what any other does;
 tokens are paired with rules, never urls with urls.
 
 A null url, or one without `://`, has an empty host and path and fits no rule. Of the fitting prefix rules (host and
 path) the longest wins; without one, a fitting exception pattern allows, else a fitting block pattern blocks, else the
-url is allowed.
+url is allowed. Each row is answered, repeated ones alike; an empty table gives an empty result. All of the table's
+columns stand in the struct `input`, so none of their names can clash.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -104,36 +106,35 @@ def rest_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://[^/?#]*(.*)", 1)
 
 
-def _rows(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    """A row for each rule and token: _token, _rule, _kind, _regex, _verdict, _length."""
-    every = [
-        F.struct(F.lit(t).alias("_token"), F.lit(r.name).alias("_rule"), F.lit(r.kind).alias("_kind"), F.lit(r.regex).alias("_regex"), F.lit(r.verdict).alias("_verdict"), F.lit(r.length).alias("_length"))
-        for r in rules
-        for t in r.tokens or ("",)
-    ]
-    return spark.range(1).select(F.inline(F.array(*every)))
+RULE_ROWS = "array<struct<_token: string, _rule: string, _kind: string, _regex: string, _verdict: string, _length: int>>"
 
 
-def rule_index(tokens: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Each rule under its token that is rarest in tokens(_token)."""
-    listed = _rows(tokens.sparkSession, rules)
-    small = F.broadcast if len(rules) <= MAX_BROADCAST_RULES else lambda x: x
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """A row for each rule and token: _token, _rule, _kind, _regex, _verdict, _length. The list is one literal of the plan."""
+    rows = [{"_token": t, "_rule": r.name, "_kind": r.kind, "_regex": r.regex, "_verdict": r.verdict, "_length": r.length} for r in rules for t in r.tokens or ("",)]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), RULE_ROWS)))
+
+
+def rule_index(tokens: DataFrame, listed: DataFrame, small) -> DataFrame:
+    """Each rule of the table under its token that is rarest in tokens(_token)."""
     seen = tokens.join(small(listed.select("_token").distinct()), "_token", "left_semi").groupBy("_token").agg(F.count("*").alias("_n"))
     by_rarity = Window.partitionBy("_rule", "_kind").orderBy(F.coalesce("_n", F.lit(0)), "_token")
     ranked = listed.join(seen, "_token", "left").withColumn("_rank", F.row_number().over(by_rarity))
     return ranked.where("_rank = 1").drop("_rank", "_n")
 
 
-def filter_urls(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def filter_urls(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] | DataFrame = RULES) -> DataFrame:
     """df's columns in a struct `input`, with host, path, rule (of the winning prefix rule, else null) and verdict."""
-    small = F.broadcast if len(rules) <= MAX_BROADCAST_RULES else lambda x: x
+    listed = rules if isinstance(rules, DataFrame) else rule_table(df.sparkSession, rules)
+    number = rules.count() if isinstance(rules, DataFrame) else sum(max(1, len(r.tokens)) for r in rules)
+    small = F.broadcast if number <= MAX_BROADCAST_RULES else lambda x: x
     rows = df.select(F.struct("*").alias("input"), F.coalesce(df[url], F.lit("")).alias("_url"))
     urls = rows.select("_url").distinct()
     parsed = urls.select("_url", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"), rest_of(F.col("_url")).alias("_rest"))
     parsed = parsed.where("_host <> '' or _rest <> ''")
     found = F.array_distinct(F.concat(F.regexp_extract_all(F.lower(F.concat("_host", "_rest")), F.lit(TOKEN), F.lit(0)), F.array(F.lit(""))))
     tokens = parsed.select("_url", "_host", "_path", "_rest", F.explode(found).alias("_token"))
-    candidates = tokens.join(small(rule_index(tokens.select("_token"), rules)), "_token")
+    candidates = tokens.join(small(rule_index(tokens.select("_token"), listed, small)), "_token")
     target = F.when(F.col("_kind") == "prefix", F.concat("_host", "_path")).otherwise(F.lower(F.concat("_host", "_rest")))
     fits = candidates.where(F.regexp(target, F.col("_regex")))
     prefix, pattern = F.col("_kind") == "prefix", F.col("_kind") == "pattern"
