@@ -507,3 +507,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     from ._shared import table
 
     return group_near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(w) - {WORDS} + 2), lambda i: md5(array_to_string(w[i : i + {WORDS} - 1], ' ')))) AS s FROM docs WHERE len(w) >= {WORDS}
+    UNION ALL SELECT doc_id, md5(array_to_string(w, ' ')) FROM docs WHERE len(w) BETWEEN 1 AND {WORDS} - 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= {round(100 * THRESHOLD)} * (p.n + q.n - k)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT a, y FROM reach JOIN sides ON b = x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM docs LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""

@@ -22,4 +22,4 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
 }
-SQL = {"op3_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op9_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
+SQL = {"op3_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op7_ngram_join": ngram_join.SQL, "op9_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
