@@ -4,10 +4,12 @@
 which token shards are stored; `bpe_decode` turns such a column back into raw bytes. The rank file is read on the
 driver and broadcast: its size is checked against `max_rank_bytes`, and it does not grow with the data.
 
-Long texts are cut before the tokenizer's regular expression runs. A cut falls only between a character that is not
+Long texts are cut before the tokenizer's regular expression runs, if it is the public one, for which the rule holds;
+with any other expression a text is encoded whole. A cut falls only between a character that is not
 white space and a white space one: no match of the pattern spans such a place, so the ids are those of the whole text.
 White space runs of RUN characters or more, which overflow the expression's stack, are encoded as the single match
-that they are. Null texts count as empty and have no ids. Other columns are kept as they are.
+that they are. Null texts count as empty and have no ids; rows that repeat an id or text are encoded alike; an empty
+table gives an empty one. A column of the result's name is replaced, other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -76,11 +78,14 @@ def bpe_encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text",
     """df with the ids of column `text` as little-endian uint32 bytes in column `into`."""
     import numpy as np
 
-    lines = _ranks(df.sparkSession, rank_file)
+    import public_tokenizers
+
+    lines, cut = _ranks(df.sparkSession, rank_file), pattern == public_tokenizers.PATTERN
 
     def encode(texts: pa.Array) -> pa.Array:
         enc = encoding_of(lines.value, pattern)
-        return pa.array((np.array(encode_text(enc, x.as_py()), dtype="<u4").tobytes() for x in texts), pa.binary())
+        ids = (encode_text(enc, x.as_py()) if cut else enc.encode_ordinary(x.as_py()) for x in texts)
+        return pa.array((np.array(own, dtype="<u4").tobytes() for own in ids), pa.binary())
 
     kernel = F.arrow_udf(encode, "binary").asNondeterministic()  # evaluated once, whatever uses its column
     return df.withColumn(into, kernel(F.coalesce(df[text], F.lit(""))))

@@ -149,3 +149,40 @@ def test_stars_meet_by_their_members(spark):
 
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.group_near_copies(docs).collect()}
     assert got == brute_components([(i, " ".join(w)) for i, w in rows])
+
+
+@pytest.mark.parametrize("most", [100_000, 10])
+def test_thousands_of_rules(spark, monkeypatch, most):
+    """Generated prefix rules, as a list and as a table, broadcast and shuffled, against all of them in turn."""
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", most)
+    r = random.Random(4)
+    hosts = [f"site{k}.example{k % 90}.org" for k in range(2500)]
+    given = [(h, r.choice(["/", "/a/", "/a/b", "/news/"]), r.choice(["allow", "block"])) for h in hosts]
+    rules = tuple(url_filter.prefix_rule(*x) for x in given)
+    urls = [f"http://{r.choice(['', 'www.', 'x'])}{r.choice(hosts)}{r.choice(['', '/', '/a/', '/a/bc', '/news/1'])}" for _ in range(300)]
+
+    def brute(u):
+        host, _, path = u.removeprefix("http://").partition("/")
+        path = "/" + path if "/" in u.removeprefix("http://") else ""
+        fits = [(len(h + p), h + p, v) for h, p, v in given if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, "allow")
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for form in (rules, url_filter.rule_table(spark, rules)):
+        got = {x["input"]["page_id"]: (x["rule"], x["verdict"]) for x in url_filter.filter_urls(df, rules=form).collect()}
+        assert got == {k: brute(u) for k, u in enumerate(urls)}
+
+
+def test_other_expressions_are_not_cut(spark):
+    """Runs of this expression swallow line ends, so a cut before white space would change the ids."""
+    import base64
+
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), r"[^\s\p{L}\p{N}]+[\r\n]*|\p{L}+|\p{N}+|\s+"
+    text = ("!!!\n\nabc 12 " * 12_000) + "!\n"
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    got = bpe.bpe_encode(spark.createDataFrame([(1, text)], SCHEMA), path, pattern).first()["token_ids"]
+    assert np.frombuffer(bytes(got), "<u4").tolist() == enc.encode_ordinary(text)
