@@ -44,7 +44,7 @@ ORDINARY_SEGMENT, TOXIC_SEGMENT = 64, 18
 ROUNDS, PLACES, LEAST, LEVEL = 5, 4, 3, 9
 PASSAGE = 8
 FOLDS = (1, 2, 3, 4)
-KEPT = 200_000
+KEPT = 100_000
 TAIL = bytes(24)
 _kernels: dict = {}
 
@@ -136,19 +136,6 @@ def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-class _Cached:
-    """Savings of windows whose ordinary length is kept from round to round."""
-
-    def __init__(self, ordinary: Compressed, toxic: Compressed, known: dict[bytes, int]) -> None:
-        self._ordinary, self._toxic, self._known = ordinary, toxic, known
-
-    def __call__(self, window: bytes) -> int:
-        plain = self._known.get(window)
-        if plain is None:
-            plain = self._known[window] = self._ordinary(window)
-        return plain - self._toxic(window)
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 60) -> tuple[np.ndarray, float]:
     """Weights, intercept first, and the loss of weighted rows, by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -165,62 +152,68 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weight.sum())
 
 
-def own_words(toxic: list[list[bytes]], plain: list[str]) -> list[list[bytes]]:
-    """The words of each toxic text that are in no PASSAGE words of a plain text or an earlier toxic one."""
+def own_words(toxic: list[bytes], plain: list[str]) -> list[bytes]:
+    """The words of each toxic text that are in no PASSAGE words of a plain text or an earlier toxic one, joined by spaces."""
 
     def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h, bounds = word_hashes(texts)
         each = [run_hashes(h[a:b], PASSAGE) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         return np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
 
-    common = np.unique(np.concatenate([runs([t.lower().encode()])[0] for t in plain]))
-    own, of = runs([b" ".join(words) for words in toxic])
-    _, first, which = np.unique(own, return_index=True, return_inverse=True)
-    again = np.isin(own, common) | (of[first][which] < of)
+    own, of = runs(toxic)
+    known, first, which = np.unique(own, return_index=True, return_inverse=True)
+    common = np.zeros(len(known), bool)
+    for k in range(0, len(plain), 256):
+        common |= np.isin(known, runs([t.lower().encode() for t in plain[k : k + 256]])[0])
+    again = common[which] | (of[first][which] < of)
     out = []
-    for k, words in enumerate(toxic):
+    for k, words in enumerate(map(bytes.split, toxic)):
         gone = np.zeros(len(words) + 1, np.int64)
         starts = np.flatnonzero(again[of == k])
         np.add.at(gone, starts, 1)
         np.add.at(gone, starts + PASSAGE, -1)
-        out.append([w for w, g in zip(words, np.cumsum(gone)[:-1].tolist(), strict=True) if not g])
+        out.append(b" ".join(w for w, g in zip(words, np.cumsum(gone)[:-1].tolist(), strict=True) if not g))
     return out
 
 
-def refine(toxic: dict[int, list[list[bytes]]], ordinary: bytes, shared: Compressed) -> tuple[bytes, dict[int, bytes]]:
-    """The toxic dictionary of all folds' texts (lists of words), and for each fold the one of the other folds' texts."""
-    samples = {f: [b" ".join(words) for words in texts] for f, texts in toxic.items()}
+def refine(toxic: dict[int, list[bytes]], ordinary: bytes, shared: Compressed) -> tuple[bytes, dict[int, bytes]]:
+    """The toxic dictionary of all folds' texts, and for each fold the one of the other folds' texts."""
+    samples = dict(toxic)
     others = lambda f, size: _dictionary([s for g, own in samples.items() if g != f for s in own], size, TOXIC_SEGMENT)
-    known: dict[bytes, int] = {}
     for turn in range(ROUNDS):
         size = max(TOXIC_BYTES, ORDINARY_BYTES >> (2 * turn + 1))
         chosen = {}
         for f, texts in toxic.items():
-            saved = _Cached(shared, Compressed(ordinary + others(f, size)), known)
-            best = [(words, sorted(places(words, saved), key=lambda p: (-p[0], p[1]))[:PLACES]) for words in texts]
-            chosen[f] = [b" " + b" ".join(words[max(0, k - 1) : k + 2]) + b" " for words, found in best for s, k in found if s >= LEAST]
+            saved = Savings(ordinary, others(f, size), shared)
+            chosen[f] = [around for text in texts for around in _best_windows(text.split(), saved)]
         samples = chosen
     every = [s for own in samples.values() for s in own]
     return _dictionary(every, TOXIC_BYTES, TOXIC_SEGMENT), {f: others(f, TOXIC_BYTES) for f in toxic}
 
 
+def _best_windows(words: list[bytes], saved: Savings) -> list[bytes]:
+    """What stands around the places that gain most."""
+    found = sorted(places(words, saved), key=lambda p: (-p[0], p[1]))[:PLACES]
+    return [b" " + b" ".join(words[max(0, k - 1) : k + 2]) + b" " for s, k in found if s >= LEAST]
+
+
 def train(rows: list[tuple[int, int, str]]) -> Model:
     """A model of (fold, label, text) rows."""
-    toxic = {f: [words_of(t) for g, y, t in rows if y == 1 and g == f] for f in FOLDS}
+    toxic = {f: [b" ".join(words_of(t)) for g, y, t in rows if y == 1 and g == f] for f in FOLDS}
     toxic = {f: texts for f, texts in toxic.items() if texts}
     plain = [t for f, y, t in rows if y == 0 and f != 4] or [t for _, y, t in rows if y == 0]
     if not plain or len(toxic) < 2:
         return Model(b"", b"", 0, ())
     ordinary = _dictionary([b" ".join(words_of(t)) for t in plain], ORDINARY_BYTES, ORDINARY_SEGMENT)
     shared = Compressed(ordinary)
-    fresh = iter(own_words([words for texts in toxic.values() for words in texts], plain))
+    fresh = iter(own_words([text for texts in toxic.values() for text in texts], plain))
     content, crossed = refine({f: [next(fresh) for _ in texts] for f, texts in toxic.items()}, ordinary, shared)
     if not content:
         return Model(b"", b"", 0, ())
     measured, labels = [], []
     for f, texts in toxic.items():
         saved = Savings(ordinary, crossed[f], shared)
-        measured += [[s for s, _ in places(words, saved)] for words in texts]
+        measured += [[s for s, _ in places(text.split(), saved)] for text in texts]
         labels += [1.0] * len(texts)
     unseen = ([t for f, y, t in rows if y == 0 and f == 4] or plain)[:CALIBRATE]
     turns = [Savings(ordinary, crossed[f], shared) for f in crossed]
