@@ -15,32 +15,32 @@ from inkdiff.llm._shared import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity under 0.5. Null and empty texts have no evidence and stay unless most labels are toxic."""
+    """Documents with a toxicity under 0.5. Null and empty texts have no evidence; without labels of both kinds all stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     rows = docs.select(F.struct("*").alias("input"), docs["text"].alias("text"))
     return toxicity.score_toxicity(rows, model, into="score").where("score < 0.5").select("input.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
+    """Of equal texts, the row with the largest doc_id; null and empty texts are equal."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least doc_id."""
+    """Of each group of near copies, the document with the least doc_id. Texts without words are alone and stay, null ids too."""
     groups = ngram_join.group_near_copies(docs.select("doc_id", "text"))
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs. Null texts have no words and stay."""
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("leak.spans") == 0).select("input.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids (little-endian uint32) and the digests of the ids and of what they decode to."""
+    """doc_id, n_tokens, token_ids (little-endian uint32) and the digests of the ids and of what they decode to. Null texts count as empty."""
     import public_tokenizers
 
     how = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN

@@ -12,7 +12,8 @@ more passes over the documents, not more memory. Hits of several blocks are merg
 
 Words are lower-cased (A-Z only) runs of a-z, 0-9 and non-ASCII characters. Null texts have no words; items without
 words have no windows; equal windows of several items count for each of them. Items are named by the text of item_id;
-windows of a null item_id hit words but are no item.
+windows of a null item_id hit words but are no item. Rows that repeat an id or text are answered alike, empty tables on
+either side give no hits, and all of the table's columns stand in the struct `input`, so none of their names can clash.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ lines, mean word length). Each group is scaled by its number, so a text's length
 From the grades' probabilities come the expected grade and the tail probability P(grade >= `floor`), by which documents
 are selected. The model is fitted on the driver on a bounded sample of labelled rows outside fold 0 (LIMIT rows for each
 grade, see _labels.py) and has a fixed size; all documents are scored. Null and empty texts have the features of no
-words. Without ratings, the expected grade and tail probability are null and nothing is selected.
+words. Without ratings, the expected grade and tail probability are null and nothing is selected. Rows that repeat an id
+or text are scored alike, each by its own text alone; an empty table gives an empty result. A column of the result's name
+is replaced; all others stay.
 """
 
 from __future__ import annotations

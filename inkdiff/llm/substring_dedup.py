@@ -17,7 +17,8 @@ windows. The passes:
    A bitmap of the text hashes, of fixed size, lets all other documents pass without a shuffle.
 
 Texts of fewer words have no window. A null text has no words. A row with a null id is never larger than another, so it
-loses nothing; rows of one id never remove each other's words. Windows are judged on the input.
+loses nothing; rows of one id never remove each other's words, whether they repeat a text or not. Windows are judged on
+the input. An empty table gives an empty result. All of the table's columns stand in the struct `input`.
 """
 
 from __future__ import annotations

@@ -186,3 +186,44 @@ def test_other_expressions_are_not_cut(spark):
     enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
     got = bpe.bpe_encode(spark.createDataFrame([(1, text)], SCHEMA), path, pattern).first()["token_ids"]
     assert np.frombuffer(bytes(got), "<u4").tolist() == enc.encode_ordinary(text)
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Stages two to five against brute force, on a table with nulls, copies, near copies, passages of items and odd columns."""
+    import base64
+    import hashlib
+
+    import corpus_pipeline
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+    from test_llm import brute_components, brute_leaks
+
+    r = random.Random(8)
+    base = [" ".join(r.choices(["w%d" % k for k in range(80)], k=r.randint(3, 60))) for _ in range(40)]
+    item = "the item has twelve words of its own to be found in texts"
+    texts = [*base, *base[:8], None, "", "  ", *(t.replace("w1", "W1", 1) for t in base[8:14]), *(f"{t} {item}" for t in base[14:20]), item]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA + ", lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    last = {t or "": k for k, t in enumerate(texts)}
+    kept = [(k, texts[k]) for k in sorted(last.values())]
+    groups = brute_components(kept)
+    kept = [(k, t) for k, t in kept if groups[k][1] == k]
+    leaks = brute_leaks(kept, [(1, item)])
+    kept = [(k, t) for k, t in kept if not leaks[k][1]]
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    expected = {k: (len(ids := enc.encode_ordinary(t or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for k, t in kept}
+    got = {x["doc_id"]: (x["n_tokens"], x["ids_sha256"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == expected and 20 < len(got) < 45
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
