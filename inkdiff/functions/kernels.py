@@ -25,7 +25,7 @@ def _ratio(old: pa.Array, new: pa.Array) -> pa.Array:
 
 def similarity_ratio(old: Column, new: Column) -> Column:
     """difflib's ratio of the two texts, in this order; equal texts do not leave the JVM's fast path."""
-    return F.when(old == new, F.lit(1.0)).otherwise(_ratio(F.when(old != new, old), new))
+    return F.when(old == new, F.lit(1.0)).otherwise(_ratio(F.when(old != new, old), F.when(old != new, new)))
 
 
 def common_subsequence(a: str, b: str) -> int:
