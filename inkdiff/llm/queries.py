@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, ngram_join, quality, secret_scan, substring_dedup, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, merkle_manifest, ngram_join, quality, secret_scan, substring_dedup, toxicity, url_filter
 from ._shared import table
 
 
@@ -21,5 +21,13 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op13_merkle_manifest": merkle_manifest.query,
+}
+SQL = {
+    "op3_url_filter": url_filter.SQL,
+    "op4_decontaminate": decontaminate.SQL,
+    "op7_ngram_join": ngram_join.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
+    "op10_exact_dedup": exact_dedup.SQL,
+    "op13_merkle_manifest": merkle_manifest.SQL,
 }
-SQL = {"op3_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op7_ngram_join": ngram_join.SQL, "op9_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
