@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, merkle_manifest, ngram_join, quality, secret_scan, substring_dedup, toxicity, url_filter
+from . import bpe, conversation_trie, decontaminate, exact_dedup, html_text, merkle_manifest, ngram_join, quality, secret_scan, substring_dedup, toxicity, url_filter
 from ._shared import table
 
 
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_conversation_trie": conversation_trie.query,
     "op13_merkle_manifest": merkle_manifest.query,
 }
 SQL = {
@@ -29,5 +30,6 @@ SQL = {
     "op7_ngram_join": ngram_join.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_conversation_trie": conversation_trie.SQL,
     "op13_merkle_manifest": merkle_manifest.SQL,
 }

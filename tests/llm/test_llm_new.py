@@ -4,7 +4,10 @@ import hashlib
 import random
 import zlib
 
-from inkdiff.llm import merkle_manifest
+import numpy as np
+import pytest
+
+from inkdiff.llm import conversation_trie, merkle_manifest
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, _node string"
 
@@ -96,3 +99,80 @@ def test_append_extends_open_witnesses():
         assert root == levels[-1][0] and len(witnesses) == n
         for i, w in enumerate(witnesses):
             assert "".join(a + b for a, b in w) == "".join("".join(x for k, x in enumerate(level[i // 3 ** (d + 1) * 3 : i // 3 ** (d + 1) * 3 + 3]) if k != i // 3**d % 3) for d, level in enumerate(levels[:-1]))
+
+
+TURNS = "conv_id long, turn long, role string, text string, _turn string"
+
+
+def brute_nodes(rows):
+    own = {}
+    for r in rows:
+        if r[0] is not None:
+            own.setdefault(r[0], []).append(r)
+    for c, turns in own.items():
+        own[c] = [(r[2] or "", r[3] or "") for r in sorted(turns, key=lambda r: (r[1] is not None, r[1] or 0))]
+    whole = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 6
+        whole[c] = tuple(own.get(c - int(np.fmod(c, 100)), [])[:h] + own[c][h:])
+    nodes = {}
+    for c, turns in whole.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(turns[:d], []).append(c)
+    out = []
+    for p, members in nodes.items():
+        below = [q for q in nodes if q[: len(p)] == p]
+        leaves = [q for q in below if not any(len(x) == len(q) + 1 and x[: len(q)] == q for x in below)]
+        ends = ",".join(str(c) for c in sorted(members) if whole[c] == p)
+        saved = sum((len(nodes[q]) - 1) * len(q[-1][1]) for q in below if q)
+        n_children = sum(len(q) == len(p) + 1 for q in below)
+        out.append((min(members), len(p), min(nodes[p[:-1]]) if p else None, len(members), n_children, len(leaves), saved, H(ends)))
+    return sorted(out, key=repr)
+
+
+def conversations(n, seed):
+    r = random.Random(seed)
+    texts = ["", None, "ü", "hello", "x" * 5000, "a\nb"]
+    rows = []
+    for c in r.sample(range(-150, 400), n):
+        for t in r.choice([range(r.randint(1, 9)), [None, 3, 7], range(2)]):
+            rows.append((c, t, r.choice(["user", "user", None, ""]), r.choice(texts[: r.choice([2, 6])]), "z"))
+    return rows + [(10**12, t, "user", "hello", "z") for t in range(70)] + [(None, 1, "user", "lost", "z")] + rows[:1] * 2
+
+
+@pytest.mark.parametrize("turns", [1, 7, 60, 1 << 17])
+def test_trie_by_brute_force(spark, tmp_path, turns):
+    """The same nodes from shards of any size: from one sequence each to one shard for all."""
+    rows = conversations(70, turns)
+    rows = [r for i, r in enumerate(rows) if r not in rows[:i] or r[:2] == rows[0][:2]]
+    found = conversation_trie.prefix_nodes(conversation_trie.rebuilt(spark.createDataFrame(rows, TURNS).repartition(3)), turns=turns)
+    assert found.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_nodes(rows)
+
+
+def test_trie_of_copies_and_of_nothing(spark):
+    """A conversation that most others copy: its list of ids goes on over several pieces."""
+    assert conversation_trie.prefix_nodes(conversation_trie.rebuilt(spark.createDataFrame([], TURNS))).collect() == []
+    n = conversation_trie.CHUNK * 2 + 5
+    convs = spark.range(n).selectExpr("id as conv_id", f"unhex(repeat('0', {2 * conversation_trie.WIDTH * 3})) as blob")
+    found = sorted(conversation_trie.prefix_nodes(convs).collect(), key=lambda r: r.depth)
+    assert [(r.conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens) for r in found] == [(0, n, 1, 1, 0)] * 3 + [(0, n, 0, 1, 0)]
+    assert found[3].ends_sha256 == H(",".join(map(str, range(n)))) and found[0].ends_sha256 == H("")
+
+
+def test_double_array_finds_its_nodes_only():
+    r = random.Random(5)
+    words = sorted({tuple(r.randrange(30) for _ in range(r.randint(1, 5))) for _ in range(400)})
+    index, parent, label = {(): 0}, [0], [0]
+    for w in words:
+        for d in range(1, len(w) + 1):
+            if w[:d] not in index:
+                index[w[:d]] = len(parent)
+                parent.append(index[w[: d - 1]])
+                label.append(w[d - 1])
+    trie = conversation_trie.DoubleArray(np.array(parent), np.array(label), 30)
+    assert len(set(trie.slot.tolist())) == len(parent)
+    for p, k in index.items():
+        for i in range(30):
+            to = trie.step(trie.slot[[k]], np.array([i]))[0]
+            assert to == (trie.slot[index[(*p, i)]] if (*p, i) in index else -1)
