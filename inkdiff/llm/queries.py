@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversation_trie, decontaminate, exact_dedup, html_text, merkle_manifest, ngram_join, quality, secret_scan, substring_dedup, toxicity, url_filter
+from . import bpe, conversation_trie, decontaminate, exact_dedup, html_text, merkle_manifest, nearest, ngram_join, quality, secret_scan, substring_dedup, toxicity, url_filter
 from ._shared import table
 
 
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
     "op11_conversation_trie": conversation_trie.query,
+    "op12_nearest": nearest.query,
     "op13_merkle_manifest": merkle_manifest.query,
 }
 SQL = {

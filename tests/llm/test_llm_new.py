@@ -7,7 +7,9 @@ import zlib
 import numpy as np
 import pytest
 
-from inkdiff.llm import conversation_trie, merkle_manifest
+from pyspark.sql import functions as F
+
+from inkdiff.llm import conversation_trie, merkle_manifest, nearest
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, _node string"
 
@@ -176,3 +178,79 @@ def test_double_array_finds_its_nodes_only():
         for i in range(30):
             to = trie.step(trie.slot[[k]], np.array([i]))[0]
             assert to == (trie.slot[index[(*p, i)]] if (*p, i) in index else -1)
+
+
+VECTORS = "vec_id long, embedding array<double>, label string, _v string, rank int"
+
+
+def brute_nearest(rows, asks, k=5):
+    """Ties, to 13 decimals, go to the smaller id."""
+    usable = sorted({(r[0], tuple(r[1])) for r in rows if r[0] is not None and r[1] and len(r[1]) == 3 and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])})
+    units = {v: np.array(v) / np.max(np.abs(v)) / np.linalg.norm(np.array(v) / np.max(np.abs(v))) for _, v in usable}
+    out = {}
+    for q, v in usable:
+        if asks(q):
+            near = sorted((-round(float(units[v] @ units[w]), 13), i) for i, w in usable if i != q)[:k]
+            out[q, v] = [(rank, i, -s) for rank, (s, i) in enumerate(near, 1)]
+    return out
+
+
+def test_nearest_on_odd_rows(spark):
+    """Few rows: every leaf is visited, so the result is exact. Parallel vectors may differ in the last bit of their cosines."""
+    r = random.Random(3)
+    rows = [(i, [r.choice([-2.0, 0.0, 1.0, 3.0]) for _ in range(3)], "x", "y", 1) for i in range(60)]
+    rows += [(i, [1.0, 1.0, 1.0], "x", "y", 1) for i in range(100, 130)] + rows[:2]
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, None, 1.0], [float("nan"), 1.0, 1.0], [1.0, float("inf"), 1.0], [1.0, 1.0]]
+    rows += [(200 + i, v, None, None, None) for i, v in enumerate(odd)] + [(None, [1.0, 2.0, 3.0], "x", "y", 1), (300, [1e300, -1e300, 0.0], None, None, 1), (301, [1e-300, -1e-300, 7e-300], None, None, 1)]
+    table = spark.createDataFrame(rows, VECTORS).repartition(3)
+    found = {}
+    for row in nearest.nearest(table, table["vec_id"] % 5 == 0, target=1.0).collect():
+        found.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
+    want = brute_nearest(rows, lambda q: q % 5 == 0)
+    want_all = {q: near for (q, _), near in brute_nearest(rows, lambda q: q % 5 == 0, k=999).items()}
+    assert {q for q, _ in want} == set(found)
+    for (q, _), near in want.items():
+        got = sorted(found[q])
+        assert [a for a, _, _ in got] == [a for a, _, _ in near] and [c for *_, c in got] == pytest.approx([c for *_, c in near], abs=1e-11)
+        ids, units = {i for _, i, _ in got}, {i: c for _, i, c in want_all[q]}
+        assert len(ids) == len(got) and all(units[i] == pytest.approx(c, abs=1e-11) for _, i, c in got)
+
+
+def test_nearest_of_few_rows(spark):
+    make = lambda rows: spark.createDataFrame(rows, VECTORS)
+    for rows in ([], [(1, [0.0], "", "", 0)], [(50, [1.0, 2.0], "", "", 0)]):
+        table = make(rows)
+        assert nearest.nearest(table, table["vec_id"] % 50 == 0).collect() == []
+    table = make([(50, [1.0, 2.0], "", "", 0), (3, [2.0, 1.0], "", "", 0)])
+    (one,) = nearest.nearest(table, table["vec_id"] % 50 == 0).collect()
+    assert tuple(one) == (50, 1, 3, 0.8) or abs(one.score - 0.8) < 1e-12
+
+
+def test_nearest_recall_with_a_dense_group(spark, monkeypatch):
+    """Recall above 0.9, for queries of a dense group too, from a sample of an eighth of the rows."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((8000, 24))
+    x[::3] = x[0] + 0.05 * rng.standard_normal((len(x[::3]), 24))
+    table = spark.createDataFrame([(i, v.tolist(), None, None, None) for i, v in enumerate(x)], VECTORS)
+    found = {}
+    for row in nearest.nearest(table, F.col("vec_id") % 50 == 0, sample=1000).collect():
+        found.setdefault(row.query_id, set()).add(row.vec_id)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for own in (lambda q: q % 3 == 0, lambda q: q % 3):
+        hits = [len(found[q] & set(np.argsort(-np.where(np.arange(8000) == q, -2, u @ u[q]))[:5])) / 5 for q in range(0, 8000, 50) if own(q)]
+        assert np.mean(hits) >= 0.9
+
+
+def test_one_queue_over_all_trees():
+    """Leaves come nearest first, each once; the bound is the distance from the leaf's cell."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    forest = nearest.fit(x, 3000, trees=3)
+    seen = list(forest.queue(x[5]))
+    assert [b for b, _, _ in seen] == sorted(b for b, _, _ in seen) and len({s[1:] for s in seen}) == len(seen) == 3 * 2**forest.depth
+    leaves = forest.leaves(x)
+    assert [leaf for b, t, leaf in sorted(seen[:3], key=lambda s: s[1])] == leaves[5].tolist()
+    bound = {s[1:]: s[0] for s in seen}
+    for i in range(0, 3000, 17):
+        assert all(bound[t, leaves[i, t]] <= ((x[i] - x[5]) ** 2).sum() + 1e-9 for t in range(3))
