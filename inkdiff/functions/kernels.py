@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -13,19 +13,43 @@ from pyspark.sql.types import DoubleType
 
 
 def sequence_ratio(old: str | None, new: str | None) -> float | None:
+    """difflib's ratio of the two texts, in this order."""
     if old is None or new is None:
         return None
     return 1.0 if old == new else difflib.SequenceMatcher(None, old, new).ratio()
 
 
-@F.arrow_udf(DoubleType())
-def _ratio(old: pa.Array, new: pa.Array) -> pa.Array:
-    return pa.array([sequence_ratio(a.as_py(), b.as_py()) for a, b in zip(old, new, strict=True)], pa.float64())
+def ratio_or_error(old: Column, new: Column, ratio: Callable[[str, str], float] = sequence_ratio) -> Column:
+    """struct(ratio, error) of the two texts; equal texts, and nulls, do not leave the JVM's fast path."""
+
+    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True):
+            try:
+                out.append({"ratio": None if x is None or y is None else ratio(x, y), "error": None})
+            except Exception as e:  # one text's failure is told and does not end the others
+                out.append({"ratio": None, "error": f"{type(e).__name__}: {e}"})
+        return pa.array(out, pa.struct([("ratio", pa.float64()), ("error", pa.string())]))
+
+    asked = F.arrow_udf(run, "struct<ratio: double, error: string>")(F.when(old != new, old), F.when(old != new, new))
+    return F.when(old == new, F.struct(F.lit(1.0).alias("ratio"), F.lit(None).cast("string").alias("error"))).otherwise(asked)
 
 
 def similarity_ratio(old: Column, new: Column) -> Column:
     """difflib's ratio of the two texts, in this order; equal texts do not leave the JVM's fast path."""
-    return F.when(old == new, F.lit(1.0)).otherwise(_ratio(F.when(old != new, old), F.when(old != new, new)))
+    return ratio_or_error(old, new)["ratio"]
+
+
+def ratio_bound(old: Column, new: Column) -> Column:
+    """A native upper bound of the ratio: by the letters that both texts have, each as often as in the one that has fewer."""
+    letters = "abcdefghijklmnopqrstuvwxyz 0123456789"
+    count = lambda text, c: F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit("")))
+    rest = lambda text: F.char_length(F.regexp_replace(text, "[a-z 0-9]", ""))
+    both = rest(old), rest(new)
+    common = F.least(*both)
+    for c in letters:
+        common = common + F.least(count(old, c), count(new, c))
+    return F.when(old == new, 1.0).otherwise(2.0 * common / (F.char_length(old) + F.char_length(new)))
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -93,37 +117,54 @@ def assign(scores: np.ndarray) -> list[tuple[int, int]]:
     return sorted(pairs if scores.shape[0] <= scores.shape[1] else [(j, i) for i, j in pairs])
 
 
-def common_lengths(a: str, others: list[str]) -> np.ndarray:
-    """Length of the longest common subsequence of a and each of the others, a bit for each of their places."""
-    out = np.zeros(len(others), np.int64)
-    short = [k for k, b in enumerate(others) if len(b) < 64]
-    for k in set(range(len(others))) - set(short):
-        out[k] = common_subsequence(a, others[k])
-    if not short:
+class HeadingIndex:
+    """Headings to compare others with: for each letter, the places where it stands, a bit for each place."""
+
+    def __init__(self, headings: list[str]) -> None:
+        self.sizes = np.array([len(h) for h in headings], np.int64)
+        self.short = np.flatnonzero(self.sizes < 64)
+        self.long = np.flatnonzero(self.sizes >= 64).tolist()
+        self.full = np.array([(1 << n) - 1 for n in self.sizes[self.short].tolist()], np.uint64)
+        self.at: dict[str, np.ndarray] = {}
+        self.bits: dict[int, dict[str, int]] = {}
+        for j, k in enumerate(self.short.tolist()):
+            for i, c in enumerate(headings[k]):
+                if c not in self.at:
+                    self.at[c] = np.zeros(len(self.short), np.uint64)
+                self.at[c][j] |= np.uint64(1 << i)
+        for k in self.long:
+            own = self.bits[k] = {}
+            for i, c in enumerate(headings[k]):
+                own[c] = own.get(c, 0) | 1 << i
+
+    def common_lengths(self, a: str) -> np.ndarray:
+        """Length of the longest common subsequence of a and each heading."""
+        out = np.zeros(len(self.sizes), np.int64)
+        state = self.full.copy()
+        for c in a:
+            if c in self.at:
+                met = state & self.at[c]
+                state = ((state + met) | (state - met)) & self.full
+        out[self.short] = np.bitwise_count(self.full & ~state)
+        for k in self.long:
+            own, full = self.bits[k], (1 << int(self.sizes[k])) - 1
+            rest = full
+            for c in a:
+                met = rest & own.get(c, 0)
+                rest = ((rest + met) | (rest - met)) & full
+            out[k] = (full & ~rest).bit_count()
         return out
-    at = {c: np.zeros(len(short), np.uint64) for c in set(a)}
-    for j, k in enumerate(short):
-        for i, c in enumerate(others[k]):
-            if c in at:
-                at[c][j] |= np.uint64(1 << i)
-    full = np.array([(1 << len(others[k])) - 1 for k in short], np.uint64)
-    state = full.copy()
-    for c in a:
-        met = state & at[c]
-        state = ((state + met) | (state - met)) & full
-    out[short] = np.bitwise_count(full & ~state)
-    return out
 
 
 def heading_matrix(a: list[str], b: list[str]) -> np.ndarray:
     """Similarity of headings whose words are in order, each distinct pair once; 0 where a side is empty."""
     rows, i = np.unique(np.array(a, object), return_inverse=True)
     columns, j = np.unique(np.array(b, object), return_inverse=True)
-    sizes = np.array([len(y) for y in columns])
+    index = HeadingIndex(list(columns))
     out = np.zeros((len(rows), len(columns)))
     for k, x in enumerate(rows):
         if x:
-            out[k] = np.where(sizes > 0, 2 * common_lengths(x, list(columns)) / (len(x) + sizes), 0.0)
+            out[k] = np.where(index.sizes > 0, 2 * index.common_lengths(x) / (len(x) + index.sizes), 0.0)
             out[k][columns == x] = 1.0
     return out[i][:, j]
 
@@ -136,34 +177,71 @@ def number_matrix(a: list[str | None], b: list[str | None]) -> np.ndarray:
     return out.reshape(len(rows), len(columns))[i][:, j]
 
 
-def tfidf_matrix(a: list[list[str]], b: list[list[str]], max_terms: int) -> np.ndarray:
-    """Cosines of the clauses of both sides by words and word pairs: n * m numbers from n + m sparse rows, in blocks of rows."""
-    clauses = [*a, *b]
-    counts = [Counter([*words, *map(" ".join, zip(words, words[1:], strict=False))]) for words in clauses]
-    df, total = Counter(), Counter()
-    for c in counts:
-        df.update(c.keys())
-        total.update(c)
-    kept = sorted(total, key=lambda t: (-total[t], t))[:max_terms] if len(total) > max_terms else list(total)
-    place = {t: k for k, t in enumerate(kept)}
-    idf = np.log((1 + len(clauses)) / (1 + np.array([df[t] for t in kept], float))) + 1
-
-    def dense(some: list[Counter]) -> np.ndarray:
-        out = np.zeros((len(some), len(kept)))
-        for k, c in enumerate(some):
-            for t, n in c.items():
-                if t in place:
-                    out[k, place[t]] = n
-        out *= idf
-        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return out / np.where(norm > 0, norm, 1.0)
-
-    result = np.zeros((len(a), len(b)))
-    for j in range(0, len(b), 512):
-        columns = dense(counts[len(a) + j : len(a) + min(j + 512, len(b))]).T
-        for i in range(0, len(a), 512):
-            result[i : i + 512, j : j + 512] = dense(counts[i : min(i + 512, len(a))]) @ columns
-    return np.clip(result, 0.0, 1.0)
+class TermRows:
+    """Sparse rows: row k has terms[starts[k]:starts[k + 1]], with their weights."""
+
+    def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        self.starts, self.terms, self.weights = starts, terms, weights
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def part(self, first: int, end: int) -> TermRows:
+        at = slice(self.starts[first], self.starts[end])
+        return TermRows(self.starts[first : end + 1] - self.starts[first], self.terms[at], self.weights[at])
+
+
+def tfidf_rows(clauses: list[list[str]], max_terms: int) -> TermRows:
+    """Normalised weights of each clause's words and word pairs: its max_terms most frequent terms count, ties in their order."""
+    place: dict[str, int] = {}
+    words = np.array([place.setdefault(w, len(place)) for c in clauses for w in c], np.int64)
+    owner = np.repeat(np.arange(len(clauses)), [len(c) for c in clauses])
+    v = max(1, len(place))
+    follows = owner[1:] == owner[:-1]
+    keys = np.concatenate((words, v + words[:-1][follows] * v + words[1:][follows]))
+    known, term = np.unique(keys, return_inverse=True)
+    n = max(1, len(known))
+    cell, tf = np.unique(np.concatenate((owner, owner[1:][follows])) * n + term, return_counts=True)
+    row, term = np.divmod(cell, n)
+    df = np.bincount(term, minlength=n)
+    idf = np.log((1 + len(clauses)) / (1 + df)) + 1
+    if len(known) > max_terms:
+        total = np.bincount(term, weights=tf, minlength=n)
+        edge = np.partition(total, -max_terms)[-max_terms]
+        kept, names = total > edge, list(place)
+        name = lambda k: names[k] if k < v else " ".join((names[(k - v) // v], names[(k - v) % v]))
+        equal = sorted(np.flatnonzero(total == edge).tolist(), key=lambda t: name(int(known[t])))
+        kept[equal[: max_terms - int(kept.sum())]] = True
+        row, term, tf = row[kept[term]], term[kept[term]], tf[kept[term]]
+    weights = tf * idf[term]
+    norm = np.sqrt(np.bincount(row, weights=weights * weights, minlength=len(clauses)))
+    starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(clauses)))))
+    return TermRows(starts, term, weights / norm[row])
+
+
+def sparse_product(a: TermRows, b: TermRows, most: int = 1 << 21) -> np.ndarray:
+    """Dot products of all rows of a with all of b, by b's inverted index; `most` products are held at a time."""
+    out = np.zeros((len(a), len(b)))
+    if not len(a.terms) or not len(b.terms):
+        return out
+    order = np.argsort(b.terms, kind="stable")
+    posted, weight = np.repeat(np.arange(len(b)), np.diff(b.starts))[order], b.weights[order]
+    span = int(max(a.terms.max(), b.terms.max())) + 1
+    first = np.concatenate(([0], np.cumsum(np.bincount(b.terms, minlength=span))))
+    lengths = first[a.terms + 1] - first[a.terms]
+    work = np.concatenate(([0], np.cumsum(lengths)))[a.starts]
+    begin = 0
+    while begin < len(a):
+        end = max(begin + 1, int(np.searchsorted(work, work[begin] + most, side="right")) - 1)
+        own = slice(a.starts[begin], a.starts[end])
+        n = lengths[own]
+        at = np.arange(n.sum()) + np.repeat(first[a.terms[own]] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        row = np.repeat(np.arange(end - begin), np.diff(a.starts[begin : end + 1]))
+        cell = np.repeat(row, n) * len(b) + posted[at]
+        found = np.bincount(cell, weights=np.repeat(a.weights[own], n) * weight[at], minlength=(end - begin) * len(b))
+        out[begin:end] = found.reshape(end - begin, len(b))
+        begin = end
+    return np.clip(out, 0.0, 1.0)
 
 
 def vector_matrix(a: list, b: list) -> np.ndarray:

@@ -1,57 +1,40 @@
-"""Features, scores and one-to-one alignment of the clauses of document pairs.
+"""Scores and one-to-one alignment of the clauses of document pairs.
 
 Clauses are rows (pair_id, side 'a' or 'b', ordinal, text, heading, …). Everything is keyed by pair_id: no step compares
 clauses of different pairs, and there is no global cross join. A pair's n + m clauses meet in one group, as words and
 headings; their n * m scores are made there, and the assignment, which by its definition needs them all at once, is
-found there too, so no row is made for two clauses unless the scores themselves are asked for. A pair of more than
-MOST_CELLS scores is refused by name.
+found there too, so no row is made for two clauses unless the scores themselves are asked for. Pairs of more than
+MOST_CELLS scores or MOST_CLAUSES clauses are scored in blocks instead (`blocks`), which has no limit.
+
+A step that fails on a pair gives one row for it, with the pair and the error only; the others are not touched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import Config
-from ..functions.kernels import assign, heading_matrix, number_matrix, tfidf_matrix, token_sort_similarity, vector_matrix  # noqa: F401
-from ..functions.text import all_matches, first_match, strip, words_of
-
-TERM = r"(?U)\b\w\w+\b"
-MOST_CELLS = 200_000_000
-
-
-def tfidf_terms(clauses: DataFrame, max_terms: int = 5000) -> DataFrame:
-    """(pair_id, side, ordinal, term, weight): L2-normalised weights of words and word pairs, fitted on each pair.
-
-    idf = ln((1 + n) / (1 + df)) + 1 over the pair's clauses of both sides; its max_terms most frequent terms count,
-    ties in the terms' order.
-    """
-    words = _terms_of("text")
-    pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.concat_ws(" ", F.element_at("words", k), F.element_at("words", k + 1)))).otherwise(F.array().cast("array<string>"))
-    rows = clauses.select("pair_id", "side", "ordinal", words.alias("words"))
-    terms = rows.select("pair_id", "side", "ordinal", F.explode(F.concat("words", pairs)).alias("term"))
-    counted = terms.groupBy("pair_id", "side", "ordinal", "term").agg(F.count("*").alias("tf"))
-    sizes = clauses.groupBy("pair_id").agg(F.count("*").alias("n"))
-    by_term = counted.groupBy("pair_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("total"), "term"))
-    kept = by_term.withColumn("rank", rank).where(F.col("rank") <= max_terms).join(sizes, "pair_id")
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    raw = counted.join(kept.select("pair_id", "term", idf.alias("idf")), ["pair_id", "term"]).withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("pair_id", "side", "ordinal")))
-    return raw.select("pair_id", "side", "ordinal", "term", (F.col("raw") / norm).alias("weight"))
+from ..functions.kernels import assign, token_sort_similarity  # noqa: F401
+from .blocks import _filled, best_of_blocks, features, in_blocks
+from .features import SCORES, Side, both_sides, clause_number, clause_rows, picked, scores, terms_of, tfidf_terms  # noqa: F401
 
-
-def _terms_of(text: str) -> Column:
-    return all_matches(F.lower(F.coalesce(text, F.lit(""))), TERM)
+#: Of one group: five matrices of so many scores are 160 MB.
+MOST_CELLS, MOST_CLAUSES = 4_000_000, 50_000
 
 
 def tfidf_cosine(clauses: DataFrame, config: Config = Config()) -> DataFrame:
     """(pair_id, a_ordinal, b_ordinal, tfidf_score) of the clause pairs that share a term; all others score 0."""
-    return _in_pairs(clauses, _cosines(config), "a_ordinal int, b_ordinal int, tfidf_score double")
+
+    def solve(a: Side, b: Side) -> dict:
+        found = scores(a, b, config, ("tfidf_score",))
+        return picked(a, b, found, *np.nonzero(found["tfidf_score"]))
+
+    return or_raise(_all_scores(clauses, solve, "a_ordinal int, b_ordinal int, tfidf_score double", config))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -62,10 +45,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), None).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0)))))
 
 
-def clause_number(heading: Column) -> Column:
-    return first_match(strip(F.coalesce(heading, F.lit(""))), r"\A(\d+(?:\.\d+)*)", 1)
-
-
 def number_score(a: Column, b: Column) -> Column:
     """1 for equal clause numbers, 0.5 if one's text starts the other's, else 0."""
     return F.when(a == b, 1.0).when(F.startswith(a, b) | F.startswith(b, a), 0.5).otherwise(0.0)
@@ -75,45 +54,44 @@ def combined_score(number: Column, heading: Column, text: Column, config: Config
     return F.lit(config.number_weight) * number + F.lit(config.heading_weight) * heading + F.lit(config.embedding_weight) * text
 
 
-def _in_pairs(clauses: DataFrame, solve, fields: str) -> DataFrame:
-    """solve(table) of each document pair's clauses: side, ordinal, words, number, heading (its words in order), embedding."""
-    vector = F.col("embedding").cast("array<double>") if "embedding" in clauses.columns else F.lit(None).cast("array<double>")
-    heading = F.array_join(F.array_sort(words_of(F.coalesce("heading", F.lit("")))), " ")
-    rows = clauses.select("pair_id", "side", F.col("ordinal").cast("int").alias("ordinal"), _terms_of("text").alias("words"), clause_number(F.col("heading")).alias("number"), heading.alias("heading"), vector.alias("embedding"))
-
-    def run(key, table):
-        a, b = (table.filter(pa.compute.equal(table["side"], s)).sort_by("ordinal").to_pydict() for s in "ab")
-        if len(a["ordinal"]) * len(b["ordinal"]) > MOST_CELLS:
-            raise ValueError(f"pair {key[0].as_py()} has {len(a['ordinal'])} and {len(b['ordinal'])} clauses, too many to align at once")
-        out = solve(a, b)
-        return pa.table({"pair_id": pa.array([key[0].as_py()] * len(out["a_ordinal"]), table.schema.field("pair_id").type), **out})
+def _in_pairs(clauses: DataFrame, solve: Callable[[Side, Side], dict], fields: str, config: Config) -> DataFrame:
+    """solve(a, b) of each document pair in a group of its own; where it fails, a row that has the pair and the error only."""
+    rows = clause_rows(clauses).withColumn("words", terms_of("text")).drop("text")
 
-    return rows.groupBy("pair_id").applyInArrow(run, f"pair_id {clauses.schema['pair_id'].dataType.simpleString()}, {fields}")
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        try:
+            out = solve(*both_sides(table, config.max_terms))
+            n, error = len(out["a_ordinal"]), None
+        except Exception as e:  # one pair's failure is told and does not end the others
+            out, n, error = {}, 1, f"{type(e).__name__}: {e}"
+        return pa.Table.from_batches([_filled(out, n, key[0].as_py(), table.schema.field("pair_id").type, error, fields)])
 
+    kind = clauses.schema["pair_id"].dataType.simpleString()
+    return rows.groupBy("pair_id").applyInArrow(run, f"pair_id {kind}, {fields}, error string")
 
-def _cosines(config: Config):
-    def solve(a: dict, b: dict) -> dict:
-        scores = tfidf_matrix(a["words"], b["words"], config.max_terms)
-        i, j = np.nonzero(scores)
-        return {"a_ordinal": pa.array(np.array(a["ordinal"], np.int32)[i]), "b_ordinal": pa.array(np.array(b["ordinal"], np.int32)[j]), "tfidf_score": pa.array(scores[i, j])}
 
-    return solve
+def _by_size(clauses: DataFrame, most_cells: int) -> tuple[DataFrame, DataFrame | None]:
+    """The clauses of pairs that fit in one group, and those of larger pairs (None if there are none). Counts once."""
+    side = lambda s: F.count_if(F.col("side") == s)
+    sizes = clauses.groupBy("pair_id").agg(side("a").alias("_n"), side("b").alias("_m"))
+    large = sizes.where((F.col("_n") * F.col("_m") > most_cells) | (F.col("_n") + F.col("_m") > MOST_CLAUSES)).select("pair_id")
+    if large.isEmpty():
+        return clauses, None
+    return clauses.join(large, "pair_id", "left_anti"), clauses.join(large, "pair_id", "left_semi")
 
 
-def _matrices(a: dict, b: dict, config: Config) -> dict[str, np.ndarray]:
-    tfidf = tfidf_matrix(a["words"], b["words"], config.max_terms)
-    vectors = vector_matrix(a["embedding"], b["embedding"])
-    out = {"tfidf_score": tfidf, "number_score": number_matrix(a["number"], b["number"]), "heading_score": heading_matrix(a["heading"], b["heading"]), "embedding_score": np.where(np.isnan(vectors), tfidf, vectors)}
-    out["match_score"] = config.number_weight * out["number_score"] + config.heading_weight * out["heading_score"] + config.embedding_weight * out["embedding_score"]
-    return out
+def _all_scores(clauses: DataFrame, solve: Callable[[Side, Side], dict], fields: str, config: Config) -> DataFrame:
+    small, large = _by_size(clauses, MOST_CELLS)
+    out = _in_pairs(small, solve, fields, config)
+    return out if large is None else out.union(in_blocks(features(large, config), solve, fields))
 
 
-_SCORES = "tfidf_score double, number_score double, heading_score double, embedding_score double, match_score double"
+def or_raise(rows: DataFrame) -> DataFrame:
+    """rows without `error`; where one has an error, the job fails with it."""
+    return rows.where(F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("pair "), F.col("pair_id").cast("string"), F.lit(": "), "error")).isNull()).otherwise(True)).drop("error")
 
 
-def _picked(a: dict, b: dict, scores: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> dict:
-    places = {"a_ordinal": np.array(a["ordinal"], np.int32)[i], "b_ordinal": np.array(b["ordinal"], np.int32)[j]}
-    return {k: pa.array(v) for k, v in (places | {name: m[i, j] for name, m in scores.items()}).items()}
+_FIELDS = ", ".join(f"{s} double" for s in SCORES)
 
 
 def score_pairs(clauses: DataFrame, config: Config = Config()) -> DataFrame:
@@ -122,12 +100,10 @@ def score_pairs(clauses: DataFrame, config: Config = Config()) -> DataFrame:
     clauses may have an `embedding` column; where both clauses have one it gives the text score, else TF-IDF does.
     """
 
-    def solve(a: dict, b: dict) -> dict:
-        n, m = len(a["ordinal"]), len(b["ordinal"])
-        i, j = np.divmod(np.arange(n * m), max(1, m))
-        return _picked(a, b, _matrices(a, b, config), i, j)
+    def solve(a: Side, b: Side) -> dict:
+        return picked(a, b, scores(a, b, config), *np.divmod(np.arange(len(a) * len(b)), max(1, len(b))))
 
-    return _in_pairs(clauses, solve, f"a_ordinal int, b_ordinal int, {_SCORES}")
+    return or_raise(_all_scores(clauses, solve, f"a_ordinal int, b_ordinal int, {_FIELDS}", config))
 
 
 def match_type(score: Column, config: Config) -> Column:
@@ -147,20 +123,27 @@ def restructure_counts(scores: DataFrame, config: Config = Config()) -> DataFram
     return scores.groupBy("pair_id", "a_ordinal").agg(F.count_if(F.col("match_score") >= config.review_threshold).alias("candidates"))
 
 
-def best_assignment(clauses: DataFrame, config: Config = Config(), score: str = "match_score") -> DataFrame:
-    """The one-to-one alignment of greatest total score of each document pair (min(n, m) rows), with all scores and `candidates`.
+def best_assignment(
+    clauses: DataFrame, config: Config = Config(), score: str = "match_score", solver: Callable[[np.ndarray], list] = assign, most_cells: int = MOST_CELLS
+) -> DataFrame:
+    """The one-to-one alignment of greatest total score of each document pair (min(n, m) rows), with scores, `candidates`, `error`.
 
-    candidates counts the B clauses of all scored ones that reach the review threshold for the same A clause.
+    candidates counts the B clauses of all scored ones that reach the review threshold for the same A clause. By
+    tfidf_score alone, only that score is made. A pair that fails has one row, with its error; `or_raise` ends the job then.
     """
+    names = SCORES if score == "match_score" else (score,)
 
-    def solve(a: dict, b: dict) -> dict:
-        scores = _matrices(a, b, config)
-        found = assign(scores[score])
-        i, j = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
-        reach = (scores["match_score"] >= config.review_threshold).sum(axis=1).astype(np.int32) if found else np.zeros(0, np.int32)
-        return _picked(a, b, scores, i, j) | {"candidates": pa.array(reach[i])}
+    def solve(a: Side, b: Side) -> dict:
+        found = scores(a, b, config, names)
+        pairs = solver(found[score])
+        i, j = (np.array([x[k] for x in pairs], np.int64) for k in (0, 1))
+        reach = (found[score] >= config.review_threshold).sum(axis=1).astype(np.int32) if pairs else np.zeros(0, np.int32)
+        return picked(a, b, found, i, j) | {"candidates": pa.array(reach[i])}
 
-    return _in_pairs(clauses, solve, f"a_ordinal int, b_ordinal int, {_SCORES}, candidates int")
+    fields = ", ".join(["a_ordinal int", "b_ordinal int", *(f"{s} double" for s in names), "candidates int"])
+    small, large = _by_size(clauses, most_cells)
+    out = _in_pairs(small, solve, fields, config)
+    return out if large is None else out.unionByName(best_of_blocks(large, config, score, names))
 
 
 def embed_clauses(clauses: DataFrame, encode, text: str = "text") -> DataFrame:
@@ -192,16 +175,16 @@ def complete(matched: DataFrame, clauses: DataFrame) -> DataFrame:
     return both.withColumn("phase", phase).withColumn("match_type", kind).drop("_b")
 
 
-def baseline_match(clauses: DataFrame, config: Config = Config()) -> DataFrame:
-    """Alignment by TF-IDF alone, without a threshold."""
-    best = best_assignment(clauses, config, "tfidf_score")
+def baseline_match(clauses: DataFrame, config: Config = Config(), best: DataFrame | None = None) -> DataFrame:
+    """Alignment by TF-IDF alone, without a threshold. best: what best_assignment gave, without errors."""
+    best = or_raise(best_assignment(clauses, config, "tfidf_score")) if best is None else best
     matched = best.select("pair_id", "a_ordinal", "b_ordinal", F.col("tfidf_score").alias("match_score"), "tfidf_score", F.lit("baseline").alias("match_type"), F.lit(False).alias("needs_review"), F.lit("").alias("review_reason"))
     return complete(matched, clauses)
 
 
-def hybrid_match(clauses: DataFrame, config: Config = Config()) -> DataFrame:
+def hybrid_match(clauses: DataFrame, config: Config = Config(), best: DataFrame | None = None) -> DataFrame:
     """Alignment by the combined score; pairs under the review threshold fall apart into removed and added."""
-    best = best_assignment(clauses, config)
+    best = or_raise(best_assignment(clauses, config)) if best is None else best
     review = (F.col("match_score") < config.accept_threshold) | (F.col("candidates") > 1)
     banded = best.withColumn("match_type", match_type(F.col("match_score"), config)).where("match_type is not null")
     matched = banded.withColumn("needs_review", review).withColumn("review_reason", review_reason(F.col("match_score"), F.col("candidates"), config)).drop("candidates")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.kernels import similarity_ratio
+from ..functions.kernels import ratio_bound, ratio_or_error, sequence_ratio, similarity_ratio  # noqa: F401
 from ..functions.text import all_matches, lstrip
 
 #: Fixed patterns and word lists.
@@ -96,10 +98,14 @@ def signals(old: Column, new: Column) -> Column:
     return F.when(a == b, F.array().cast("array<struct<signal_type: string, description: string, old_value: string, new_value: string>>")).otherwise(F.array_compact(F.array(*(s(a, b) for s in SIGNALS))))
 
 
-def change_type(found: Column, ratio: Column, config: Config = Config()) -> Column:
+def is_substantive(found: Column, config: Config = Config()) -> Column:
     weighty = SUBSTANTIVE + (("condition_change",) if config.conditions_are_substantive else ())
+    return F.exists(found, lambda s: s["signal_type"].isin(*weighty))
+
+
+def change_type(found: Column, ratio: Column, config: Config = Config()) -> Column:
     return (
-        F.when(F.exists(found, lambda s: s["signal_type"].isin(*weighty)), "substantive")
+        F.when(is_substantive(found, config), "substantive")
         .when(ratio >= UNCHANGED_AT, "unchanged")
         .when(ratio >= WORDING_AT, "wording_only")
         .when(ratio < UNCERTAIN_BELOW, "uncertain")
@@ -107,17 +113,26 @@ def change_type(found: Column, ratio: Column, config: Config = Config()) -> Colu
     )
 
 
-def detect_changes(matches: DataFrame, config: Config = Config()) -> DataFrame:
-    """matches(match_type, text_a, text_b, needs_review, review_reason, …) with signals, ratio, change_type and review.
+def settled_by(old: Column, new: Column, config: Config = Config()) -> Column:
+    """What tells a clause pair's type: `equal`, `signals`, `bound` (the ratio must be under UNCERTAIN_BELOW) or `ratio`."""
+    bound = ratio_bound(old, new) < UNCERTAIN_BELOW
+    return F.when(old == new, "equal").when(is_substantive(signals(old, new), config), "signals").when(bound, "bound").otherwise("ratio")
+
+
+def detect_changes(matches: DataFrame, config: Config = Config(), ratio: Callable[[str, str], float] = sequence_ratio) -> DataFrame:
+    """matches(match_type, text_a, text_b, needs_review, review_reason, …) with signals, ratio, change_type, review and ratio_error.
 
     Added and removed clauses have no signals; a match without a second clause is uncertain. The ratio is only computed
-    for pairs that differ.
+    where the type, or its reason, depends on it: for pairs that differ without a substantive signal. Where it fails,
+    ratio_error tells so, and the row's type counts for nothing.
     """
     kind = F.col("match_type")
     paired = ~kind.isin("added_candidate", "removed_candidate") & F.col("text_b").isNotNull()
     none = F.array().cast("array<struct<signal_type: string, description: string, old_value: string, new_value: string>>")
     found = matches.withColumn("signals", F.when(paired, signals(F.col("text_a"), F.col("text_b"))).otherwise(none))
-    found = found.withColumn("ratio", similarity_ratio(F.when(paired, F.col("text_a")), F.when(paired, F.col("text_b"))))
+    open_ = paired & ~is_substantive(F.col("signals"), config)
+    asked = ratio_or_error(F.when(open_, F.col("text_a")), F.when(open_, F.col("text_b")), ratio)
+    found = found.withColumn("_asked", asked).withColumns({"ratio": F.col("_asked.ratio"), "ratio_error": F.col("_asked.error")}).drop("_asked")
     by_text = change_type(F.col("signals"), F.coalesce("ratio", F.lit(0.5)), config)
     typed = found.withColumn("change_type", F.when(kind == "added_candidate", "added").when(kind == "removed_candidate", "removed").when(F.col("text_b").isNull(), "uncertain").otherwise(by_text))
     low = F.format_string("Low similarity (%.2f) with ambiguous signals — manual review required.", F.bround("ratio", 2))

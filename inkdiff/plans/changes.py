@@ -81,10 +81,26 @@ _signal("condition", detect.condition_signal, "k = 14", "'(none)'", "'provided t
 
 @query()
 def ratio_bands(spark, sf_dir):
-    """How many pairs fall in each band of the ratio."""
+    """How many pairs fall in each band of the ratio, which is computed for all of them here."""
+    both = keyed_pairs(spark, sf_dir).where("match_type = 'hybrid'").withColumn("ratio", detect.similarity_ratio(F.col("text_a"), F.col("text_b")))
     r = F.col("ratio")
     band = F.when(r >= detect.UNCHANGED_AT, "unchanged").when(r >= detect.WORDING_AT, "wording").when(r < detect.UNCERTAIN_BELOW, "uncertain").otherwise("wording, low")
-    return changes(spark, sf_dir).where("match_type = 'hybrid'").groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.min("ratio").alias("least"), F.max("ratio").alias("most"))
+    return both.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.min("ratio").alias("least"), F.max("ratio").alias("most"))
+
+
+_LETTER = "least(length(old) - length(replace(old, c, '')), length(new) - length(replace(new, c, '')))"
+_OTHERS = "least(length(regexp_replace(old, '[a-z 0-9]', '', 'g')), length(regexp_replace(new, '[a-z 0-9]', '', 'g')))"
+_BOUND = f"2.0 * ({_OTHERS} + list_sum([{_LETTER} FOR c IN string_split('abcdefghijklmnopqrstuvwxyz 0123456789', '')])) / (length(old) + length(new))"
+
+
+@query(
+    f"""{_PAIRED}, told AS (SELECT CASE WHEN old = new THEN 'equal' WHEN k BETWEEN 6 AND 10 THEN 'signals' WHEN {_BOUND} < 0.6 THEN 'bound' ELSE 'ratio' END AS settled_by FROM paired)
+    SELECT settled_by, count(*) AS n FROM told GROUP BY settled_by"""
+)
+def ratio_settled(spark, sf_dir):
+    """What settles the type of each pair of texts: only those told by the ratio need Python for it."""
+    both = keyed_pairs(spark, sf_dir).where("match_type = 'hybrid'")
+    return both.groupBy(detect.settled_by(F.col("text_a"), F.col("text_b")).alias("settled_by")).agg(F.count("*").alias("n"))
 
 
 @query(f"{_PLACES} SELECT change_type, count(*) AS n FROM places GROUP BY change_type")

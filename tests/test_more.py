@@ -122,7 +122,7 @@ def test_a_bad_page_leaves_the_others(spark, tmp_path):
     status = {r["pair_id"]: r for r in compare(read, pairs)["status"].collect()}
     assert {p: r["processing_complete"] for p, r in status.items()} == {"ab": True, "bc": False, "bd": False}
     assert len(status["ab"]["errors"]) == 1 and status["ab"]["has_errors"] and len(status["ab"]["warnings"]) == 1
-    assert status["bc"]["errors"] == ["not a PDF file"] and not status["bd"]["has_errors"]
+    assert status["bc"]["errors"] == ["not a PDF file"] and status["bd"]["errors"] == ["Stage 1 — document B not found: d"]
 
 
 def test_pages_lead_on_to_their_file(spark):
