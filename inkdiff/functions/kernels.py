@@ -173,8 +173,18 @@ def number_matrix(a: list[str | None], b: list[str | None]) -> np.ndarray:
     """1 for equal clause numbers, 0.5 if one's text starts the other's, else 0."""
     rows, i = np.unique(np.array([x or "" for x in a], object), return_inverse=True)
     columns, j = np.unique(np.array([x or "" for x in b], object), return_inverse=True)
-    out = np.array([[(1.0 if x == y else 0.5 if x.startswith(y) or y.startswith(x) else 0.0) if x and y else 0.0 for y in columns] for x in rows])
-    return out.reshape(len(rows), len(columns))[i][:, j]
+    out = np.zeros((len(rows), len(columns)))
+    place = {y: k for k, y in enumerate(columns) if y}
+    begins: dict[str, list[int]] = {}  # the columns that begin with it
+    for y, k in place.items():
+        for end in range(1, len(y) + 1):
+            begins.setdefault(y[:end], []).append(k)
+    for k, x in enumerate(rows):
+        out[k, begins.get(x, [])] = 0.5
+        out[k, [place[x[:end]] for end in range(1, len(x)) if x[:end] in place]] = 0.5
+        if x in place:
+            out[k, place[x]] = 1.0
+    return out[i][:, j]
 
 
 class TermRows:

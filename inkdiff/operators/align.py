@@ -11,7 +11,7 @@ A step that fails on a pair gives one row for it, with the pair and the error on
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions.calls import loaded
 from ..functions.kernels import assign, token_sort_similarity  # noqa: F401
 from .blocks import _filled, best_of_blocks, features, in_blocks
 from .features import SCORES, Side, both_sides, clause_number, clause_rows, picked, scores, terms_of, tfidf_terms  # noqa: F401
@@ -146,20 +147,27 @@ def best_assignment(
     return out if large is None else out.unionByName(best_of_blocks(large, config, score, names))
 
 
-def embed_clauses(clauses: DataFrame, encode, text: str = "text") -> DataFrame:
+def embed_clauses(clauses: DataFrame, encode: Callable | None = None, text: str = "text", load: Callable | None = None, model: str = "") -> DataFrame:
     """clauses with `embedding`, by encode(list of texts) -> list of vectors, a batch at a time in Python workers.
 
-    Texts of a batch that the encoder fails on have no vector: TF-IDF scores them, as it does wherever one side has none.
+    Instead of encode, load() may give it: it runs once in each worker process, and what it gives is kept there under the
+    name `model` for all batches, tasks and queries that name it. Texts of a batch that the encoder fails on have no
+    vector: TF-IDF scores them, as it does wherever one side has none; so do all texts of a process whose load failed.
     """
 
-    def run(texts: pa.Array) -> pa.Array:
+    def vectors_of(use: Callable, texts: list[str | None]) -> list:
         try:
-            vectors = [None if v is None else [float(x) for x in v] for v in encode([t or "" for t in texts.to_pylist()])]
-            if len(vectors) != len(texts):
+            found = [None if v is None else [float(x) for x in v] for v in use([t or "" for t in texts])]
+            if len(found) != len(texts):
                 raise ValueError("a vector for each text is needed")
+            return found
         except Exception:  # an encoder may fail in any way, and the comparison goes on without it
-            vectors = [None] * len(texts)
-        return pa.array(vectors, pa.list_(pa.float64()))
+            return [None] * len(texts)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        use = encode if load is None else loaded(model, load)
+        for texts in batches:
+            yield pa.array([None] * len(texts) if use is None else vectors_of(use, texts.to_pylist()), pa.list_(pa.float64()))
 
     return clauses.withColumn("embedding", F.arrow_udf(run, "array<double>").asNondeterministic()(F.col(text)))
 

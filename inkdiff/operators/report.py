@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calls import WORKERS, call_each
 from ..schemas import CITATION
 
 #: Fixed texts.
@@ -73,10 +72,10 @@ class Provider:
 def generate_summaries(changes: DataFrame, providers: tuple[Provider, ...] = (), timeout: int = 10) -> DataFrame:
     """changes with `summary`. Providers are asked in their order; one that is unavailable or fails is passed over.
 
-    Without providers all is native. With them, prompts go in batches to Python workers. If a provider fails on a batch,
-    or is not done after `timeout` seconds, its prompts are tried one by one, so one bad clause costs no other its
-    summary. A clause that every provider fails on gets the deterministic text; each summary tells the last reason. A
-    provider whose availability cannot be told leaves the text for a failed summary.
+    Without providers all is native. With them, prompts go in batches to Python workers, and each prompt is a call of its
+    own that may take `timeout` seconds (`call_each`), so one bad clause costs no other its summary. A provider that
+    hangs is asked no more by that task. A clause that every provider fails on gets the deterministic text; each summary
+    tells the last reason. A provider whose availability cannot be told leaves the text for a failed summary.
     """
     plain = deterministic_summary(F.col("change_type"), F.col("signals"))
     if not providers:
@@ -84,8 +83,10 @@ def generate_summaries(changes: DataFrame, providers: tuple[Provider, ...] = (),
 
     kind = pa.struct([("reply", pa.string()), ("name", pa.string()), ("reason", pa.string()), ("failed", pa.bool_())])
 
+    dead: set[str] = set()
+
     def ask(prompts: pa.Array) -> pa.Array:
-        return pa.array(ask_providers(prompts.to_pylist(), providers, timeout), kind)
+        return pa.array(ask_providers(prompts.to_pylist(), providers, timeout, dead), kind)
 
     asked = changes.withColumn("_asked", F.arrow_udf(ask, "struct<reply: string, name: string, reason: string, failed: boolean>").asNondeterministic()(prompt(changes)))
     parsed = parse_reply(F.col("_asked.reply"))
@@ -95,47 +96,48 @@ def generate_summaries(changes: DataFrame, providers: tuple[Provider, ...] = (),
     return asked.withColumn("summary", F.when(F.col("_asked.failed"), none).when(F.col("_asked.reply").isNotNull(), given).otherwise(other)).drop("_asked")
 
 
-def ask_providers(prompts: list[str], providers: tuple[Provider, ...], timeout: int) -> list[dict]:
-    """For each prompt: reply (None if no provider gave one), name, the last reason to pass a provider over, and failed."""
+def ask_providers(prompts: list[str], providers: tuple[Provider, ...], timeout: float, dead: set[str] | None = None) -> list[dict]:
+    """For each prompt: reply (None if no provider gave one), name, the last reason to pass a provider over, and failed.
+
+    dead: names of providers that gave no reply before; they are passed over, and those that hang now are added.
+    """
     out = [{"reply": None, "name": None, "reason": "", "failed": False} for _ in prompts]
-    left = list(range(len(prompts)))
+    left, dead = list(range(len(prompts))), set() if dead is None else dead
     for p in providers:
-        try:
-            available = p.is_available()
-        except Exception as error:
+        if p.name in dead:
+            for k in left:
+                out[k]["reason"] = f"{p.name} failed: it gave no reply before"
+            continue
+        (available,) = call_each(lambda _, p=p: bool(p.is_available()), [None], timeout, 1)
+        if isinstance(available, TimeoutError):
+            dead.add(p.name)
+        elif isinstance(available, Exception):
             for k in left:
-                out[k] |= {"reason": str(error), "failed": True}
+                out[k] |= {"reason": str(available), "failed": True}
             return out
-        if not available:
+        if available is not True:
             for k in left:
-                out[k]["reason"] = f"{p.name} not available (no API key)"
+                out[k]["reason"] = f"{p.name} not available (no API key)" if available is False else f"{p.name} failed: {available}"
             continue
-        replies = _replies(p, [prompts[k] for k in left], timeout)
+        replies = call_each(lambda prompt, p=p: _one_reply(p, prompt, timeout), [prompts[k] for k in left], timeout)
         for k, r in zip(left, replies, strict=True):
             if isinstance(r, Exception):
                 out[k]["reason"] = f"{p.name} failed: {r}"
             else:
                 out[k] |= {"reply": r, "name": p.name}
+        if all(isinstance(r, TimeoutError) for r in replies) and len(replies) >= WORKERS:
+            dead.add(p.name)
         left = [k for k in left if out[k]["reply"] is None]
         if not left:
             break
     return out
 
 
-def _replies(provider: Provider, prompts: list[str], timeout: int) -> list[str | Exception]:
-    """A reply or an error for each prompt: of the whole batch at once, else one by one."""
-    worker = ThreadPoolExecutor(1)
-    try:
-        asked = worker.submit(provider.generate, prompts, timeout)
-        found = asked.result(timeout)
-        if len(found) == len(prompts):
-            return list(found)
-        error: Exception = ValueError(f"{len(found)} replies to {len(prompts)} prompts")
-    except Exception as e:  # a provider may fail in any way
-        error = e if asked.done() else TimeoutError(f"no reply after {timeout} s")
-    finally:
-        worker.shutdown(wait=False, cancel_futures=True)
-    return [error] if len(prompts) == 1 else [x for one in prompts for x in _replies(provider, [one], timeout)]
+def _one_reply(provider: Provider, prompt: str, timeout: float) -> str:
+    found = provider.generate([prompt], timeout)
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} replies to 1 prompts")
+    return found[0]
 
 
 def prompt(changes: DataFrame | None = None) -> Column:
