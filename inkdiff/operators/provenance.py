@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.kernels import similarity_ratio
 from ..functions.text import all_matches, contains_any, first_match, none_if_empty, split_lines, strip, words_of
+from ..storage import kept
 
 #: Fixed patterns and lists.
 OFFICIAL = r"(?i)\.(edu|ac\.[a-z]{2}|gov|nic\.in|gov\.in)(/|$)"
@@ -34,6 +35,8 @@ CATEGORIES = {
 }
 POLICY_WORDS = ("regulations", "policy", "rules", "guidelines", "ordinance", "statute")
 TIERS = ("VERIFIED_PROVENANCE", "STRONG_PROVENANCE", "LIMITED_PROVENANCE", "UNVERIFIED")
+UNREACHED = "Could not connect to the document server."
+CIRCLE = "Links lead round in a circle."
 LARGEST_FILE, LEAST_FILE = 32 * 1024 * 1024, 1024
 
 
@@ -165,6 +168,36 @@ def fetch_outcomes(fetched: DataFrame) -> DataFrame:
     return fetched.withColumn("next_url", F.when(scheme.isNull(), link)).withColumn("error", F.coalesce(scheme, refused))
 
 
+def follow_links(starts: DataFrame, fetched: DataFrame) -> DataFrame:
+    """starts(url, …) with final_url, hops and error: where the links of answers (fetched, as for fetch_outcomes) lead in the end.
+
+    final_url is a document (error null) or the answer that ends the way with its error. An address without an answer
+    could not be reached; one that is asked twice gives a document if any of its answers is one. Links that lead round in
+    a circle have no final_url. Every address jumps to where its target has got to, so ways double with each round and a
+    chain of n links takes log2(n) of them; addresses that none of a round brings to an end are in circles.
+    """
+    outcomes = fetch_outcomes(fetched).select("url", "next_url", "error")
+    answers = outcomes.groupBy("url").agg(F.min(F.struct(F.col("error").isNotNull().alias("bad"), F.col("next_url").isNotNull().alias("open"), "next_url", "error")).alias("a"))
+    leads = F.coalesce("a.next_url", "url").alias("target"), F.when(F.col("a.open"), 1).otherwise(0).cast("long").alias("hops")
+    jumps = kept(answers.select("url", *leads, F.col("a.error").alias("error"), F.col("a.open").alias("open")))
+    waiting = jumps.where("open").count()
+    while waiting:
+        on = jumps.select(F.col("url").alias("target"), *[F.col(c).alias(f"_{c}") for c in ("target", "hops", "error", "open")])
+        met = jumps.where("open").join(on, "target", "left")
+        unreached = F.col("_target").isNull()
+        error = F.when(unreached, UNREACHED).otherwise(F.col("_error"))
+        moved = met.select("url", F.coalesce("_target", "target").alias("target"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), error.alias("error"), (~unreached & F.col("_open")).alias("open"))
+        following = kept(jumps.where("not open").union(moved))
+        before, waiting = waiting, following.where("open").count()
+        if waiting == before:
+            break
+        jumps = following
+    ends = jumps.select("url", F.when(~F.col("open"), F.col("target")).alias("final_url"), F.when(~F.col("open"), F.col("hops")).alias("hops"), F.when(F.col("open"), CIRCLE).otherwise(F.col("error")).alias("error"), F.lit(True).alias("_known"))
+    out = starts.join(ends, "url", "left").withColumn("final_url", F.coalesce("final_url", F.when(F.col("_known").isNull(), F.col("url"))))
+    out = out.withColumn("hops", F.coalesce("hops", F.when(F.col("_known").isNull(), F.lit(0).cast("long"))))
+    return out.withColumn("error", F.coalesce("error", F.when(F.col("_known").isNull(), UNREACHED))).drop("_known")
+
+
 def first_pdf_link(page: Column, base: Column) -> Column:
     """The first href to a .pdf, made absolute; null if there is none."""
     link = first_match(page, r"(?i)href=[\"']([^\"']+\.pdf(?:\?[^\"']*)?)[\"']", 1)

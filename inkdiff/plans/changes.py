@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..corpus import clauses, duck
-from ..operators import align, detect, evaluate, report, segment
+from ..operators import align, detect, evaluate, layout, report, segment
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -359,6 +359,54 @@ _PAGES = f"""{duck()}, pages_of AS (SELECT pair_id || '_' || side AS document_id
 clean AS (SELECT document_id, page_number, CASE WHEN page_number = 1 THEN 'Preamble of the document' || chr(10) ELSE '' END || body AS normalized_text FROM pages_of)"""
 
 
+def sections(spark, sf_dir) -> DataFrame:
+    """Corpus clauses as sections of their documents, with the bodies of five places in a row as one long one."""
+    c = clauses(spark, sf_dir)
+    document = F.concat("pair_id", F.lit("_"), "side").alias("document_id")
+    by = c.groupBy(document, F.floor(F.col("ordinal") / 5).cast("int").alias("n")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "heading", "text"))).alias("s"))
+    body = F.array_join(F.transform("s", lambda x: x["text"]), " ")
+    return by.select("document_id", F.col("document_id").alias("document_name"), F.lit("v1").alias("version"), F.lit("Terms of supply").alias("title"), F.col("document_id").alias("subtitle"), F.col("n").alias("ordinal"), F.element_at("s", 1)["heading"].alias("heading"), body.alias("body"))
+
+
+_LAID = f"""{duck()}, sections AS (
+    SELECT pair_id || '_' || side AS document_id, ordinal // 5 AS n, arg_min(heading, ordinal) AS heading, string_agg(text, ' ' ORDER BY ordinal) AS body FROM corpus GROUP BY ALL
+), folded AS (
+    SELECT document_id, n, heading, list_reduce([{{'lines': []::VARCHAR[], 'line': ''}}] || [{{'lines': []::VARCHAR[], 'line': w}} FOR w IN string_split(body, ' ') IF w <> ''], lambda s, w:
+        CASE WHEN s.line = '' THEN {{'lines': s.lines, 'line': w.line}} WHEN length(s.line) + 1 + length(w.line) > 80 THEN {{'lines': s.lines || [s.line], 'line': w.line}}
+        ELSE {{'lines': s.lines, 'line': s.line || ' ' || w.line}} END) AS f FROM sections
+), wrapped AS (SELECT document_id, n, heading, f.lines || [f.line] AS lines FROM folded),
+items AS (
+    SELECT document_id, [{{'t': 'Terms of supply', 'step': 30}}, {{'t': document_id, 'step': 20}}, {{'t': repeat('_', 80), 'step': 20}}]
+        || flatten(list([{{'t': heading, 'step': 16}}] || [{{'t': x, 'step': CASE WHEN k = len(lines) THEN 23 ELSE 13 END}} FOR x, k IN lines] ORDER BY n)) AS items FROM wrapped GROUP BY document_id
+), placed AS (
+    SELECT document_id, items, list_reduce([{{'page': 1, 'y': 60, 'pages': []::INT[]}}] || [{{'page': 0, 'y': i.step, 'pages': []::INT[]}} FOR i IN items], lambda s, i:
+        {{'page': s.page + CASE WHEN s.y > 760 THEN 1 ELSE 0 END, 'y': CASE WHEN s.y > 760 THEN 60 ELSE s.y END + i.y, 'pages': s.pages || [s.page + CASE WHEN s.y > 760 THEN 1 ELSE 0 END]}}).pages AS pages FROM items
+), lines AS (SELECT document_id, unnest(items).t AS t, unnest(pages) AS page_number, unnest(range(len(pages))) AS k FROM placed)"""
+
+
+@query(f"{_LAID} SELECT document_id, page_number, string_agg(t, chr(10) ORDER BY k) AS original_text FROM lines GROUP BY ALL")
+def laid_out_pages(spark, sf_dir):
+    """Every document of the corpus wrapped and broken into pages."""
+    return layout.lay_out(sections(spark, sf_dir)).select("document_id", "page_number", "original_text")
+
+
+@query(
+    rf"""{_LAID}, numbered AS (SELECT document_id, page_number, k, t, sum(CASE WHEN regexp_matches(t, '^([0-9]+[.]|[0-9]+[.][0-9]+|[0-9]+[.][0-9]+[.][0-9]+) ') THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY k) AS section FROM lines),
+    crossing AS (SELECT document_id, section, count(DISTINCT page_number) AS pages FROM numbered WHERE section > 0 GROUP BY ALL)
+    SELECT document_id, count(*) AS sections, sum(pages - 1)::BIGINT AS crossing, sum(pages)::BIGINT AS clauses FROM crossing GROUP BY document_id"""
+)
+def crossing_clauses(spark, sf_dir):
+    """Laid out pages cut into clauses: a section that goes on over a page is continued there by a clause without a heading.
+
+    A wrapped line that begins with a number and a point begins a section, as it does for any reader of such pages.
+    """
+    found = segment.segment(segment.normalize_pages(layout.lay_out(sections(spark, sf_dir))))
+    numbered = F.col("section_metadata.section_number").isNotNull()
+    tail = (F.col("heading") == "") & (F.col("page_number") > 1)
+    counts = found.groupBy("document_id").agg(F.count_if(numbered).alias("sections"), F.count_if(tail).alias("crossing"))
+    return counts.withColumn("clauses", F.col("sections") + F.col("crossing"))
+
+
 @query(f"{_PAGES} SELECT document_id, page_number, normalized_text FROM clean")
 def normalize_pages(spark, sf_dir):
     return segment.normalize_pages(pages(spark, sf_dir)).select("document_id", "page_number", "normalized_text")

@@ -153,6 +153,54 @@ def fetch_outcomes(spark, sf_dir):
     return p.fetch_outcomes(rows).select("doc_id", "next_url", "error")
 
 
+def _answers(spark, sf_dir) -> DataFrame:
+    """Every page as an answer whose own links lead on: where to is told by the length of its html; some are files."""
+    n = F.length("html")
+    after = F.when(F.col("page_id") % 10 == 0, F.col("page_id") + n % 3).otherwise(F.col("page_id") - 1 - n % 7)
+    leads = F.regexp_replace("html", F.lit('href="/[^"]*"'), F.concat(F.lit('href="/'), after.cast("string"), F.lit('.pdf?v=1"')))
+    file = F.col("page_id") % 13 == 5
+    body = F.when(file, F.concat(F.lit("%PDF-"), "html")).when(n % 11 == 0, F.col("html")).otherwise(leads)
+    kind = F.when(file, "application/pdf").otherwise("text/html; charset=utf-8")
+    url = F.concat(F.lit("https://pages.example.org/"), F.col("page_id").cast("string"), F.lit(".pdf?v=1"))
+    return _pages(spark, sf_dir).select("page_id", url.alias("url"), kind.alias("content_type"), F.encode(body, "UTF-8").alias("content"))
+
+
+@query(
+    r"""WITH RECURSIVE bodies AS (
+        SELECT page_id, page_id % 13 = 5 AS file, octet_length(encode(html)) + 5 AS size, CASE WHEN length(html) % 11 = 0 THEN html ELSE regexp_replace(html, 'href="/[^"]*"', 'href="/' ||
+            CASE WHEN page_id % 10 = 0 THEN page_id + length(html) % 3 ELSE page_id - 1 - length(html) % 7 END || '.pdf?v=1"', 'g') END AS body FROM pages
+    ), answers AS (
+        SELECT page_id, CASE WHEN NOT file THEN CAST(nullif(regexp_extract(body, 'href="/(-?[0-9]+)[.]pdf[?]v=1"', 1), '') AS BIGINT) END AS target,
+            CASE WHEN file AND size > 32 * 1024 * 1024 THEN 'Document exceeds the 32 MB size limit.' WHEN file AND size < 1024 THEN 'Downloaded file is too small to be a valid PDF.'
+            WHEN NOT file AND NOT regexp_matches(body, 'href="/-?[0-9]+[.]pdf[?]v=1"') THEN 'Server returned HTML webpage, not a direct PDF file.' END AS error FROM bodies
+    ), ways AS (
+        SELECT page_id, page_id AS at, 0::BIGINT AS hops FROM pages
+        UNION ALL SELECT w.page_id, a.target, hops + 1 FROM ways w JOIN answers a ON a.page_id = w.at WHERE a.target IS NOT NULL AND hops <= (SELECT count(*) FROM pages)
+    ), ends AS (
+        SELECT w.page_id, w.at, w.hops, CASE WHEN a.page_id IS NULL THEN 'Could not connect to the document server.' ELSE a.error END AS error FROM ways w LEFT JOIN answers a ON a.page_id = w.at WHERE a.page_id IS NULL OR a.target IS NULL
+    )
+    SELECT p.page_id, 'https://pages.example.org/' || e.at || '.pdf?v=1' AS final_url, e.hops, CASE WHEN e.page_id IS NULL THEN 'Links lead round in a circle.' ELSE e.error END AS error FROM pages p LEFT JOIN ends e USING (page_id)"""
+)
+def followed_links(spark, sf_dir):
+    """From every page along its links to a file, an error, or round in a circle."""
+    answers = _answers(spark, sf_dir)
+    return p.follow_links(answers.select("page_id", "url"), answers.select("url", "content_type", "content")).select("page_id", "final_url", "hops", "error")
+
+
+_ROOT = "regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)"
+
+
+@query(
+    rf"""SELECT page_id, CASE WHEN regexp_matches(html, 'href="/[^"]*"') THEN {_ROOT} || regexp_extract(html, 'href="(/[^"]*)"', 1) || '.pdf' END AS link,
+    CASE WHEN regexp_matches(html, 'href="/[^"]*"') THEN length(html) - length(replace(html, 'href="/', 'href="')) ELSE 0 END AS links FROM pages"""
+)
+def page_links(spark, sf_dir):
+    """The first link of every page's own html, as one to a file, made absolute by the page's own url; and their number."""
+    made = F.regexp_replace("html", r'href="(/[^"]*)"', 'href="$1.pdf"')
+    links = F.size(F.regexp_extract_all("html", F.lit(r'href="(/)[^"]*"'), F.lit(1)))
+    return _pages(spark, sf_dir).select("page_id", p.first_pdf_link(made, F.col("url")).alias("link"), links.cast("long").alias("links"))
+
+
 _CATEGORY = "CASE " + " ".join(f"WHEN contains(lower(t), '{k}') THEN '{v}'" for k, v in p.CATEGORIES.items()) + " ELSE '' END"
 _TEXT = "'UNIVERSITY LIBRARY RULES ' || CAST(p_partkey AS VARCHAR) || chr(10) || 'Issued by the Academic Council of ' || p_name || chr(10) || 'version 2.' || CAST(p_size AS VARCHAR) || ' for ' || CASE WHEN p_partkey % 2 = 0 THEN '2023-24' ELSE 'the year 2022 and 2024' END || chr(10) || 'HOSTEL FEE RULES' || chr(10) || 'text'"
 
