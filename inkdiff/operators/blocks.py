@@ -46,8 +46,10 @@ def block_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = rows.join(sizes, ["pair_id", "side"]).withColumn("_block", F.pmod(F.xxhash64("ordinal"), F.col("_blocks")))
     fields = ["ordinal", "terms", "weights", "number", "heading", "embedding", "price"]
     packs = dealt.groupBy("pair_id", "side", "_block").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
-    side = lambda s: packs.where(F.col("side") == s).select("pair_id", F.col("rows").alias(s))
-    return side("a").join(side("b"), "pair_id")
+    # a task has a block of A with all of B: the packs of B go to each block of A, as one place for a pair would do all alone
+    of_a = sizes.where("side = 'a'").select("pair_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
+    of_b = packs.where("side = 'b'").select("pair_id", F.col("rows").alias("b"))
+    return packs.where("side = 'a'").select("pair_id", "_block", F.col("rows").alias("a")).join(of_b.join(of_a, "pair_id"), ["pair_id", "_block"]).drop("_block")
 
 
 def _side(rows: pa.StructArray) -> Side:
