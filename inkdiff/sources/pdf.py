@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,21 +20,40 @@ _ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
 _CHARACTER = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"(": b"(", b")": b")", b"\\": b"\\"}
 
 
+class PlainPdf:
+    """The pages of a file in the order of their objects, for literal strings and flate or no compression: len() and [k]."""
+
+    def __init__(self, content: bytes) -> None:
+        if not content.startswith(b"%PDF-"):
+            raise ValueError("not a PDF file")
+        self._objects = {int(m[1]): m[2] for m in _OBJECT.finditer(content)}
+        self._pages = [body for body in self._objects.values() if re.search(rb"/Type\s*/Page\b(?!s)", body)]
+
+    def __len__(self) -> int:
+        return len(self._pages)
+
+    def __getitem__(self, k: int) -> str:
+        held = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", self._pages[k])
+        ids = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", held[1])] if held else []
+        return "\n".join(_shown(self._objects.get(i, b"")) for i in ids)
+
+
+def open_plain_pdf(path: str) -> PlainPdf:
+    with open(path, "rb") as f:
+        return PlainPdf(f.read())
+
+
 def plain_pdf_pages(content: bytes) -> list[str | Exception]:
-    """Texts of the pages, in the order of their objects, for files with literal strings and flate or no compression."""
-    if not content.startswith(b"%PDF-"):
-        raise ValueError("not a PDF file")
-    objects = {int(m[1]): m[2] for m in _OBJECT.finditer(content)}
-    pages = []
-    for body in objects.values():
-        if re.search(rb"/Type\s*/Page\b(?!s)", body):
-            held = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-            ids = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", held[1])] if held else []
-            try:
-                pages.append("\n".join(_shown(objects.get(i, b"")) for i in ids))
-            except Exception as error:  # whatever a damaged stream raises: the other pages are still read
-                pages.append(error)
-    return pages
+    """Texts of the pages; in the place of one that cannot be read, what it raised."""
+    pages = PlainPdf(content)
+    return [_text_or_error(pages, k) for k in range(len(pages))]
+
+
+def _text_or_error(pages: Sequence[str], k: int) -> str | Exception:
+    try:
+        return pages[k]
+    except Exception as error:  # whatever a damaged stream raises: the other pages are still read
+        return error
 
 
 def _shown(body: bytes) -> str:
