@@ -136,6 +136,16 @@ def tfidf_terms(spark, sf_dir):
     return w.groupBy("pair_id", "side", "ordinal").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("largest"))
 
 
+_CAP = 300
+
+
+@query(f"{_TERMS.replace('rank <= 5000', f'rank <= {_CAP}')} SELECT pair_id, a_ordinal, b_ordinal, round(s, 5) AS tfidf_score FROM cosines")
+def tfidf_capped(spark, sf_dir):
+    """Scores by the most frequent terms of each pair alone, fewer than it has."""
+    found = align.tfidf_cosine(clauses(spark, sf_dir), Config(max_terms=_CAP))
+    return found.withColumn("tfidf_score", F.round("tfidf_score", 5))
+
+
 @query(f"{_TERMS} SELECT pair_id, a_ordinal, b_ordinal, round(s, 5) AS tfidf_score FROM cosines")
 def tfidf_cosine(spark, sf_dir):
     return align.tfidf_cosine(clauses(spark, sf_dir)).withColumn("tfidf_score", F.round("tfidf_score", 5))
@@ -208,6 +218,25 @@ matched AS (SELECT pair_id, a.ordinal AS a_ordinal, b.ordinal AS b_ordinal, CASE
             FROM a FULL JOIN b USING (pair_id, ordinal))"""
 
 
+_MOVED = f"""{duck("base")}, corpus AS (SELECT pair_id, side, CASE WHEN side = 'b' THEN 39 - ordinal ELSE ordinal END AS ordinal, k, CASE WHEN side = 'b' AND k = 13 THEN '' ELSE heading END AS heading, text FROM base){_TERMS.removeprefix(duck())},
+a AS (SELECT pair_id, ordinal AS place, ordinal, k FROM corpus WHERE side = 'a'), b AS (SELECT pair_id, 39 - ordinal AS place, ordinal, k FROM corpus WHERE side = 'b'),
+placed AS (SELECT pair_id, a.ordinal AS a_ordinal, b.ordinal AS b_ordinal, coalesce(a.k, b.k) AS k FROM a FULL JOIN b USING (pair_id, place))"""
+
+
+@query(
+    f"""{_MOVED} SELECT pair_id, a_ordinal, b_ordinal, CASE WHEN a_ordinal IS NULL THEN 'added_candidate' WHEN b_ordinal IS NULL THEN 'removed_candidate' WHEN k = 13 AND 0.5 * s < 0.5 THEN 'needs_review' ELSE 'hybrid' END AS match_type,
+    CASE WHEN k = 13 THEN round(0.5 * s, 5) END AS by_text_alone FROM placed LEFT JOIN cosines USING (pair_id, a_ordinal, b_ordinal)"""
+)
+def moved_match(spark, sf_dir):
+    """Version B in reverse order, some of its headings lost: clauses are found at other places, and by their text alone."""
+    c = clauses(spark, sf_dir)
+    b = F.col("side") == "b"
+    moved = c.withColumn("ordinal", F.when(b, 39 - F.col("ordinal")).otherwise(F.col("ordinal"))).withColumn("heading", F.when(b & (F.col("k") == 13), "").otherwise(F.col("heading")))
+    lost = c.where("side = 'a' and k = 13").select("pair_id", F.col("ordinal").alias("a_ordinal"), F.lit(True).alias("lost"))
+    found = align.hybrid_match(moved).join(lost, ["pair_id", "a_ordinal"], "left")
+    return found.select("pair_id", "a_ordinal", "b_ordinal", "match_type", F.when(F.col("lost"), F.round("match_score", 5)).alias("by_text_alone"))
+
+
 @query(f"{_MATCHED} SELECT * FROM matched")
 def hybrid_match(spark, sf_dir):
     return align.hybrid_match(clauses(spark, sf_dir)).select("pair_id", "a_ordinal", "b_ordinal", "match_type")
@@ -252,6 +281,18 @@ _TOLD = f"""list_filter([
 _SIGNALLED = f"""{_PAIRED}, told AS (SELECT *, {_TOLD} AS told FROM paired), places AS (SELECT DISTINCT pair_id, ordinal, k, {_KIND} AS change_type FROM corpus)"""
 
 
+@query(
+    f"""{_SIGNALLED}, kinds AS (SELECT pair_id, ordinal, unnest(told)[1] AS signal_type, unnest(told)[3] AS told_values FROM told)
+    SELECT pair_id, ordinal, signal_type, told_values FROM kinds"""
+)
+def signals_told(spark, sf_dir):
+    """All signals of all pairs of texts; the statement reads them from the texts too."""
+    both = keyed_pairs(spark, sf_dir).where("match_type = 'hybrid'")
+    rows = both.select("pair_id", "ordinal", F.explode(detect.signals(F.col("text_a"), F.col("text_b"))).alias("s"))
+    value = lambda name, word: F.when(F.col(f"s.{name}") != "(none)", F.concat(F.lit(f"{word}: "), F.col(f"s.{name}")))
+    return rows.select("pair_id", "ordinal", "s.signal_type", F.concat_ws(" — ", value("old_value", "was"), value("new_value", "now")).alias("told_values"))
+
+
 @query(
     f"""{_SIGNALLED} SELECT pair_id, ordinal, {_TEMPLATE} || CASE WHEN len(told) > 0 THEN ' Detected: ' || array_to_string(list_transform(told, lambda x: x[2] || ' — ' || x[3]), '; ') || '.' ELSE '' END AS summary,
     0.85::DOUBLE AS confidence, 'deterministic' AS provider_used FROM places LEFT JOIN told USING (pair_id, ordinal)"""
