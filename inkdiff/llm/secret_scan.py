@@ -30,7 +30,15 @@ BASE = (
 #: Weak candidates: kind, part of a credential that it may be, expression.
 WEAK = (
     ("weak_id", "id", re.compile(r"\b(?:access[_-]?key(?:[_-]?id)?|client[_-]?id|account|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@+/_.-]{3,}", re.I | re.A)),
-    ("weak_secret", "secret", re.compile(r"\b(?:pass|pwd|pin|auth|credential|private[_-]?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{4,}|(?<![A-Za-z0-9+/=])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", re.I | re.A)),
+    (
+        "weak_secret",
+        "secret",
+        re.compile(
+            r"(?i:\b(?:pass|pwd|pin|auth|credential|private[_-]?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{4,})"
+            r"|(?<![A-Za-z0-9+/=])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])",  # upper and lower case both
+            re.A,
+        ),
+    ),
     ("endpoint", "endpoint", re.compile(r"\b[a-z][a-z0-9+.-]{1,12}://[^\s\"'<>]{4,}|\b(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}", re.I | re.A)),
 )
 PART = {"assign": "secret", "hex": "secret", "access": "id"} | {kind: part for kind, part, _ in WEAK}

@@ -37,6 +37,15 @@ def test_linked_spans_by_brute_force(seed):
         assert secret_scan.linked_spans(text, secret_scan.base_spans(text)) == brute_linked(text)
 
 
+def test_a_bare_secret_has_upper_and_lower_case():
+    secret = next(pattern for kind, _, pattern in secret_scan.WEAK if kind == "weak_secret")
+    assert not secret.search("z" * 40) and not secret.search("A1" * 20) and not secret.search("0" * 40)
+    assert secret.search("aB" * 20) and secret.search("z" * 39 + "Q") and not secret.search("aB" * 21)
+    assert secret.search("PWD: abcd") and secret.search("Private_Key=abcd")
+    text = "user=bob99 " + "z" * 40 + " https://a.example.org/x"
+    assert all(kind != "weak_secret" for *_, kind in secret_scan.linked_spans(text, secret_scan.base_spans(text)))
+
+
 def test_windows_decide_beside_a_marked_article():
     """Beside a marked article a line counts by what stands around it: one is left out, several long ones are kept."""
     line = "Some running text that is long enough to be a paragraph of its own, but stands outside. " * 2
