@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 #: What Python's str.strip() takes away.
 SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+", "")
+    return F.ltrim(text, F.lit(SPACES))
 
 
 def split_lines(text: Column) -> Column:

@@ -58,13 +58,12 @@ def segment(pages: DataFrame, config: Config = Config()) -> DataFrame:
     A page's lines are cut at its headings; what stands before the first one is its preamble. Clauses are numbered over
     a document's pages once empty blocks are gone. All windows are partitioned by document (and page).
     """
-    full = pages.where(strip(F.col("normalized_text")) != "")
     # headings and blocks are found inside each page's own array: no shuffle of lines
     lines = split_lines(F.col("normalized_text"))
     # each line in front of which a block starts is marked, then the page is cut at the marks
     marked = F.transform(lines, lambda line: F.when(is_heading(line), F.concat(F.lit("\u0001\u0002"), line)).otherwise(line))
     blocks = F.split(F.array_join(marked, "\n"), "(?:\\A|\n)(?=\u0001\u0002)", -1)
-    cut = full.select("document_id", "document_name", "version", "page_number", F.posexplode(blocks).alias("block", "raw"))
+    cut = pages.select("document_id", "document_name", "version", "page_number", F.posexplode(blocks).alias("block", "raw"))
     headed = F.col("raw").startswith("\u0001\u0002")
     body = F.substring("raw", F.when(headed, 3).otherwise(1), F.char_length("raw"))
     parts = cut.withColumn("headed", headed).withColumn("body", body)
