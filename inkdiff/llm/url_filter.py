@@ -7,11 +7,12 @@ the one of them that is rarest in the urls at hand; each url's tokens fetch its
 their regular expressions. A rule without such a token is indexed by the empty token, which every url has.
 
 The rules are given as a list, which becomes a table (`rule_table`), or as such a table, which the driver only counts. Up
-to MAX_BROADCAST_RULES rows the index is broadcast; beyond that it is joined by shuffle. Urls are judged once for each distinct url, so a hot url costs what any other does;
-tokens are paired with rules, never urls with urls.
+to MAX_BROADCAST_RULES rows the index is broadcast; beyond that it is joined by shuffle. Urls are judged once for each
+distinct url, and those that fit a rule are written; then the rows are joined with them. Both sides of that join are
+plain, so Spark may split the rows of one url. Tokens are paired with rules, never urls with urls.
 
 A null url, or one without `://`, has an empty host and path and fits no rule. Of the fitting prefix rules (host and
-path) the longest wins; without one, a fitting exception pattern allows, else a fitting block pattern blocks, else the
+path) the longest wins, of equally long ones the least name, of one name's `allow` before `block`; without one, a fitting exception pattern allows, else a fitting block pattern blocks, else the
 url is allowed. Each row is answered, repeated ones alike; an empty table gives an empty result. All of the table's
 columns stand in the struct `input`, so none of their names can clash.
 """
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._shared import materialize, table
+
 MAX_BROADCAST_RULES = 100_000
 TOKEN = "[a-z0-9]+"
 
@@ -118,7 +121,7 @@ def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
 def rule_index(tokens: DataFrame, listed: DataFrame, small) -> DataFrame:
     """Each rule of the table under its token that is rarest in tokens(_token)."""
     seen = tokens.join(small(listed.select("_token").distinct()), "_token", "left_semi").groupBy("_token").agg(F.count("*").alias("_n"))
-    by_rarity = Window.partitionBy("_rule", "_kind").orderBy(F.coalesce("_n", F.lit(0)), "_token")
+    by_rarity = Window.partitionBy("_rule", "_kind", "_regex", "_verdict").orderBy(F.coalesce("_n", F.lit(0)), "_token")
     ranked = listed.join(seen, "_token", "left").withColumn("_rank", F.row_number().over(by_rarity))
     return ranked.where("_rank = 1").drop("_rank", "_n")
 
@@ -139,12 +142,13 @@ def filter_urls(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] | DataF
     fits = candidates.where(F.regexp(target, F.col("_regex")))
     prefix, pattern = F.col("_kind") == "prefix", F.col("_kind") == "pattern"
     judged = fits.groupBy("_url").agg(
-        F.max(F.when(prefix, F.struct("_length", "_rule", "_verdict"))).alias("_best"),
+        F.min(F.when(prefix, F.struct(-F.col("_length"), "_rule", "_verdict"))).alias("_best"),
         F.bool_or(pattern & (F.col("_verdict") == "allow")).alias("_excepted"),
         F.bool_or(pattern & (F.col("_verdict") == "block")).alias("_blocked"),
     )
+    judged = materialize(judged.withColumnRenamed("_url", "_of"), "judged")
     method = F.when(F.coalesce("_blocked", F.lit(False)) & ~F.coalesce("_excepted", F.lit(False)), "block").otherwise("allow")
-    return rows.join(judged, "_url", "left").select(
+    return rows.join(judged, rows["_url"] == judged["_of"], "left").select(
         "input",
         host_of(F.col("_url")).alias("host"),
         path_of(F.col("_url")).alias("path"),
@@ -154,8 +158,6 @@ def filter_urls(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] | DataF
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from ._shared import table
-
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages).select("input.page_id", "host", "path", "rule", "verdict")
 
@@ -164,7 +166,7 @@ def sql(rules: tuple[Rule, ...] = RULES) -> str:
     """Every rule's expression on every url."""
     quote = lambda text: "'" + text.replace("'", "''") + "'"
     fits = lambda r: f"regexp_matches({'host || path' if r.kind == 'prefix' else 'lower(host || rest)'}, {quote(r.regex)})"
-    best = sorted((r for r in rules if r.kind == "prefix"), key=lambda r: (-r.length, r.name))
+    best = sorted((r for r in rules if r.kind == "prefix"), key=lambda r: (-r.length, r.name, r.verdict))
     pick = lambda field, other: "CASE " + " ".join(f"WHEN {fits(r)} THEN {quote(field(r))}" for r in best) + f" ELSE {other} END"
     some = lambda verdict: " OR ".join(fits(r) for r in rules if r.kind == "pattern" and r.verdict == verdict) or "false"
     method = f"CASE WHEN (host <> '' OR rest <> '') AND ({some('block')}) AND NOT ({some('allow')}) THEN 'block' ELSE 'allow' END"

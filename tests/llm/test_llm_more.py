@@ -37,6 +37,24 @@ def test_linked_spans_by_brute_force(seed):
         assert secret_scan.linked_spans(text, secret_scan.base_spans(text)) == brute_linked(text)
 
 
+def test_rules_of_one_length_or_one_name(spark):
+    """Of equally long rules the least name wins, of one name `allow`; whatever the rules' order, and as the SQL says."""
+    import duckdb
+
+    given = (("b.org", "/", "block"), ("www.b.org", "/", "block"), ("b.org", "/", "allow"), ("c.org", "/x", "block"), ("x.c.org", "/", "allow"))
+    urls = [(1, "http://a.b.org/"), (2, "http://www.b.org/q"), (3, "http://x.c.org/xy"), (4, "http://c.org/x"), (5, None)] + [(k, "http://c.org/x") for k in range(6, 60)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    seen = []
+    for order in (given, given[::-1]):
+        rules = tuple(url_filter.prefix_rule(*x) for x in order)
+        seen.append(sorted(map(str, map(tuple, url_filter.filter_urls(df, rules=rules).select("input.page_id", "host", "path", "rule", "verdict").collect()))))
+        db = duckdb.connect()
+        db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+        db.executemany("INSERT INTO pages VALUES (?, ?)", urls)
+        assert seen[-1] == sorted(map(str, db.execute(url_filter.sql(rules)).fetchall()))
+    assert seen[0] == seen[1] and any("'b.org/', 'allow'" in r for r in seen[0])
+
+
 def test_a_bare_secret_has_upper_and_lower_case():
     secret = next(pattern for kind, _, pattern in secret_scan.WEAK if kind == "weak_secret")
     assert not secret.search("z" * 40) and not secret.search("A1" * 20) and not secret.search("0" * 40)
