@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Labels of a confusion matrix at most: it has the square of them.
+MOST_LABELS = 1000
 UNMATCHED = ("added_candidate", "removed_candidate", "unmatched")
 
 
@@ -39,7 +41,8 @@ def confusion_matrix(pairs: DataFrame) -> DataFrame:
     labels = pairs.select(F.col("gold").alias("label")).union(pairs.select("predicted")).distinct()
     counts = pairs.groupBy("gold", "predicted").agg(F.count("*").alias("n"))
     # the labels are few: their square is the matrix asked for
-    listed = labels.agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    few = labels.limit(MOST_LABELS + 1).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    listed = few.select(F.when(F.size("labels") > MOST_LABELS, F.raise_error(F.lit(f"more than {MOST_LABELS} labels"))).otherwise(F.col("labels")).alias("labels"))
     square = listed.select("labels", F.explode("labels").alias("gold")).select("gold", F.explode("labels").alias("predicted"))
     return square.join(counts, ["gold", "predicted"], "left").select("gold", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calls import WORKERS, call_each
+from ..functions.text import strip
 from ..schemas import CITATION
 
 #: Fixed texts.
@@ -86,7 +91,7 @@ def generate_summaries(changes: DataFrame, providers: tuple[Provider, ...] = (),
     dead: set[str] = set()
 
     def ask(prompts: pa.Array) -> pa.Array:
-        return pa.array(ask_providers(prompts.to_pylist(), providers, timeout, dead), kind)
+        return pa.array(ask_providers(prompts.to_pylist(), providers, timeout, dead, readable), kind)
 
     asked = changes.withColumn("_asked", F.arrow_udf(ask, "struct<reply: string, name: string, reason: string, failed: boolean>").asNondeterministic()(prompt(changes)))
     parsed = parse_reply(F.col("_asked.reply"))
@@ -96,10 +101,22 @@ def generate_summaries(changes: DataFrame, providers: tuple[Provider, ...] = (),
     return asked.withColumn("summary", F.when(F.col("_asked.failed"), none).when(F.col("_asked.reply").isNotNull(), given).otherwise(other)).drop("_asked")
 
 
-def ask_providers(prompts: list[str], providers: tuple[Provider, ...], timeout: float, dead: set[str] | None = None) -> list[dict]:
+def readable(reply: str) -> None:
+    """Raises unless the reply is a JSON object, in a code fence or not."""
+    text = reply.strip()
+    if text.startswith("```"):
+        text = re.sub(r"\n?```$", "", re.sub(r"^```[a-z]*\n?", "", text))
+    if not isinstance(json.loads(text), dict):
+        raise ValueError("the reply is no JSON object")
+
+
+def ask_providers(
+    prompts: list[str], providers: tuple[Provider, ...], timeout: float, dead: set[str] | None = None, check: Callable[[str], None] | None = None
+) -> list[dict]:
     """For each prompt: reply (None if no provider gave one), name, the last reason to pass a provider over, and failed.
 
-    dead: names of providers that gave no reply before; they are passed over, and those that hang now are added.
+    dead: names of providers that gave no reply before; they are passed over, and those that hang now are added. check:
+    raises on a reply that is of no use, which then counts as a failure of its provider.
     """
     out = [{"reply": None, "name": None, "reason": "", "failed": False} for _ in prompts]
     left, dead = list(range(len(prompts))), set() if dead is None else dead
@@ -119,7 +136,7 @@ def ask_providers(prompts: list[str], providers: tuple[Provider, ...], timeout:
             for k in left:
                 out[k]["reason"] = f"{p.name} not available (no API key)" if available is False else f"{p.name} failed: {available}"
             continue
-        replies = call_each(lambda prompt, p=p: _one_reply(p, prompt, timeout), [prompts[k] for k in left], timeout)
+        replies = call_each(lambda prompt, p=p: _one_reply(p, prompt, timeout, check), [prompts[k] for k in left], timeout)
         for k, r in zip(left, replies, strict=True):
             if isinstance(r, Exception):
                 out[k]["reason"] = f"{p.name} failed: {r}"
@@ -133,10 +150,12 @@ def ask_providers(prompts: list[str], providers: tuple[Provider, ...], timeout:
     return out
 
 
-def _one_reply(provider: Provider, prompt: str, timeout: float) -> str:
+def _one_reply(provider: Provider, prompt: str, timeout: float, check: Callable[[str], None] | None) -> str:
     found = provider.generate([prompt], timeout)
     if len(found) != 1:
         raise ValueError(f"{len(found)} replies to 1 prompts")
+    if check:
+        check(found[0])
     return found[0]
 
 
@@ -156,7 +175,8 @@ def prompt(changes: DataFrame | None = None) -> Column:
 
 def parse_reply(reply: Column) -> Column:
     """struct(summary, classification_suggestion, confidence) of a model's JSON reply, in a code fence or not."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(reply), r"\A```[a-z]*\n?", ""), r"\n?```\z", "")
+    plain = strip(reply)
+    bare = F.when(F.startswith(plain, F.lit("```")), F.regexp_replace(F.regexp_replace(plain, r"\A```[a-z]*\n?", ""), r"\n?```\z", "")).otherwise(plain)
     fields = F.from_json(bare, "summary string, classification_suggestion string, confidence string")
     rated = _lookup(F.lower(F.coalesce(fields["confidence"], F.lit("medium"))), CONFIDENCE, 0.7)
     return F.struct(F.coalesce(fields["summary"], F.lit("")).alias("summary"), F.coalesce(fields["classification_suggestion"], F.lit("")).alias("classification_suggestion"), rated.alias("confidence"))

@@ -328,6 +328,23 @@ def reply_parse(spark, sf_dir):
     return c.select("conv_id", "turn", report.parse_reply(text).alias("r")).select("conv_id", "turn", "r.*")
 
 
+@query(
+    """SELECT conv_id, turn, coalesce(text, '') AS summary, CASE WHEN length(text) % 3 = 0 THEN 'uncertain' ELSE 'wording_only' END AS classification_suggestion,
+    CASE length(text) % 3 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM conversations"""
+)
+def reply_texts(spark, sf_dir):
+    """Every turn's own text as the summary of a model's JSON reply, fenced or not, read back."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    n = F.length("text") % 3
+    told = F.struct(
+        F.col("text").alias("summary"),
+        F.when(n == 0, "uncertain").otherwise("wording_only").alias("classification_suggestion"),
+        F.when(n == 0, "HIGH").when(n == 1, "low").alias("confidence"),
+    )
+    reply = F.when(n == 1, F.to_json(told)).otherwise(F.concat(F.lit("\n```json\n"), F.to_json(told), F.lit("\n```")))
+    return c.select("conv_id", "turn", report.parse_reply(reply).alias("r")).select("conv_id", "turn", "r.*")
+
+
 @query(
     f"""{duck()}, cited AS (SELECT pair_id || '_' || side AS document_id, pair_id || '_' || side || '_clause_' || lpad(CAST(ordinal AS VARCHAR), 4, '0') AS clause_id, ordinal, ordinal // 10 + 1 AS page FROM corpus)
     SELECT document_id, CASE WHEN ordinal % 10 = 1 THEN clause_id || 'x' ELSE clause_id END AS clause_id, ordinal % 10 > 3 OR ordinal % 10 = 0 AS citation_valid,

@@ -201,6 +201,27 @@ def page_links(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", p.first_pdf_link(made, F.col("url")).alias("link"), links.cast("long").alias("links"))
 
 
+@query(
+    r"""WITH paths AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path FROM pages),
+    named AS (SELECT page_id, regexp_replace(CASE WHEN regexp_extract(path, '[^/]*$') = '' THEN 'previous_policy.pdf' ELSE regexp_extract(path, '[^/]*$') END, '[^A-Za-z0-9_.-]', '_', 'g') AS name FROM paths)
+    SELECT page_id, substr(CASE WHEN ends_with(lower(name), '.pdf') THEN name ELSE name || '.pdf' END, 1, 120) AS filename FROM named"""
+)
+def page_filenames(spark, sf_dir):
+    """The name that each page's own address gives to what is fetched from it."""
+    return _pages(spark, sf_dir).select("page_id", p.safe_filename(F.col("url")).alias("filename"))
+
+
+@query(
+    r"""SELECT doc_id, coalesce(CAST(CAST(nullif(regexp_extract(text, '20[0-9]{2}'), '') AS INT) - 1 AS VARCHAR), '') AS year_before,
+    len(regexp_extract_all(coalesce(text, ''), '20[0-9]{2}')) AS years FROM documents"""
+)
+def text_years(spark, sf_dir):
+    """The year before the first one that each document's own text names, and how many it names."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(20\d{2})"), F.lit(1)))
+    return d.select("doc_id", p.previous_year(F.col("text")).alias("year_before"), found.cast("long").alias("years"))
+
+
 _CATEGORY = "CASE " + " ".join(f"WHEN contains(lower(t), '{k}') THEN '{v}'" for k, v in p.CATEGORIES.items()) + " ELSE '' END"
 _TEXT = "'UNIVERSITY LIBRARY RULES ' || CAST(p_partkey AS VARCHAR) || chr(10) || 'Issued by the Academic Council of ' || p_name || chr(10) || 'version 2.' || CAST(p_size AS VARCHAR) || ' for ' || CASE WHEN p_partkey % 2 = 0 THEN '2023-24' ELSE 'the year 2022 and 2024' END || chr(10) || 'HOSTEL FEE RULES' || chr(10) || 'text'"
 

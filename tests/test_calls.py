@@ -98,6 +98,16 @@ def test_a_model_is_loaded_once_a_process(spark, tmp_path, fails):
         assert all(r["embedding"][0] == len(r["text"]) for r in got) and {str(int(r["embedding"][1])) for r in got} <= set(pids)
 
 
+def test_a_reply_that_is_no_object_is_a_failure():
+    class Says(Hanging):
+        def generate(self, prompts, timeout):
+            return [{"a": "sorry, no", "b": "[1]", "c": '\n```json\n{"summary": "s"}\n```\n'}[p] for p in prompts]
+
+    got = report.ask_providers(["a", "b", "c"], (Says("model", 0),), 5, check=report.readable)
+    assert [r["reply"] is None for r in got] == [True, True, False]
+    assert got[0]["reason"].startswith("model failed: Expecting value") and got[1]["reason"] == "model failed: the reply is no JSON object"
+
+
 def test_summaries_of_hanging_providers(spark):
     class Late(report.Provider):  # here, so that workers get it by value
         name = "late"

@@ -167,6 +167,9 @@ def test_metrics(spark):
     typed = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "gold string, predicted string")
     got = {r["label"]: (r["f1"], r["macro_f1"]) for r in evaluate.class_metrics(typed).collect()}
     assert got["b"][0] == 0.0 and got["c"] == (1.0, round((2 / 3 + 0 + 1) / 3, 4))
+    assert {(r["gold"], r["predicted"]): r["n"] for r in evaluate.confusion_matrix(typed).collect()}["b", "a"] == 1
+    with pytest.raises(Exception, match="more than 1000 labels"):
+        evaluate.confusion_matrix(spark.range(1200).selectExpr("concat('l', id) as gold", "'x' as predicted")).collect()
     gate = evaluate.wording_gate(spark.createDataFrame([("wording_only", "unchanged")], "gold string, predicted string")).first()
     assert (gate["total"], gate["correct"], gate["wrong_as_substantive"], gate["passed"]) == (1, 0, 0, True)
 
