@@ -1,7 +1,11 @@
 """Training-data operators on rows that they once left out."""
 
+import collections
+import os
 import random
 
+import pytest
+
 from inkdiff.llm import _labels, secret_scan, toxicity
 
 
@@ -43,3 +47,12 @@ def test_the_sample_bound_cuts_evenly(spark, monkeypatch):
     assert 0.15 < sum(y for _, y, _ in found[0]) / len(found[0]) < 0.25
     firsts = sum(int(t) < 400 for _, y, t in found[0] if not y) / sum(not y for _, y, _ in found[0])
     assert 0.35 < firsts < 0.65
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_the_stated_figures_of_toxicity(spark):
+    """What the README states for the held-out rows at sf0.1: all toxic ones and those caught, the ordinary ones and false alarms."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    seen = collections.Counter((r["toxic"], r["predicted"]) for r in toxicity.query(spark, folder).where("held_out").join(labels, "doc_id").collect())
+    assert (seen[1, 0] + seen[1, 1], seen[1, 1], seen[0, 0] + seen[0, 1], seen[0, 1]) == (97, 45, 728, 9)
