@@ -44,8 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     how = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.bpe_encode(docs.select("doc_id", "text"), *how)
-    both = bpe.bpe_decode(ids.select("doc_id", "token_ids"), *how)
+    both = bpe.bpe_both(docs.select("doc_id", "text"), *how)
     return both.select("doc_id", bpe.n_tokens(F.col("token_ids")).alias("n_tokens"), "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

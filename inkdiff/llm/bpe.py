@@ -2,7 +2,8 @@
 
 `bpe_encode` appends the ids of each text as little-endian unsigned 32-bit integers in one binary column, the form in
 which token shards are stored; `bpe_decode` turns such a column back into raw bytes. The rank file is read on the
-driver and broadcast: its size is checked against `max_rank_bytes`, and it does not grow with the data.
+driver and broadcast: its size is checked against `max_rank_bytes`, and it does not grow with the data. `bpe_both` does
+both in one step: encoding and decoding as two steps of a task take two Python workers for it, each with its own ranks.
 
 Long texts are cut before the tokenizer's regular expression runs, if it is the public one, for which the rule holds;
 with any other expression a text is encoded whole. A cut falls only between a character that is not
@@ -76,16 +77,12 @@ def _ranks(spark: SparkSession, path: str):
 
 def bpe_encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", into: str = "token_ids") -> DataFrame:
     """df with the ids of column `text` as little-endian uint32 bytes in column `into`."""
-    import numpy as np
-
     import public_tokenizers
 
     lines, cut = _ranks(df.sparkSession, rank_file), pattern == public_tokenizers.PATTERN
 
     def encode(texts: pa.Array) -> pa.Array:
-        enc = encoding_of(lines.value, pattern)
-        ids = (encode_text(enc, x.as_py()) if cut else enc.encode_ordinary(x.as_py()) for x in texts)
-        return pa.array((np.array(own, dtype="<u4").tobytes() for own in ids), pa.binary())
+        return _packed_ids(encoding_of(lines.value, pattern), texts, cut)
 
     kernel = F.arrow_udf(encode, "binary").asNondeterministic()  # evaluated once, whatever uses its column
     return df.withColumn(into, kernel(F.coalesce(df[text], F.lit(""))))
@@ -93,18 +90,44 @@ def bpe_encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text",
 
 def bpe_decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """df with the raw bytes of the ids in column `ids` in column `into` (null ids: no bytes)."""
-    import numpy as np
-
     lines = _ranks(df.sparkSession, rank_file)
 
     def decode(packed: pa.Array) -> pa.Array:
-        enc = encoding_of(lines.value, pattern)
-        return pa.array((enc.decode_bytes(np.frombuffer(x.as_py(), dtype="<u4").tolist()) for x in packed), pa.binary())
+        return _raw_bytes(encoding_of(lines.value, pattern), packed)
 
     kernel = F.arrow_udf(decode, "binary").asNondeterministic()
     return df.withColumn(into, kernel(F.coalesce(df[ids], F.lit(b""))))
 
 
+def bpe_both(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """df with the ids of column `text` in column `ids` and the raw bytes of those ids in column `decoded`, by one worker a task."""
+    import public_tokenizers
+
+    lines, cut = _ranks(df.sparkSession, rank_file), pattern == public_tokenizers.PATTERN
+
+    def both(texts: pa.Array) -> pa.Array:
+        enc = encoding_of(lines.value, pattern)
+        packed = _packed_ids(enc, texts, cut)
+        return pa.StructArray.from_arrays([packed, _raw_bytes(enc, packed)], names=["ids", "decoded"])
+
+    kernel = F.arrow_udf(both, "ids binary, decoded binary").asNondeterministic()
+    coded = df.withColumn("_coded", kernel(F.coalesce(df[text], F.lit(""))))
+    return coded.withColumns({ids: F.col("_coded.ids"), decoded: F.col("_coded.decoded")}).drop("_coded")
+
+
+def _packed_ids(encoding, texts: pa.Array, cut: bool) -> pa.Array:
+    import numpy as np
+
+    ids = (encode_text(encoding, x.as_py()) if cut else encoding.encode_ordinary(x.as_py()) for x in texts)
+    return pa.array((np.array(own, dtype="<u4").tobytes() for own in ids), pa.binary())
+
+
+def _raw_bytes(encoding, packed: pa.Array) -> pa.Array:
+    import numpy as np
+
+    return pa.array((encoding.decode_bytes(np.frombuffer(x.as_py(), dtype="<u4").tolist()) for x in packed), pa.binary())
+
+
 def n_tokens(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
@@ -114,8 +137,7 @@ def round_trip(docs: DataFrame, rank_file: str | None = None, pattern: str | Non
     import public_tokenizers
 
     where, how = rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    ids = bpe_encode(docs.select("doc_id", "text"), where, how)
-    both = bpe_decode(ids.select("doc_id", "token_ids"), where, how)
+    both = bpe_both(docs.select("doc_id", "text"), where, how)
     return both.select(
         "doc_id",
         n_tokens(F.col("token_ids")).alias("n_tokens"),

@@ -124,7 +124,7 @@ def _narrow(tokens: np.ndarray) -> bytes:
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 4), np.uint16)
+    out = np.zeros((memoryview(raw).nbytes // 6, 4), np.uint16)
     out[:, :3] = np.frombuffer(raw, np.uint16).reshape(-1, 3)
     return out.view(U)[:, 0]
 
@@ -157,13 +157,14 @@ def shared_shingles(docs: DataFrame, text: str, words: int, buckets: int, hot: d
         if not names:
             return None
         tokens = np.concatenate([h[a:b] for a, b in keep]) >> U(64 - TOKEN_BITS)
-        owner = np.repeat(np.arange(len(names)), sizes)
+        owner = np.repeat(np.arange(len(names), dtype=np.int32), sizes)
+        del h
         # shingles of one text that agree in these bits stay two tokens: an overlap never shrinks
         tokens[1:] += ((tokens[1:] == tokens[:-1]) & (owner[1:] == owner[:-1])).astype(U)
-        bucket = (tokens >> shift).astype(np.int64)
+        bucket = (tokens >> shift).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
         names, sizes = np.array(names, np.int64), np.array(sizes, np.int32)
         if len(sent[0].value):
-            often = np.isin(tokens, sent[0].value)
+            often = _among(tokens, sent[0].value)
             bucket[often] = names[owner[often]] & (buckets - 1)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -179,45 +180,62 @@ def shared_shingles(docs: DataFrame, text: str, words: int, buckets: int, hot: d
     packed = docs.select(docs[text]).mapInArrow(pack, "bucket int, tokens binary, held binary, names binary, sizes binary")
 
     def count(group: pa.Table) -> pa.Table:
-        t, c, s = [], [], []
-        for tokens, held, names, sizes in zip(*(group.column(x).to_pylist() for x in ("tokens", "held", "names", "sizes")), strict=True):
-            held = np.frombuffer(held, np.int32)
-            t.append(_wide(tokens))
-            c.append(np.repeat(np.frombuffer(names, np.int64), held))
-            s.append(np.repeat(np.frombuffer(sizes, np.int32), held))
-        t, c, s = np.concatenate(t), np.concatenate(c), np.concatenate(s)
-        order = np.argsort(t, kind="stable")
-        runs = _runs(t[order])
-        order = order[np.repeat((runs > 1), runs) | _known(t[order])]
-        order = order[np.lexsort((c[order], t[order]))]
-        t, c, s = t[order], c[order], s[order]
-        fresh = np.ones(len(t), bool)
-        fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        t, c, s = t[fresh], c[fresh], s[fresh]
-        runs = _runs(t)
-        df = np.repeat(runs, runs)
-        for k in np.flatnonzero(_known(t)).tolist():
-            df[k] = sent[1].value[int(t[k])]
-        good = df > 1
-        t, c, s, df = t[good], c[good], s[good], df[good]
-        order = np.lexsort((c, c & (buckets - 1)))
-        t, c, s, df = t[order], c[order], s[order], df[order]
-        starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-        held = np.diff(np.append(starts, len(c))).astype(np.int32)
-        part = c[starts] & (buckets - 1)
-        rows = []
-        for k in np.unique(part).tolist():
-            x = np.flatnonzero(part == k)
-            a, b = starts[x[0]], starts[x[-1]] + held[x[-1]]
-            rows.append((k, c[starts[x]].tobytes(), s[starts[x]].tobytes(), held[x].tobytes(), _narrow(t[a:b].copy()), df[a:b].astype(np.int32).tobytes()))
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), **{name: pa.array([r[j] for r in rows], pa.binary()) for j, name in enumerate(("names", "sizes", "held", "tokens", "dfs"), 1)}})
-
-    def _known(tokens: np.ndarray) -> np.ndarray:
-        return np.isin(tokens, sent[0].value) if len(sent[0].value) else np.zeros(len(tokens), bool)
+        return count_bucket(group, buckets, sent[0].value, sent[1].value)
 
     return packed.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(count, "part int, names binary, sizes binary, held binary, tokens binary, dfs binary")
 
 
+def count_bucket(group: pa.Table, buckets: int, known: np.ndarray, hot: dict[int, int]) -> pa.Table:
+    """A bucket's shingles that two classes or more share, or that are known, packed by class. known: the hot ones, sorted.
+
+    Most postings are of shingles that are alone, so tokens are counted first, and classes are told of the others only.
+    """
+    raw = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)])
+    names, sizes, held = raw("names", np.int64), raw("sizes", np.int32), raw("held", np.int32)
+    t = np.empty(int(held.sum()), U)
+    at = 0
+    for x in group.column("tokens"):
+        some = _wide(x.as_buffer())
+        t[at : at + len(some)] = some
+        at += len(some)
+    order = np.argsort(t, kind="stable")
+    t = t[order]
+    runs = _runs(t)
+    kept = np.repeat(runs > 1, runs) | _among(t, known)
+    order, t = order[kept], t[kept]
+    own = np.repeat(np.arange(len(held), dtype=np.int32), held)[order]
+    c, s = names[own], sizes[own]
+    order = np.lexsort((c, t))
+    t, c, s = t[order], c[order], s[order]
+    fresh = np.ones(len(t), bool)
+    fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+    t, c, s = t[fresh], c[fresh], s[fresh]
+    runs = _runs(t)
+    df = np.repeat(runs, runs)
+    for k in np.flatnonzero(_among(t, known)).tolist():
+        df[k] = hot[int(t[k])]
+    good = df > 1
+    t, c, s, df = t[good], c[good], s[good], df[good]
+    order = np.lexsort((c, c & (buckets - 1)))
+    t, c, s, df = t[order], c[order], s[order], df[order]
+    starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+    held = np.diff(np.append(starts, len(c))).astype(np.int32)
+    part = c[starts] & (buckets - 1)
+    rows = []
+    for k in np.unique(part).tolist():
+        x = np.flatnonzero(part == k)
+        a, b = starts[x[0]], starts[x[-1]] + held[x[-1]]
+        rows.append((k, c[starts[x]].tobytes(), s[starts[x]].tobytes(), held[x].tobytes(), _narrow(t[a:b].copy()), df[a:b].astype(np.int32).tobytes()))
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), **{name: pa.array([r[j] for r in rows], pa.binary()) for j, name in enumerate(("names", "sizes", "held", "tokens", "dfs"), 1)}})
+
+
+def _among(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the tokens are known; known is sorted."""
+    if not len(known):
+        return np.zeros(len(tokens), bool)
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
 def _runs(ordered: np.ndarray) -> np.ndarray:
     """Lengths of the runs of equal values."""
     if not len(ordered):
