@@ -41,7 +41,8 @@ def weighted_terms(clauses: DataFrame, max_terms: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("total"), "term"))
     kept = by_term.withColumn("place", rank).where(F.col("place") <= max_terms).join(sizes, "pair_id")
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    raw = counted.join(kept.select("pair_id", "term", "place", idf.alias("idf")), ["pair_id", "term"]).withColumn("raw", F.col("tf") * F.col("idf"))
+    # both sides are as many as the terms, which the planner takes for as few as the clauses: it must not broadcast them
+    raw = counted.join(kept.select("pair_id", "term", "place", idf.alias("idf")).hint("merge"), ["pair_id", "term"]).withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("pair_id", "side", "ordinal")))
     return raw.select("pair_id", "side", "ordinal", "term", "place", (F.col("raw") / norm).alias("weight"))
 
