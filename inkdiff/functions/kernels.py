@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -254,6 +255,39 @@ def sparse_product(a: TermRows, b: TermRows, most: int = 1 << 21) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
+def twin_products(words: pa.ListArray, max_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """sparse_product of the tfidf_rows of many pairs of clauses at once, rows 2k and 2k + 1 of `words` being one, to the bit.
+
+    And which pairs have at most max_terms terms: the others' products are not theirs.
+    """
+    n = len(words) // 2
+    if not len(words.flatten()):
+        return np.zeros(n), np.ones(n, bool)
+    codes = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(2 * n), pc.list_value_length(words).to_numpy())
+    pair, span = row >> 1, int(codes.max()) + 1
+    # as in tfidf_rows, a word is its place in the order of the pair's words: sums then run in the same order
+    own, first, word = np.unique(pair * span + codes, return_index=True, return_inverse=True)
+    seen = np.empty(len(own), np.int64)
+    seen[np.argsort(first)] = np.arange(len(own))
+    known = np.bincount(own // span, minlength=n)
+    place, v = seen[word] - (np.cumsum(known) - known)[pair], known[pair]
+    follows = row[1:] == row[:-1]
+    key = np.concatenate((place, (v[1:] + place[:-1] * v[1:] + place[1:])[follows]))
+    width = int(key.max()) + 1
+    if 2 * n * width >= 1 << 62:
+        raise OverflowError("too many words for one number each pair and term")
+    cell, tf = np.unique(np.concatenate((row, row[1:][follows])) * width + key, return_counts=True)
+    row, key = np.divmod(cell, width)
+    terms, term, df = np.unique((row >> 1) * width + key, return_inverse=True, return_counts=True)
+    weights = tf * (np.log((1 + 2) / (1 + df)) + 1)[term]
+    weights = weights / np.sqrt(np.bincount(row, weights=weights * weights, minlength=2 * n))[row]
+    shared = df[term] == 2
+    a, b = (shared & (row & 1 == side) for side in (0, 1))  # in the same order of pairs and terms
+    found = np.bincount(row[a] >> 1, weights=weights[a] * weights[b], minlength=n)
+    return np.clip(found, 0.0, 1.0), np.bincount(terms // width, minlength=n) <= max_terms
+
+
 def vector_matrix(a: list, b: list) -> np.ndarray:
     """Cosines of the vectors within 0 and 1, 0 for one without length; NaN where either is missing."""
     out = np.full((len(a), len(b)), np.nan)

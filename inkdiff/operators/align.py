@@ -3,7 +3,8 @@
 Clauses are rows (pair_id, side 'a' or 'b', ordinal, text, heading, …). Everything is keyed by pair_id: no step compares
 clauses of different pairs, and there is no global cross join. A pair's n + m clauses meet in one group, as words and
 headings; their n * m scores are made there, and the assignment, which by its definition needs them all at once, is
-found there too, so no row is made for two clauses unless the scores themselves are asked for. Pairs of more than
+found there too, so no row is made for two clauses unless the scores themselves are asked for. To align pairs of one
+clause a side, as labelled pairs are, whole batches of them are scored at once. Pairs of more than
 MOST_CELLS scores or MOST_CLAUSES clauses are scored in blocks instead (`blocks`), which has no limit.
 
 A step that fails on a pair gives one row for it, with the pair and the error only; the others are not touched.
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from ..config import Config
 from ..functions.calls import loaded
 from ..functions.kernels import assign, token_sort_similarity  # noqa: F401
 from .blocks import _filled, best_of_blocks, features, in_blocks
-from .features import SCORES, Side, both_sides, clause_number, clause_rows, picked, scores, terms_of, tfidf_terms  # noqa: F401
+from .features import SCORES, Side, both_sides, clause_number, clause_rows, lone_scores, picked, scores, terms_of, tfidf_terms  # noqa: F401
 
 #: Of one group: five matrices of so many scores are 160 MB.
 MOST_CELLS, MOST_CLAUSES = 4_000_000, 50_000
@@ -55,20 +57,72 @@ def combined_score(number: Column, heading: Column, text: Column, config: Config
     return F.lit(config.number_weight) * number + F.lit(config.heading_weight) * heading + F.lit(config.embedding_weight) * text
 
 
-def _in_pairs(clauses: DataFrame, solve: Callable[[Side, Side], dict], fields: str, config: Config) -> DataFrame:
-    """solve(a, b) of each document pair in a group of its own; where it fails, a row that has the pair and the error only."""
+def _in_pairs(clauses: DataFrame, solve: Callable[[Side, Side], dict], fields: str, config: Config, lone: Callable[[pa.Table], tuple[dict, np.ndarray]] | None = None) -> DataFrame:
+    """solve(a, b) of each document pair in a group of its own; where it fails, a row that has the pair and the error only.
+
+    lone: gives what solve does, a row each, for many pairs of one clause a side at once (rows 2k and 2k + 1 of a table),
+    and which of them it could do; the others, and all if it fails, are solved alone.
+    """
     rows = clause_rows(clauses).withColumn("words", terms_of("text")).drop("text")
+    kind = clauses.schema["pair_id"].dataType.simpleString()
+    schema = f"pair_id {kind}, {fields}, error string"
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    def solved(pair, table: pa.Table) -> pa.RecordBatch:
         try:
             out = solve(*both_sides(table, config.max_terms))
             n, error = len(out["a_ordinal"]), None
         except Exception as e:  # one pair's failure is told and does not end the others
             out, n, error = {}, 1, f"{type(e).__name__}: {e}"
-        return pa.Table.from_batches([_filled(out, n, key[0].as_py(), table.schema.field("pair_id").type, error, fields)])
-
-    kind = clauses.schema["pair_id"].dataType.simpleString()
-    return rows.groupBy("pair_id").applyInArrow(run, f"pair_id {kind}, {fields}, error string")
+        return _filled(out, n, pair, table.schema.field("pair_id").type, error, fields)
+
+    if lone is None:
+        return rows.groupBy("pair_id").applyInArrow(lambda key, table: pa.Table.from_batches([solved(key[0].as_py(), table)]), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_pairs(batches):
+            first = pair_starts(table["pair_id"].combine_chunks())
+            size = np.diff(np.append(first, len(table)))
+            a, b = (pc.fill_null(pc.equal(table["side"], s), False).to_numpy() for s in "ab")
+            twos = first[size == 2]
+            twos = twos[a[twos] & b[twos + 1]]
+            try:
+                out, done = lone(table.take(np.stack((twos, twos + 1), axis=1).ravel()))
+                twos, out = twos[done], {name: v.filter(pa.array(done)) for name, v in out.items()}
+                together = _filled(out, len(twos), table["pair_id"].take(twos).combine_chunks(), table.schema.field("pair_id").type, None, fields)
+            except Exception:  # told by the pair that fails, when it is solved alone
+                twos, together = twos[:0], None
+            if len(twos):
+                yield together
+            done = set(twos.tolist())
+            for k, n in zip(first.tolist(), size.tolist(), strict=True):
+                if k not in done:
+                    yield solved(table["pair_id"][k].as_py(), table.slice(k, n))
+
+    return rows.repartition("pair_id").sortWithinPartitions("pair_id", "side", "ordinal").mapInArrow(run, schema)
+
+
+def pair_starts(pairs: pa.Array) -> np.ndarray:
+    """The first row of each run of equal values; nulls are equal."""
+    x, y = pairs[1:], pairs[:-1]
+    other = pc.fill_null(pc.not_equal(x, y), False).to_numpy(zero_copy_only=False) | (x.is_null().to_numpy(zero_copy_only=False) != y.is_null().to_numpy(zero_copy_only=False))
+    return np.concatenate(([0], 1 + np.flatnonzero(other)))[: len(pairs)]
+
+
+def whole_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole pairs, from batches in their order: about a batch each, or one pair that is larger."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        before = held[-1]["pair_id"][-1:] if held else batch["pair_id"][:0]
+        starts = pair_starts(pa.concat_arrays([before, batch["pair_id"]]))[1 if held else 0 :] - len(before)
+        if held and len(starts):  # the last pair of this batch may go on
+            held.append(batch[: starts[-1]])
+            yield pa.Table.from_batches(held)
+            held, batch = [], batch[starts[-1] :]
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _by_size(clauses: DataFrame, most_cells: int) -> tuple[DataFrame, DataFrame | None]:
@@ -141,9 +195,17 @@ def best_assignment(
         reach = (found[score] >= config.review_threshold).sum(axis=1).astype(np.int32) if pairs else np.zeros(0, np.int32)
         return picked(a, b, found, i, j) | {"candidates": pa.array(reach[i])}
 
+    def lone(table: pa.Table) -> tuple[dict, np.ndarray]:
+        found, done = lone_scores(table, config, names)
+        ordinals = table["ordinal"].combine_chunks()
+        if ordinals.null_count:
+            raise ValueError("a clause without an ordinal")
+        reach = (found[score] >= config.review_threshold).astype(np.int32)
+        return {"a_ordinal": ordinals[::2], "b_ordinal": ordinals[1::2]} | {k: pa.array(v) for k, v in found.items()} | {"candidates": pa.array(reach)}, done
+
     fields = ", ".join(["a_ordinal int", "b_ordinal int", *(f"{s} double" for s in names), "candidates int"])
     small, large = _by_size(clauses, most_cells)
-    out = _in_pairs(small, solve, fields, config)
+    out = _in_pairs(small, solve, fields, config, lone if solver is assign else None)
     return out if large is None else out.unionByName(best_of_blocks(large, config, score, names))
 
 

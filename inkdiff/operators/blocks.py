@@ -80,7 +80,7 @@ def in_blocks(rows: DataFrame, solve: Callable[[Side, Side], dict], fields: str,
 
 def _filled(out: dict, n: int, pair, kind: pa.DataType, error: str | None, fields: str) -> pa.RecordBatch:
     types = {"int": pa.int32(), "double": pa.float64()}
-    columns = {"pair_id": pa.array([pair] * n, kind)}
+    columns = {"pair_id": pair if isinstance(pair, pa.Array) else pa.array([pair] * n, kind)}
     for name, t in (f.split() for f in fields.split(", ")):
         columns[name] = out[name].cast(types[t]) if name in out else pa.nulls(n, types[t])
     return pa.RecordBatch.from_pydict(columns | {"error": pa.array([error] * n, pa.string())})

@@ -83,26 +83,43 @@ def matching_accuracy(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.bround(_share(F.count_if(F.col("predicted") == F.col("gold")), F.count("*")), 4).alias("matching_accuracy"), F.count("*").alias("dataset_size"))
 
 
-def evaluate_pairs(labelled: DataFrame, matcher="hybrid", config=None) -> DataFrame:
+def _with_empty(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """labelled with empty_a and empty_b, and its rows that have both texts."""
+    rows = labelled.withColumn("empty_a", F.coalesce("clause_a_text", F.lit("")) == "").withColumn("empty_b", F.coalesce("clause_b_text", F.lit("")) == "")
+    return rows, rows.where("not empty_a and not empty_b")
+
+
+def text_types(labelled: DataFrame, config=None) -> DataFrame:
+    """(id, type) of the labelled pairs that have both texts: the change type if they are matched."""
+    from ..config import Config
+    from .detect import detect_changes
+
+    both = {"text_a": F.col("clause_a_text"), "text_b": F.col("clause_b_text"), "match_type": F.lit("hybrid"), "needs_review": F.lit(False), "review_reason": F.lit("")}
+    full = _with_empty(labelled)[1].select("id", *(c.alias(name) for name, c in both.items()))
+    return detect_changes(full, config or Config()).select("id", F.col("change_type").alias("type"))
+
+
+def evaluate_pairs(labelled: DataFrame, matcher="hybrid", config=None, types: DataFrame | None = None) -> DataFrame:
     """labelled with predicted_match and predicted_type: each pair is featurised and matched on its own, without headings.
 
-    matcher is a name in align.MATCHERS or a function of that shape.
+    matcher is a name in align.MATCHERS or a function of that shape. types: what text_types gave, if several matchers share it.
     """
     from ..config import Config
-    from .align import MATCHERS, with_clauses
-    from .detect import detect_changes
+    from .align import MATCHERS
 
     config = config or Config()
-    rows = labelled.withColumn("empty_a", F.coalesce("clause_a_text", F.lit("")) == "").withColumn("empty_b", F.coalesce("clause_b_text", F.lit("")) == "")
-    full = rows.where("not empty_a and not empty_b")
+    rows, full = _with_empty(labelled)
+    types = text_types(labelled, config) if types is None else types
     side = lambda s: full.select(F.col("id").alias("pair_id"), F.lit(s).alias("side"), F.lit(0).alias("ordinal"), F.lit("").alias("heading"), F.col(f"clause_{s}_text").alias("text"))
     clauses = side("a").union(side("b"))
     matched = MATCHERS.get(matcher, matcher)(clauses, config=config)
-    first = detect_changes(with_clauses(matched, clauses), config).where("phase < 2")  # a rejected pair is told by its removed clause
-    told = first.select(F.col("pair_id").alias("id"), (~F.col("match_type").isin(*UNMATCHED)).alias("m"), F.col("change_type").alias("t"))
-    joined = rows.join(told, "id", "left")
-    kind = F.when(F.col("empty_a"), "added").when(F.col("empty_b"), "removed").otherwise(F.coalesce("t", F.lit("uncertain")))
-    return joined.withColumn("predicted_match", F.coalesce("m", F.lit(False))).withColumn("predicted_type", kind).drop("m", "t", "empty_a", "empty_b")
+    first = matched.where("phase < 2")  # a rejected pair is told by its removed clause
+    told = first.select(F.col("pair_id").alias("id"), F.col("match_type").alias("m"), F.col("b_ordinal").isNull().alias("alone"))
+    joined = rows.join(told, "id", "left").join(types, "id", "left")
+    m = F.col("m")
+    t = F.when(m.isNull() | F.col("alone") & ~m.isin(*UNMATCHED[:2]), "uncertain").when(m == "added_candidate", "added").when(m == "removed_candidate", "removed").otherwise(F.coalesce("type", F.lit("uncertain")))
+    kind = F.when(F.col("empty_a"), "added").when(F.col("empty_b"), "removed").otherwise(t)
+    return joined.withColumn("predicted_match", F.coalesce(~m.isin(*UNMATCHED), F.lit(False))).withColumn("predicted_type", kind).drop("m", "alone", "type", "empty_a", "empty_b")
 
 
 #: What the figures do not show. Fixed values.

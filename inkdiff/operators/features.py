@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Config
-from ..functions.kernels import TermRows, heading_matrix, number_matrix, sparse_product, tfidf_rows, vector_matrix
+from ..functions.kernels import TermRows, heading_matrix, number_matrix, sparse_product, tfidf_rows, twin_products, vector_matrix
 from ..functions.text import all_matches, first_match, strip, words_of
 
 TERM = r"(?U)\b\w\w+\b"
@@ -93,13 +93,35 @@ def scores(a: Side, b: Side, config: Config, names: Sequence[str] = SCORES) -> d
     out = {"tfidf_score": sparse_product(a.terms, b.terms)}
     if "match_score" not in names:
         return out
-    vectors = vector_matrix(a.embedding, b.embedding)
     out |= {"number_score": number_matrix(a.number, b.number), "heading_score": heading_matrix(a.heading, b.heading)}
+    return _combined(out, vector_matrix(a.embedding, b.embedding), config)
+
+
+def _combined(out: dict[str, np.ndarray], vectors: np.ndarray, config: Config) -> dict[str, np.ndarray]:
+    """The scores with those of the vectors, or else the texts, and the weighted sum of all."""
     out["embedding_score"] = np.where(np.isnan(vectors), out["tfidf_score"], vectors)
     weights = {"number_score": config.number_weight, "heading_score": config.heading_weight, "embedding_score": config.embedding_weight}
     return out | {"match_score": sum(w * out[name] for name, w in weights.items())}
 
 
+def lone_scores(table: pa.Table, config: Config, names: Sequence[str] = SCORES) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """scores() of many document pairs at once that have one clause a side, rows 2k and 2k + 1 of `table` being one.
+
+    And which of them have at most max_terms terms: the others' scores are not theirs.
+    """
+    products, fits = twin_products(table["words"].combine_chunks(), config.max_terms)
+    out = {"tfidf_score": products}
+    if "match_score" not in names:
+        return out, fits
+
+    def each(name: str, matrix: Callable, none: float) -> np.ndarray:
+        values = table[name].to_pylist()
+        return np.array([matrix([x], [y])[0, 0] if x not in (None, "") and y not in (None, "") else none for x, y in zip(values[::2], values[1::2], strict=True)], float)
+
+    out |= {"number_score": each("number", number_matrix, 0.0), "heading_score": each("heading", heading_matrix, 0.0)}
+    return _combined(out, each("embedding", vector_matrix, np.nan), config), fits
+
+
 def picked(a: Side, b: Side, found: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> dict[str, pa.Array]:
     """a_ordinal, b_ordinal and the scores at some places."""
     places = {"a_ordinal": a.ordinal[i], "b_ordinal": b.ordinal[j]}

@@ -578,7 +578,8 @@ def labelled_pairs(spark, sf_dir):
 def evaluation_report(spark, sf_dir):
     """Both matchers over labelled pairs, each pair featurised alone."""
     rows = labelled_pairs(spark, sf_dir)
-    out = evaluate.evaluation_report({name: evaluate.evaluate_pairs(rows, name) for name in ("baseline", "hybrid")})
+    types = evaluate.text_types(rows)
+    out = evaluate.evaluation_report({name: evaluate.evaluate_pairs(rows, name, types=types) for name in ("baseline", "hybrid")})
     return out.withColumn("per_class_f1", F.to_json("per_class_f1")).withColumn("wording_test", F.to_json("wording_test")).drop("limitations", "timestamp")
 
 
