@@ -33,7 +33,9 @@ def weighted_terms(clauses: DataFrame, max_terms: int) -> DataFrame:
     words = terms_of("text")
     neighbours = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.concat_ws(" ", F.element_at("words", k), F.element_at("words", k + 1)))
     pairs = F.when(F.size("words") > 1, neighbours).otherwise(F.array().cast("array<string>"))
-    rows = clauses.select("pair_id", "side", "ordinal", words.alias("words"))
+    # a clause has some hundred terms: they are made, and counted, after the clauses are dealt to as many tasks as there are
+    dealt = clauses.select("pair_id", "side", "ordinal", "text").repartition("pair_id", "side", "ordinal")
+    rows = dealt.select("pair_id", "side", "ordinal", words.alias("words"))
     terms = rows.select("pair_id", "side", "ordinal", F.explode(F.concat("words", pairs)).alias("term"))
     counted = terms.groupBy("pair_id", "side", "ordinal", "term").agg(F.count("*").alias("tf"))
     sizes = clauses.groupBy("pair_id").agg(F.count("*").alias("n"))
